@@ -60,7 +60,7 @@ def read_registry(registry: DataFrame, taken: Sequence[str], name: str = "metric
     return [Attribute(r.n, r.k, r.n + "_value" if r.n.lower() in low else r.n) for r in sorted(rows)]
 
 
-def _attribute_index(attributes: list[Attribute], name: Column) -> Column:
+def attribute_index(attributes: list[Attribute], name: Column) -> Column:
     """Position of the attribute a spelling stands for, null for none.
 
     An exact name wins over a shared spelling, so two registry names that differ
@@ -84,7 +84,7 @@ def gather_cells(rows: DataFrame, attributes: list[Attribute], entity: Sequence[
     v = F.col("_v")
     misfit = F.when(kind == "bigint", (F.rint(v) != v) | (F.abs(v) >= 9.2e18)).when(kind == "boolean", ~v.isin(0.0, 1.0)).otherwise(F.lit(False))
     return (
-        rows.select(*[F.col(c) for c in entity], _attribute_index(attributes, F.col(attribute)).alias("_at"), F.col(value).cast("double").alias("_v"))
+        rows.select(*[F.col(c) for c in entity], attribute_index(attributes, F.col(attribute)).alias("_at"), F.col(value).cast("double").alias("_v"))
         .where((F.trim(F.col(entity[0]).cast("string")) != "") & F.col("_at").isNotNull() & F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") < float("inf")))
         .withColumn("_misfit", misfit)
         .groupBy(*entity, "_at")
