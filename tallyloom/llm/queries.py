@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import quantiles, splits
+from tallyloom.llm import langid, quantiles, splits, turns
 from tallyloom.operators import wide
 from tallyloom.operators.skew import hot_split_join
 from tallyloom.session import materialise
@@ -89,7 +89,54 @@ def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return found.join(stored, match, "left").select(*found.columns, "reference_median", (F.col("p50") - F.col("reference_median")).alias("median_shift"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_percentiles": p2_percentiles, "p5_found": p5_found, "p5_splits": p5_splits, "p5_split_shares": p5_split_shares}
+def _case_turns(spark: SparkSession, d: str) -> DataFrame:
+    return turns.speaker_turns(table(spark, d, "prepared_authority_study_case"), "case_id", "transcript")
+
+
+def p4_turns(spark: SparkSession, d: str) -> DataFrame:
+    """The turns of both transcript fields, with what is said."""
+    told = table(spark, d, "synthetic_workspace").select("case_id", F.col("case_transcript.text").alias("transcript"))
+    both = table(spark, d, "prepared_authority_study_case").select("case_id", "transcript").unionByName(told)
+    return turns.speaker_turns(both, "case_id", "transcript")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_turns(spark, d).where(F.col("case_id").isNotNull()).select("case_id", "turn_no", "speaker", "n_letters").distinct()
+
+
+def _judged_turns(spark: SparkSession, d: str) -> DataFrame:
+    return langid.turn_languages(_case_turns(spark, d), langid.fit(table(spark, d, "documents")))
+
+
+def p3_turns(spark: SparkSession, d: str) -> DataFrame:
+    return _judged_turns(spark, d).select("case_id", "turn_no", "speaker", "language", "confidence", "whole", F.size("segments").alias("n_segments")).distinct()
+
+
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    """case_id and each language its labels name."""
+    names = F.pandas_udf(lambda s: s.map(langid.named_language, na_action="ignore"), "string")
+    labels = table(spark, d, "public_cases").select("case_id", "language").distinct()
+    return labels.withColumn("named", names("language"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    spoken = _judged_turns(spark, d).where("whole").select("case_id", "language").where(F.col("case_id").isNotNull()).distinct()
+    named = _named(spark, d).where(F.col("named").isNotNull()).select("case_id", F.col("named").alias("language")).distinct()
+    return spoken.join(named, ["case_id", "language"], "left_anti")
+
+
+def p3_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Each public case with its label, the language its transcripts are mostly in, and the corrected label.
+
+    A case without a spoken transcript keeps the language its label names.
+    """
+    letters = _judged_turns(spark, d).where(F.col("language").isNotNull()).groupBy("case_id", "language").agg(F.sum("n_letters").alias("n"), F.avg("confidence").alias("c"))
+    main = letters.groupBy("case_id").agg(F.max_by("language", F.struct("n", "language")).alias("spoken"), (F.max("n") / F.sum("n")).alias("share"), F.max_by("c", F.struct("n", "language")).alias("confidence"))
+    labels = _named(spark, d).groupBy("case_id").agg(F.min("language").alias("label"), F.min("named").alias("named"))
+    return labels.join(main, "case_id", "left").select("case_id", "label", "spoken", "share", "confidence", F.coalesce("spoken", "named").alias("language"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_turns": p3_turns, "p3_cases": p3_cases, "p4_found": p4_found, "p4_turns": p4_turns, "p2_found": p2_found, "p2_percentiles": p2_percentiles, "p5_found": p5_found, "p5_splits": p5_splits, "p5_split_shares": p5_split_shares}
 
 ORACLES = {
     "p2_found": r"""
