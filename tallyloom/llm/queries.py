@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import langid, quantiles, splits, turns
+from tallyloom.llm import encode, langid, pack, quantiles, reading, splits, turns
 from tallyloom.operators import wide
 from tallyloom.operators.skew import hot_split_join
 from tallyloom.session import materialise
@@ -136,7 +136,32 @@ def p3_cases(spark: SparkSession, d: str) -> DataFrame:
     return labels.join(main, "case_id", "left").select("case_id", "label", "spoken", "share", "confidence", F.coalesce("spoken", "named").alias("language"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_turns": p3_turns, "p3_cases": p3_cases, "p4_found": p4_found, "p4_turns": p4_turns, "p2_found": p2_found, "p2_percentiles": p2_percentiles, "p5_found": p5_found, "p5_splits": p5_splits, "p5_split_shares": p5_split_shares}
+#: Tokens a container holds.
+P8_CAPACITY = 2048
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encode(table(spark, d, "documents"), encode.Tokenizer.load())
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack.pack(encode.token_counts(table(spark, d, "documents"), encode.Tokenizer.load()), capacity=P8_CAPACITY)
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return pack.fill(p8_containers(spark, d), P8_CAPACITY)
+
+
+def p9_levels(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return reading.read_levels(documents, reading.fit(documents, table(spark, d, "reading_labels")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_levels(spark, d).where(F.col("band") == reading.BANDS[2]).select("doc_id").distinct()
+
+
+QUERIES = {"p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_levels": p9_levels, "p3_found": p3_found, "p3_turns": p3_turns, "p3_cases": p3_cases, "p4_found": p4_found, "p4_turns": p4_turns, "p2_found": p2_found, "p2_percentiles": p2_percentiles, "p5_found": p5_found, "p5_splits": p5_splits, "p5_split_shares": p5_split_shares}
 
 ORACLES = {
     "p2_found": r"""
