@@ -35,6 +35,8 @@ _BY_NAME = {name: code for code, names in NAMES.items() for name in names}
 SAMPLE_DOCUMENTS, SAMPLE_LETTERS, LANGUAGE_LETTERS = 120, 1200, 40_000
 #: A part's language counts from this confidence on.
 LEAST_CONFIDENCE = 0.6
+#: A parse this much costlier than the best takes less than exp(-8) of the confidence.
+HOPELESS = 8.0
 
 _NOT_LETTERS = regex.compile(r"[^\p{L}]+")
 _CODE = re.compile(r"([A-Za-z]{2,3})[-_]([A-Za-z]{2,4}|\d{3})(?:[-_.].*)?")
@@ -90,8 +92,8 @@ class SuffixAutomaton:
             last = new
         self.steps, self.size = steps, len(text)
 
-    def phrases(self, text: str) -> int:
-        """Phrases of the greedy parse; a letter the automaton lacks is a phrase of its own."""
+    def phrases(self, text: str, most: float = math.inf) -> int:
+        """Phrases of the greedy parse; a letter the automaton lacks is a phrase of its own. Stops beyond ``most``."""
         steps = self.steps
         start = here = steps[0]
         count = 0
@@ -99,6 +101,8 @@ class SuffixAutomaton:
             at = here.get(c)
             if at is None:
                 count += 1
+                if count > most:
+                    return count
                 at = start.get(c)
                 if at is None:
                     here = start
@@ -116,22 +120,41 @@ class Model:
     def automata(self) -> list[tuple[str, SuffixAutomaton, float]]:
         return _automata(self.texts)
 
+    def costs(self, text: str, likely: str | None = None) -> tuple[dict[str, float], int]:
+        """Cost of the text in each language, and its letters.
+
+        A cost is the phrases of the parse times the bits that point into the
+        language's text, over those of the largest text. The likely language is
+        parsed first; a parse ends once it is ``HOPELESS`` above the best so far.
+        """
+        plain = normal_text(text)
+        letters = len(plain) - plain.count(" ")
+        found: dict[str, float] = {}
+        if letters:
+            automata = self.automata()
+            unit = max((bits for *_, bits in automata), default=1.0)
+            best = math.inf
+            for code, a, bits in sorted(automata, key=lambda x: x[0] != likely):
+                found[code] = a.phrases(plain, (best + HOPELESS) * unit / bits) * bits / unit
+                best = min(best, found[code])
+        return found, letters
+
     def judge(self, text: str | None) -> tuple[str | None, float, int]:
         """language, confidence and letters. No letters or no labelled text: no language, confidence 0.
 
-        The cost of a parse is its phrases times the bits that point into the
-        language's text; the confidence is the winner's share of exp(-cost / bits of
-        the largest text). Equal costs: the first code, at a confidence of a half or less.
+        The confidence is the winner's share of exp(-cost). Equal costs: the first
+        code, at a confidence of a half or less.
         """
-        plain = normal_text(text) if text else ""
-        letters = len(plain) - plain.count(" ")
-        automata = self.automata()
-        if not letters or not automata:
-            return None, 0.0, letters
-        unit = max(bits for *_, bits in automata)
-        costs = sorted((a.phrases(plain) * bits / unit, code) for code, a, bits in automata)
-        total = sum(math.exp(costs[0][0] - c) for c, _ in costs)
-        return costs[0][1], 1.0 / total, letters
+        found, letters = self.costs(text) if text else ({}, 0)
+        return (*winner(found), letters)
+
+
+def winner(costs: Mapping[str, float]) -> tuple[str | None, float]:
+    """The language of least cost and its share of exp(-cost)."""
+    if not costs:
+        return None, 0.0
+    least, code = min((c, k) for k, c in costs.items())
+    return code, 1.0 / sum(math.exp(least - c) for c in costs.values())
 
 
 @lru_cache(maxsize=4)
@@ -196,17 +219,24 @@ def turn_languages(turns: DataFrame, model: Model, text: str = "utterances") ->
 
 
 def judge_turn(model: Model, utterances: list[str | None]) -> tuple[str | None, float, bool, list[dict]]:
-    segments: list[dict] = []
-    whole_text = " ".join(u for u in utterances if u)
-    whole_language, whole_confidence, letters = model.judge(whole_text)
-    if not letters:
-        return None, 0.0, False, []
+    """language, confidence, whole and segments of one turn; its costs are the sums over its utterances."""
+    judged: list[tuple[str, float, int]] = []
+    total: dict[str, float] = {}
+    likely = None
     for u in utterances:
-        language, confidence, n = (whole_language, whole_confidence, letters) if len(utterances) == 1 else model.judge(u)
-        if not n:
-            continue
+        costs, n = model.costs(u, likely) if u else ({}, 0)
+        if costs:
+            likely, confidence = winner(costs)
+            judged.append((likely, confidence, n))
+            for code, c in costs.items():
+                total[code] = total.get(code, 0.0) + c
+    if not judged:
+        return None, 0.0, False, []
+    overall, overall_confidence = winner(total)
+    segments: list[dict] = []
+    for language, confidence, n in judged:
         if confidence < LEAST_CONFIDENCE:
-            language = segments[-1]["language"] if segments else whole_language
+            language = segments[-1]["language"] if segments else overall
         if segments and segments[-1]["language"] == language:
             s = segments[-1]
             s["confidence"] = (s["confidence"] * s["letters"] + confidence * n) / (s["letters"] + n)
@@ -217,5 +247,5 @@ def judge_turn(model: Model, utterances: list[str | None]) -> tuple[str | None,
     for s in segments:
         per[s["language"]] = per.get(s["language"], 0) + s["letters"]
     best = max(sorted(per), key=lambda k: per[k])
-    confidence = whole_confidence if len(per) == 1 and best == whole_language else per[best] / sum(per.values())
-    return best, confidence, len(per) == 1 and best == whole_language and whole_confidence >= LEAST_CONFIDENCE, segments
+    one = len(per) == 1 and best == overall
+    return best, overall_confidence if one else per[best] / sum(per.values()), one and overall_confidence >= LEAST_CONFIDENCE, segments
