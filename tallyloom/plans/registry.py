@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import core_queries
+from tallyloom.plans import core_queries, relational, sequences, texts
 
-MODULES = (core_queries,)
+MODULES = (core_queries, relational, sequences, texts)
 
 FLAGSHIP = "p1_wide_cells"
 
