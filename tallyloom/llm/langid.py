@@ -61,7 +61,7 @@ def normal_text(text: str) -> str:
 
 
 class SuffixAutomaton:
-    """Recognises every substring of a text. ``steps[s]`` maps a letter to the next state; 0 is the start."""
+    """Recognises every substring of a text. A state is a dict from a letter to the next state."""
 
     def __init__(self, text: str) -> None:
         steps: list[dict[str, int]] = [{}]
@@ -90,12 +90,14 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[new] = twin
             last = new
-        self.steps, self.size = steps, len(text)
+        for step in steps:
+            for c, to in step.items():
+                step[c] = steps[to]
+        self.start, self.size = steps[0], len(text)
 
     def phrases(self, text: str, most: float = math.inf) -> int:
         """Phrases of the greedy parse; a letter the automaton lacks is a phrase of its own. Stops beyond ``most``."""
-        steps = self.steps
-        start = here = steps[0]
+        here = start = self.start
         count = 0
         for c in text:
             at = here.get(c)
@@ -103,11 +105,8 @@ class SuffixAutomaton:
                 count += 1
                 if count > most:
                     return count
-                at = start.get(c)
-                if at is None:
-                    here = start
-                    continue
-            here = steps[at]
+                at = start.get(c, start)
+            here = at
         return count + (here is not start)
 
 
