@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import core_queries, relational, sequences, texts
+from tallyloom.plans import core_queries, relational, sequences, studies, texts, vectors
 
-MODULES = (core_queries, relational, sequences, texts)
+MODULES = (core_queries, relational, sequences, texts, vectors, studies)
 
 FLAGSHIP = "p1_wide_cells"
 
