@@ -32,11 +32,11 @@ NAMES = {
 _BY_NAME = {name: code for code, names in NAMES.items() for name in names}
 
 #: The labelled sample: documents a language, letters taken of each, letters of a language in all.
-SAMPLE_DOCUMENTS, SAMPLE_LETTERS, LANGUAGE_LETTERS = 120, 1200, 40_000
+SAMPLE_DOCUMENTS, SAMPLE_LETTERS, LANGUAGE_LETTERS = 160, 200, 32_000
 #: A part's language counts from this confidence on.
 LEAST_CONFIDENCE = 0.6
-#: A parse this much costlier than the best takes less than exp(-8) of the confidence.
-HOPELESS = 8.0
+#: A parse this much costlier than the best takes less than exp(-6) of the confidence.
+HOPELESS = 6.0
 
 _NOT_LETTERS = regex.compile(r"[^\p{L}]+")
 _CODE = re.compile(r"([A-Za-z]{2,3})[-_]([A-Za-z]{2,4}|\d{3})(?:[-_.].*)?")
@@ -102,10 +102,13 @@ class SuffixAutomaton:
         for c in text:
             at = here.get(c)
             if at is None:
-                count += 1
+                at = start.get(c)
+                # The phrase so far ends here; a letter that no phrase begins with is one itself.
+                count += (here is not start) + (at is None)
                 if count > most:
                     return count
-                at = start.get(c, start)
+                if at is None:
+                    at = start
             here = at
         return count + (here is not start)
 
@@ -182,7 +185,11 @@ def fit(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", label:
 
 
 def fit_texts(labelled: list[tuple[str, str]]) -> Model:
-    """A model of (language, normalised text) pairs, some of them wrong."""
+    """A model of (language, normalised text) pairs, some of them wrong. Repeated texts count once, or not at all under two languages."""
+    named: dict[str, set[str]] = {}
+    for c, t in labelled:
+        named.setdefault(t, set()).add(c)
+    labelled = [(next(iter(cs)), t) for t, cs in named.items() if len(cs) == 1]
 
     def model(rows: list[tuple[str, str]]) -> Model:
         return Model({c: " ".join(t for k, t in rows if k == c)[:LANGUAGE_LETTERS] for c in LANGUAGES})
