@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import core_queries, relational, sequences, studies, texts, vectors
+from tallyloom.plans import core_queries, fits, relational, sequences, studies, texts, vectors
 
-MODULES = (core_queries, relational, sequences, texts, vectors, studies)
+MODULES = (core_queries, relational, sequences, texts, vectors, studies, fits)
 
 FLAGSHIP = "p1_wide_cells"
 
