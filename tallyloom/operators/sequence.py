@@ -108,3 +108,8 @@ def average_rank(keys: Sequence[str], value: str) -> Column:
 def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """The n rows with the least SHA-256 of their key: the same sample in any order of rows."""
     return df.withColumn("_h", F.sha2(F.col(key).cast("string"), 256)).orderBy("_h", key).limit(n).drop("_h")
+
+
+def below_share(share: Column, *key: Column | str) -> Column:
+    """Whether a row's hash lies in the lowest ``share`` of all hashes: the same rows in any order and partitioning."""
+    return F.xxhash64(*key).cast("double") < -(2.0**63) + 2.0**64 * share
