@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators.sequence import below_share
+
 LANGUAGES = ("de", "en", "es", "fr", "zh")
 
 #: Names and codes of the languages. Fixed values.
@@ -176,10 +178,16 @@ def fit(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", label:
     names = F.create_map(*[F.lit(x) for name, code in _BY_NAME.items() for x in (name, code)])
     low = F.lower(F.trim(label))
     code = F.coalesce(F.try_element_at(names, low), F.try_element_at(names, F.regexp_extract(low, "^([a-z]{2,3})[-_]", 1)))
-    usable = documents.select(F.col(doc_id).alias("d"), code.alias("code"), F.substring(text, 1, 4 * SAMPLE_LETTERS).alias("t")).where(F.col("code").isNotNull() & (F.length(F.trim("t")) > 200))
+    usable = documents.select(F.col(doc_id).alias("d"), code.alias("code"), F.substring(text, 1, 4 * SAMPLE_LETTERS).alias("t")).where(F.col("code").isNotNull() & (F.length(F.trim("t")) > SAMPLE_LETTERS))
+    counts = {r.code: r["count"] for r in usable.groupBy("code").count().collect()}
+    if not counts:
+        return fit_texts([])
+    # Four times the documents wanted lie below the threshold on average, whatever the number of rows or tasks.
+    share = F.element_at(F.create_map(*[F.lit(x) for c, n in sorted(counts.items()) for x in (c, min(1.0, 4.0 * SAMPLE_DOCUMENTS / n))]), F.col("code"))
+    few = usable.where(below_share(share, "d")).select("code", "t", F.xxhash64("d").alias("h"), "d").collect()
     drawn: list[tuple[str, str]] = []
     for c in LANGUAGES:
-        rows = usable.where(F.col("code") == c).orderBy(F.xxhash64(F.col("d")), "d", "t").limit(SAMPLE_DOCUMENTS).collect()
+        rows = sorted((r for r in few if r.code == c), key=lambda r: (r.h, str(r.d), r.t))[:SAMPLE_DOCUMENTS]
         drawn += [(c, normal_text(r.t)[:SAMPLE_LETTERS]) for r in rows]
     return fit_texts(drawn)
 

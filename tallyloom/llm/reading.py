@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import turns
+from tallyloom.operators.sequence import below_share
+from tallyloom.session import materialise
 
 BANDS = ("basic", "intermediate", "demanding")
 
@@ -232,7 +234,9 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     """
     known = labels.where(F.col(band).isin(*BANDS)).select(doc_id, F.array_position(F.array(*map(F.lit, BANDS)), F.col(band)).cast("int").alias("b"))
     per = known.groupBy(doc_id, "b").count().groupBy(doc_id).agg(F.max_by("b", F.struct("count", -F.abs(F.col("b") - 2))).alias("b"))
-    drawn = per.orderBy(F.xxhash64(doc_id), doc_id).limit(MAX_LABELLED)
+    # A threshold first, so that no task offers more rows than the sample needs.
+    per = materialise(per, "reading-bands")
+    drawn = per.where(below_share(F.lit(min(1.0, 2.0 * MAX_LABELLED / max(1, per.count()))), doc_id)).orderBy(F.xxhash64(doc_id), doc_id).limit(MAX_LABELLED)
     texts = documents.select(doc_id, text).join(F.broadcast(drawn), doc_id).select(text, "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
