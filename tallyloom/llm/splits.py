@@ -85,13 +85,30 @@ def with_component(records: DataFrame, record_id: str, keys: Sequence[Column]) -
     """
     tagged = [F.concat(F.lit(f"{i}:"), k) for i, k in enumerate(keys)]
     held = materialise(records.withColumn("_keys", F.filter(F.array(*tagged), lambda x: x.isNotNull())).withColumn("_node", F.try_element_at("_keys", F.lit(1))), "split-records")
-    edges = held.where(F.size("_keys") > 1).select(F.col("_node").alias("a"), F.explode(F.slice("_keys", 2, len(tagged))).alias("b"))
-    labels = connected_components(edges).select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    labels = _node_labels(held, len(tagged))
     alone = F.concat(F.lit("record:"), F.coalesce(F.col(record_id).cast("string"), F.lit("")))
     joined = hot_split_join(held, labels, "_node", "left")
     return joined.select(*records.columns, F.coalesce("_component", "_node", alone).alias("component"))
 
 
+def _node_labels(held: DataFrame, most: int) -> DataFrame:
+    """_node and _component of the first keys of records that are related through other keys.
+
+    First a star step on the other keys: such a key moves to the least first key
+    beside it, and all first keys beside it are linked to that one. A key beside a
+    single first key, as nearly all are, gives no edge, so the rounds that follow
+    see only keys that relate something.
+    """
+    pairs = materialise(held.where(F.size("_keys") > 1).select(F.col("_node").alias("a"), F.explode(F.slice("_keys", 2, most)).alias("b")), "split-pairs")
+    beside = materialise(pairs.groupBy("b").agg(F.min("a").alias("m"), F.max("a").alias("_x")), "split-beside")
+    linked = hot_split_join(pairs, beside.where("m <> _x").select("b", "m"), "b").where("a <> m").select("a", F.col("m").alias("b"))
+    # Keys that are some record's first key for want of an earlier one.
+    late = held.where(~F.col("_node").startswith("0:")).select(F.col("_node").alias("b")).distinct()
+    moved = materialise(beside.select("b", "m").join(late, "b"), "split-moved")
+    found = connected_components(linked.unionByName(moved.select(F.col("b").alias("a"), F.col("m").alias("b"))))
+    return found.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+
+
 def leaking_components(records: DataFrame, split: str = "split") -> DataFrame:
     """component of every group with two or more different non-null splits."""
     return records.where(F.col(split).isNotNull()).groupBy("component").agg(F.min(split).alias("_a"), F.max(split).alias("_b")).where("_a <> _b").select("component")
