@@ -115,3 +115,24 @@ def reachable(edges: DataFrame, start: DataFrame, rounds: int = 100) -> DataFram
             return seen
         seen = materialise(seen.unionByName(new), "reach")
     raise RuntimeError(f"not settled after {rounds} rounds")
+
+
+def linked_groups(pairs: DataFrame, items: DataFrame, a: str = "a", b: str = "b", item: str = "item", rounds: int = 50) -> DataFrame:
+    """item, group (the least item of its group) and size; items without a pair are groups of their own.
+
+    Least labels travel along the pairs until none changes, each round one join and
+    a partial aggregation, written to the shared folder. Meant for graphs of short
+    diameter, as thresholded correlations give.
+    """
+    from tallyloom.session import materialise
+
+    both = materialise(pairs.select(F.col(a).alias("_p"), F.col(b).alias("_q")).unionByName(pairs.select(F.col(b).alias("_p"), F.col(a).alias("_q"))).distinct(), "groups-pairs")
+    label = materialise(items.select(F.col(item).alias("item"), F.col(item).alias("group")).distinct(), "groups")
+    for _ in range(rounds):
+        near = both.join(label, F.col("_q") == F.col("item")).groupBy("_p").agg(F.min("group").alias("_g"))
+        new = label.join(near, F.col("item") == F.col("_p"), "left").select("item", F.least("group", F.coalesce("_g", "group")).alias("group"), (F.col("_g") < F.col("group")).alias("_moved"))
+        new = materialise(new, "groups")
+        label = new.drop("_moved")
+        if new.where("_moved").isEmpty():
+            return label.withColumn("size", F.count("*").over(W.partitionBy("group")))
+    raise RuntimeError(f"not settled after {rounds} rounds")

@@ -134,10 +134,11 @@ def _(t: Tables) -> DataFrame:
     return e.where("task_scope <> 'global'").join(g, ["subject_id", "m"]).groupBy("subject_id").agg(r(F.avg(F.abs(F.col("z") - F.col("whole")))).alias("disagreement"))
 
 
-@add("w25_ordered_concat", "SELECT subject_id, string_agg(k || ':' || case_id, ' ' ORDER BY k) AS recordings FROM (SELECT subject_id, case_id, row_number() OVER (PARTITION BY subject_id ORDER BY case_id) AS k FROM (SELECT DISTINCT subject_id, case_id FROM manifest WHERE subject_id LIKE 'SUB-00-%')) GROUP BY 1")
+@add("w25_ordered_concat", "SELECT state_id, string_agg(k || ':' || metric_id, ' ' ORDER BY k) AS metrics FROM (SELECT state_id, metric_id, row_number() OVER (PARTITION BY state_id ORDER BY metric_id) AS k FROM metric_registry) GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    d = t.manifest.where(F.col("subject_id").like("SUB-00-%")).groupBy("subject_id").agg(F.array_sort(F.collect_set("case_id")).alias("c"))
-    return d.select("subject_id", F.array_join(F.transform("c", lambda x, i: F.concat((i + 1).cast("string"), F.lit(":"), x)), " ").alias("recordings"))
+    """Texts of a group in order, each behind its ordinal; a group is bounded by the registry."""
+    d = t.metric_registry.groupBy("state_id").agg(F.array_sort(F.collect_list("metric_id")).alias("c"))
+    return d.select("state_id", F.array_join(F.transform("c", lambda x, i: F.concat((i + 1).cast("string"), F.lit(":"), x)), " ").alias("metrics"))
 
 
 @add(

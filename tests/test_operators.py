@@ -44,6 +44,16 @@ def test_huber_ignores_an_outlier_and_order():
     assert R.huber_location(np.array([]), np.array([])) == 0.0
 
 
+def test_large_groups_are_solved_by_passes(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(["big", "small", None][0 if i < 400 else 1 + i % 2], float(v), float(w)) for i, (v, w) in enumerate(zip(rng.normal(size=420) * 3, rng.random(420) + 0.1, strict=True))]
+    df = spark.createDataFrame(rows + [("big", None, 1.0), ("big", 9.0, 0.0)], "k string, v double, w double")
+    one = {r.k: r.location for r in R.huber_by_group(df, ["k"], "v", "w").collect()}
+    monkeypatch.setattr(R, "MOST_VALUES", 50)
+    two = {r.k: r.location for r in R.huber_by_group(df, ["k"], "v", "w", steps=60).collect()}
+    assert set(one) == set(two) == {"big", "small", None} and all(two[k] == pytest.approx(one[k], abs=1e-6) for k in one)
+
+
 def test_repeating_a_correlated_metric_changes_nothing(spark):
     families = spark.createDataFrame([("S", "f", "a", 1.0, 1.0), ("S", "f", "b", 1.0, 1.0)], "state_id string, family_id string, metric_id string, weight double, budget double")
     rows = [("u", "a", 2.0, 0.8), ("u", "b", 2.0, 0.8)]
