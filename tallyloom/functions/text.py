@@ -1,4 +1,4 @@
-"""Text functions as columns; all of them stay in the JVM but ``mtld``, which folds with state."""
+"""Text functions as columns; all of them stay in the JVM but ``mattr`` and ``mtld``, which fold with state."""
 
 from __future__ import annotations
 
@@ -42,11 +42,38 @@ def type_token_ratio(tokens: Column) -> Column:
     return F.when(F.size(tokens) > 0, F.size(F.array_distinct(tokens)) / F.size(tokens))
 
 
+def _moving_ttr(tokens: list[str], window: int) -> float | None:
+    n = len(tokens)
+    if n <= window:
+        return len(set(tokens)) / n if n else None
+    held: dict[str, int] = {}
+    for t in tokens[:window]:
+        held[t] = held.get(t, 0) + 1
+    total = kinds = len(held)
+    for new, old in zip(tokens[window:], tokens, strict=False):
+        k = held.get(new, 0)
+        held[new] = k + 1
+        kinds += k == 0
+        k = held[old] - 1
+        held[old] = k
+        kinds -= k == 0
+        total += kinds
+    return total / (n - window + 1) / window
+
+
 def mattr(tokens: Column, window: int = 50) -> Column:
-    """Mean type-token ratio of all windows of ``window`` tokens; the plain ratio of shorter texts; null without tokens."""
-    n = F.size(tokens)
-    moving = F.aggregate(F.sequence(F.lit(1), n - window + 1), F.lit(0).cast("long"), lambda a, i: a + F.size(F.array_distinct(F.slice(tokens, i, window))))
-    return F.when(n > window, moving / (n - window + 1) / window).otherwise(type_token_ratio(tokens))
+    """Mean type-token ratio of all windows of ``window`` tokens; the plain ratio of shorter texts; null without tokens.
+
+    One step a token in Arrow batches: as an array expression, each window would be
+    counted anew.
+    """
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda t: None if t is None else _moving_ttr(t.tolist(), window)).astype("float64")
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, DoubleType())(tokens)
 
 
 def lexicon_rate(tokens: Column, lexicon: tuple[str, ...], per: float = 100.0) -> Column:
