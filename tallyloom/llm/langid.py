@@ -59,7 +59,10 @@ def named_language(label: str | None) -> str | None:
 
 def normal_text(text: str) -> str:
     """Letters in lower case, composed; anything between them is one blank."""
-    return _NOT_LETTERS.sub(" ", unicodedata.normalize("NFC", text).lower()).strip()
+    low = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
+    if "  " not in low and low.replace(" ", "").isalpha():
+        return low.strip()
+    return _NOT_LETTERS.sub(" ", low).strip()
 
 
 class SuffixAutomaton:
