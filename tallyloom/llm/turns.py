@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import speakers
+from tallyloom.operators.skew import hot_split_join
+from tallyloom.session import materialise
 
-#: Labels outside the roster that are held on the driver, most frequent first.
-#: Those beyond are judged by their own transcript alone.
+#: Labels outside the roster that ``learn_labels`` brings to the driver; beyond it raises.
+#: ``speaker_turns`` keeps them in a written table, however many there are.
 LEARNED_LABELS = 5000
 
 _BREAK = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
@@ -246,6 +248,19 @@ def label_counts(t: Transcript) -> dict[str, tuple[int, int]]:
     return out
 
 
+def label_votes(t: Transcript) -> list[dict]:
+    """What a transcript says of each label that neither the roster nor its header knows.
+
+    vote: 1 where the only known role beside it is the participant, -1 the reverse,
+    0 where both or neither are known; n and q: utterances and questions among them.
+    """
+    counts = label_counts(t)
+    known = {x: t.declared.get(speakers.label_key(x)) or speakers.role_of(x) for x in counts}
+    roles = set(known.values()) - {None}
+    vote = 0 if len(roles) != 1 else 1 if speakers.PARTICIPANT in roles else -1
+    return [{"label": speakers.label_key(x), "vote": vote, "n": n, "q": q} for x, (n, q) in counts.items() if known[x] is None]
+
+
 def turns_of(text: str | None, learned: Mapping[str, str] | None = None) -> list[tuple[str, list[list[str]]]]:
     """speaker and the words of each utterance, of every turn in order.
 
@@ -255,8 +270,12 @@ def turns_of(text: str | None, learned: Mapping[str, str] | None = None) -> list
     """
     if text is None or not text.strip():
         return []
-    t = read(text)
-    roles = speakers.assign_roles(label_counts(t), learned or {}, t.declared)
+    return joined(read(text), learned or {})
+
+
+def joined(t: Transcript, learned: Mapping[str, str]) -> list[tuple[str, list[list[str]]]]:
+    """The turns of a transcript that was read."""
+    roles = speakers.assign_roles(label_counts(t), learned, t.declared)
     out: list[tuple[str, list[list[str]]]] = []
     for u in in_order(t.utterances):
         words = spoken_words(u.text)
@@ -270,54 +289,82 @@ def turns_of(text: str | None, learned: Mapping[str, str] | None = None) -> list
     return out
 
 
-def learn_labels(transcripts: DataFrame, text: str) -> dict[str, str]:
-    """Roles of labels that the roster lacks, from all transcripts they occur in.
+_TURN = ["turn_no", "speaker", "utterances", "n_letters"]
+_TURN_TYPES = "turn_no int, speaker string, utterances array<string>, n_letters long"
 
-    A label's transcripts vote: it is the interviewer where the only known role
-    beside it is the participant, or the reverse; where both or neither are known,
-    whoever asks in more than half of the utterances is. Counts are aggregated
-    before the shuffle; the ``LEARNED_LABELS`` labels in most transcripts come back.
-    """
+
+def _rows(key: object, found: list[tuple[str, list[list[str]]]]) -> list[tuple]:
+    return [(key, no, speaker, [" ".join(w) for w in said], sum(letters(w) for u in said for w in u)) for no, (speaker, said) in enumerate(found, 1)]
+
+
+def _read_all(narrow: DataFrame) -> DataFrame:
+    """k and the turns of each transcript whose labels are all known; of every other one, a row with its text t and its votes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for value in batch["t"]:
+            for key, value in zip(batch["k"], batch["t"], strict=True):
                 if value is None or not value.strip():
                     continue
                 t = read(value)
-                counts = label_counts(t)
-                known = {x: t.declared.get(speakers.label_key(x)) or speakers.role_of(x) for x in counts}
-                roles = set(known.values()) - {None}
-                for x, (n, q) in counts.items():
-                    if known[x] is None:
-                        vote = 0 if len(roles) != 1 else 1 if speakers.PARTICIPANT in roles else -1
-                        rows.append((speakers.label_key(x), 1, vote, n, q))
-            yield pd.DataFrame(rows, columns=["k", "texts", "vote", "n", "q"])
+                if votes := label_votes(t):
+                    rows.append((key, 0, None, None, 0, value, votes))
+                else:
+                    rows += [(*row, None, None) for row in _rows(key, joined(t, {}))]
+            yield pd.DataFrame(rows, columns=["k", *_TURN, "t", "votes"])
+
+    return narrow.mapInPandas(run, f"k {dict(narrow.dtypes)['k']}, {_TURN_TYPES}, t string, votes array<struct<label:string,vote:long,n:long,q:long>>")
+
+
+def _label_roles(unsure: DataFrame) -> DataFrame:
+    """label and role of every label in ``votes``, from all transcripts it occurs in.
+
+    A label's transcripts vote: it is the interviewer where the only known role
+    beside it is the participant, or the reverse; where both or neither are known,
+    whoever asks in more than half of the utterances is. Counts are aggregated
+    before the shuffle.
+    """
+    v = unsure.select(F.explode("votes").alias("v")).select("v.*").where("label <> ''")
+    total = v.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("vote", "n", "q")])
+    is_interviewer = (F.col("vote") > 0) | ((F.col("vote") == 0) & (F.col("q") * 2 > F.col("n")))
+    return total.select("label", F.when(is_interviewer, speakers.INTERVIEWER).otherwise(speakers.PARTICIPANT).alias("role"))
 
-    found = transcripts.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInPandas(run, "k string, texts long, vote long, n long, q long")
-    top = found.where("k <> ''").groupBy("k").agg(*[F.sum(c).alias(c) for c in ("texts", "vote", "n", "q")]).orderBy(F.desc("texts"), "k").limit(LEARNED_LABELS).collect()
-    return {r.k: speakers.INTERVIEWER if r.vote > 0 or (r.vote == 0 and r.q * 2 > r.n) else speakers.PARTICIPANT for r in top}
+
+def learn_labels(transcripts: DataFrame, text: str) -> dict[str, str]:
+    """Roles of labels that the roster lacks (``_label_roles``), for a look at few of them: more than ``LEARNED_LABELS`` raise."""
+    read_ = _read_all(transcripts.where(F.col(text).isNotNull()).select(F.lit(0).alias("k"), F.col(text).alias("t")))
+    found = _label_roles(read_.where(F.col("votes").isNotNull())).limit(LEARNED_LABELS + 1).collect()
+    if len(found) > LEARNED_LABELS:
+        raise ValueError(f"more than {LEARNED_LABELS} labels outside the roster")
+    return {r.label: r.role for r in found}
 
 
 def speaker_turns(transcripts: DataFrame, record_id: str, text: str) -> DataFrame:
     """record_id, turn_no (from 1), speaker, utterances (the spoken words of each, blank-joined) and n_letters of every turn.
 
     One row per turn of every row of ``transcripts``: repeated rows give repeated
-    turns. Only the two named columns are read. No shuffle of texts: a transcript
-    is read where it lies, in Arrow batches.
+    turns. Only the two named columns are read. A transcript is read where it lies,
+    in Arrow batches, and its turns are written if all its labels are known. The
+    others wait for the roles of their labels: those of all labels are a written
+    table, joined to the distinct labels of each text. Only these texts shuffle.
     """
-    learned = learn_labels(transcripts, text)
-    kind = dict(transcripts.dtypes)[record_id]
+    narrow = transcripts.where(F.col(text).isNotNull()).select(F.col(record_id).alias("k"), F.col(text).alias("t"))
+    found = materialise(_read_all(narrow).withColumn("h", F.sha2("t", 256)), "turns")
+    sure = found.where(F.col("t").isNull()).select(F.col("k").alias(record_id), *_TURN)
+    unsure = found.where(F.col("t").isNotNull()).select("k", "t", "votes", "h")
+    if unsure.isEmpty():
+        return sure
+    roles = materialise(_label_roles(unsure), "label-roles")
+    pairs = materialise(unsure.select("h", F.explode("votes.label").alias("label")).distinct(), "text-labels")
+    learned = hot_split_join(pairs, roles, "label").groupBy("h").agg(F.collect_list(F.struct("label", "role")).alias("x"))
+    waiting = hot_split_join(unsure, learned, "h", "left").select("k", "t", F.col("x.label").alias("labels"), F.col("x.role").alias("roles"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for key, value in zip(batch["k"], batch["t"], strict=True):
-                for no, (speaker, said) in enumerate(turns_of(value, learned), 1):
-                    rows.append((key, no, speaker, [" ".join(w) for w in said], sum(letters(w) for u in said for w in u)))
-            yield pd.DataFrame(rows, columns=["k", "turn_no", "speaker", "utterances", "n_letters"])
+            for key, value, labels, own in zip(batch["k"], batch["t"], batch["labels"], batch["roles"], strict=True):
+                rows += _rows(key, turns_of(value, {} if labels is None else dict(zip(labels, own, strict=True))))
+            yield pd.DataFrame(rows, columns=["k", *_TURN])
 
-    narrow = transcripts.where(F.col(text).isNotNull()).select(F.col(record_id).alias("k"), F.col(text).alias("t"))
-    out = narrow.mapInPandas(run, f"k {kind}, turn_no int, speaker string, utterances array<string>, n_letters long")
-    return out.withColumnRenamed("k", record_id)
+    later = waiting.mapInPandas(run, f"k {dict(narrow.dtypes)['k']}, {_TURN_TYPES}")
+    return sure.unionByName(later.withColumnRenamed("k", record_id))

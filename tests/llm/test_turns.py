@@ -60,6 +60,15 @@ def test_labels_learned_from_other_transcripts(spark):
     assert turns.learn_labels(df, "transcript") == {"zed": "interviewer"}
 
 
+def test_more_labels_than_the_driver_would_hold(spark):
+    names = ["Zq" + "".join(chr(97 + i // 26**j % 26) for j in range(3)) + "zz" for i in range(turns.LEARNED_LABELS + 1)]
+    rows = [(f"{x}{i}", f"{x}: Tell me.\nPAR: Yes.\n{x}: Go on.") for x in names for i in range(3)]
+    rows += [("beside", "Bob: Tell me.\nPAR: Yes.\nBob: Go on."), ("alone", "Bob: Tell me.\nBob: Go on.")]
+    got = turns.speaker_turns(spark.createDataFrame(rows, "case_id string, transcript string"), "case_id", "transcript")
+    assert [r.speaker for r in got.where("case_id = 'alone'").collect()] == ["interviewer"]
+    assert got.count() == 3 * (len(rows) - 1) + 1
+
+
 def test_very_long_text():
     text = "\n".join(f"{'Q' if i % 2 else 'A'}: {'word ' * 50}" for i in range(4000))
     assert len(flat(text)) == 4000
