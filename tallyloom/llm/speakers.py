@@ -1,18 +1,17 @@
 """Who a speaker label means: the interviewer or the participant.
 
 A roster of known labels is blocked by a phonetic code, so a misspelled label is
-compared only with labels that sound alike. Labels outside the roster get their
-role from how they behave in all transcripts (do they ask, and beside which known
-role do they speak), and the labels of one transcript are assigned to roles
-together: where every known label has the same role, the others go to the role
-that is left.
+compared only with labels that sound alike. For labels outside the roster, all
+transcripts tell how much they lean to a role (do they ask, and beside which known
+role do they speak), and the labels of one transcript are assigned together: the
+cheapest assignment by these leans that uses both roles.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Mapping
+from collections.abc import Mapping, Set
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -90,34 +89,56 @@ def role_of(label: str) -> str | None:
     return best[2] if best[0] >= LEAST_LIKENESS else None
 
 
-def assign_roles(labels: Mapping[str, tuple[int, int]], learned: Mapping[str, str], declared: Mapping[str, str]) -> dict[str, str]:
+def spelling(label: str) -> str:
+    """A label without case, accents, marks and white space; unlike in its key, digits stay, for they tell speakers apart."""
+    return "".join(c for c in unicodedata.normalize("NFKD", label).lower() if c.isalnum())
+
+
+def lean_alone(roles: Set[str], n: int, q: int) -> float:
+    """How one transcript sees a label it does not know, from 1 (interviewer) to -1: by the only known role beside it, else by its questions."""
+    if len(roles) == 1:
+        return 1.0 if PARTICIPANT in roles else -1.0
+    return (2 * q - n) / max(1, n)
+
+
+def assign_roles(labels: Mapping[str, tuple[int, int]], learned: Mapping[str, float], declared: Mapping[str, str]) -> dict[str, str]:
     """The role of each label of one transcript.
 
-    labels: label -> utterances and questions among them. learned: role by label
-    key, from all transcripts. declared: role by label key, from the transcript's
-    own header. Ties: the label that asks relatively more is the interviewer, then
-    the one that comes first by name.
+    labels: label -> utterances and questions among them. learned: by label key, how
+    all transcripts see it, from 1 (interviewer) to -1; a key it lacks is judged by
+    this transcript. declared: role by label key, from the transcript's own header.
+
+    Declared and roster labels are fixed. The others, spellings of one label
+    together, get the assignment of least cost that uses both roles where there are
+    two labels or more; being interviewer costs the negative lean and being
+    participant the lean, so at most one label gives way, the one nearest to the
+    other role. A lean of 0 is a participant's. Ties: the label that asks relatively
+    more here is the interviewer, then the one that comes first by name.
     """
-    roles: dict[str, str] = {}
-    unsure: list[str] = []
+    fixed: dict[str, str] = {}
+    others: dict[str, list[str]] = {}
     for label in sorted(labels):
-        key = label_key(label)
-        role = declared.get(key) or role_of(label) or learned.get(key)
+        role = declared.get(label_key(label)) or role_of(label)
         if role:
-            roles[label] = role
+            fixed[label] = role
+        else:
+            others.setdefault(spelling(label), []).append(label)
+    if not others:
+        return fixed
+    taken = set(fixed.values())
+    ranked = []
+    for same in others.values():
+        n, q = (sum(labels[x][i] for x in same) for i in (0, 1))
+        ranked.append((-learned.get(label_key(same[0]), lean_alone(taken, n, q)), -q / max(1, n), same))
+    ranked.sort()
+    roles = [INTERVIEWER if cost < 0 else PARTICIPANT for cost, *_ in ranked]
+    used = taken | set(roles)
+    if len(used) == 1 and (fixed or len(ranked) > 1):
+        if PARTICIPANT in used:
+            roles[0] = INTERVIEWER
         else:
-            unsure.append(label)
-    if not unsure:
-        return roles
-    taken = set(roles.values())
-    if len(taken) == 1:
-        # The cheapest assignment that uses both roles gives the free one to all unknown labels.
-        free = PARTICIPANT if INTERVIEWER in taken else INTERVIEWER
-        return roles | dict.fromkeys(unsure, free)
-    asks = sorted(unsure, key=lambda x: (-labels[x][1] / max(1, labels[x][0]), x))
-    if not taken and len(asks) > 1:
-        return {x: INTERVIEWER if i == 0 else PARTICIPANT for i, x in enumerate(asks)}
-    return roles | {x: INTERVIEWER if labels[x][1] * 2 > labels[x][0] else PARTICIPANT for x in unsure}
+            roles[-1] = PARTICIPANT
+    return fixed | {x: role for (*_, same), role in zip(ranked, roles, strict=True) for x in same}
 
 
 #: Layout of a label: one or two words that begin with a letter.

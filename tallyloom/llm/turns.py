@@ -261,7 +261,7 @@ def label_votes(t: Transcript) -> list[dict]:
     return [{"label": speakers.label_key(x), "vote": vote, "n": n, "q": q} for x, (n, q) in counts.items() if known[x] is None]
 
 
-def turns_of(text: str | None, learned: Mapping[str, str] | None = None) -> list[tuple[str, list[list[str]]]]:
+def turns_of(text: str | None, learned: Mapping[str, float] | None = None) -> list[tuple[str, list[list[str]]]]:
     """speaker and the words of each utterance, of every turn in order.
 
     Null, empty and blank texts, and texts in which nothing is spoken, have no
@@ -273,7 +273,7 @@ def turns_of(text: str | None, learned: Mapping[str, str] | None = None) -> list
     return joined(read(text), learned or {})
 
 
-def joined(t: Transcript, learned: Mapping[str, str]) -> list[tuple[str, list[list[str]]]]:
+def joined(t: Transcript, learned: Mapping[str, float]) -> list[tuple[str, list[list[str]]]]:
     """The turns of a transcript that was read."""
     roles = speakers.assign_roles(label_counts(t), learned, t.declared)
     out: list[tuple[str, list[list[str]]]] = []
@@ -316,27 +316,26 @@ def _read_all(narrow: DataFrame) -> DataFrame:
     return narrow.mapInPandas(run, f"k {dict(narrow.dtypes)['k']}, {_TURN_TYPES}, t string, votes array<struct<label:string,vote:long,n:long,q:long>>")
 
 
-def _label_roles(unsure: DataFrame) -> DataFrame:
-    """label and role of every label in ``votes``, from all transcripts it occurs in.
+def _label_leans(unsure: DataFrame) -> DataFrame:
+    """label and lean of every label in ``votes``, from all transcripts it occurs in: above 0 the interviewer.
 
-    A label's transcripts vote: it is the interviewer where the only known role
-    beside it is the participant, or the reverse; where both or neither are known,
-    whoever asks in more than half of the utterances is. Counts are aggregated
-    before the shuffle.
+    A label's transcripts vote: for the interviewer where the only known role beside
+    it is the participant, or the reverse; the lean is the votes' mean. Where they
+    cancel out or both or neither role are known, it is the share of questions among
+    its utterances above a half, times two. Counts are aggregated before the shuffle.
     """
     v = unsure.select(F.explode("votes").alias("v")).select("v.*").where("label <> ''")
-    total = v.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("vote", "n", "q")])
-    is_interviewer = (F.col("vote") > 0) | ((F.col("vote") == 0) & (F.col("q") * 2 > F.col("n")))
-    return total.select("label", F.when(is_interviewer, speakers.INTERVIEWER).otherwise(speakers.PARTICIPANT).alias("role"))
+    total = v.groupBy("label").agg(F.count("*").alias("texts"), *[F.sum(c).alias(c) for c in ("vote", "n", "q")])
+    return total.select("label", F.when(F.col("vote") != 0, F.col("vote") / F.col("texts")).otherwise((F.col("q") * 2 - F.col("n")) / F.col("n")).alias("lean"))
 
 
 def learn_labels(transcripts: DataFrame, text: str) -> dict[str, str]:
-    """Roles of labels that the roster lacks (``_label_roles``), for a look at few of them: more than ``LEARNED_LABELS`` raise."""
+    """Roles that labels outside the roster lean to (``_label_leans``), for a look at few of them: more than ``LEARNED_LABELS`` raise."""
     read_ = _read_all(transcripts.where(F.col(text).isNotNull()).select(F.lit(0).alias("k"), F.col(text).alias("t")))
-    found = _label_roles(read_.where(F.col("votes").isNotNull())).limit(LEARNED_LABELS + 1).collect()
+    found = _label_leans(read_.where(F.col("votes").isNotNull())).limit(LEARNED_LABELS + 1).collect()
     if len(found) > LEARNED_LABELS:
         raise ValueError(f"more than {LEARNED_LABELS} labels outside the roster")
-    return {r.label: r.role for r in found}
+    return {r.label: speakers.INTERVIEWER if r.lean > 0 else speakers.PARTICIPANT for r in found}
 
 
 def speaker_turns(transcripts: DataFrame, record_id: str, text: str) -> DataFrame:
@@ -345,7 +344,7 @@ def speaker_turns(transcripts: DataFrame, record_id: str, text: str) -> DataFram
     One row per turn of every row of ``transcripts``: repeated rows give repeated
     turns. Only the two named columns are read. A transcript is read where it lies,
     in Arrow batches, and its turns are written if all its labels are known. The
-    others wait for the roles of their labels: those of all labels are a written
+    others wait for the leans of their labels: those of all labels are a written
     table, joined to the distinct labels of each text. Only these texts shuffle.
     """
     narrow = transcripts.where(F.col(text).isNotNull()).select(F.col(record_id).alias("k"), F.col(text).alias("t"))
@@ -354,15 +353,15 @@ def speaker_turns(transcripts: DataFrame, record_id: str, text: str) -> DataFram
     unsure = found.where(F.col("t").isNotNull()).select("k", "t", "votes", "h")
     if unsure.isEmpty():
         return sure
-    roles = materialise(_label_roles(unsure), "label-roles")
+    leans = materialise(_label_leans(unsure), "label-leans")
     pairs = materialise(unsure.select("h", F.explode("votes.label").alias("label")).distinct(), "text-labels")
-    learned = hot_split_join(pairs, roles, "label").groupBy("h").agg(F.collect_list(F.struct("label", "role")).alias("x"))
-    waiting = hot_split_join(unsure, learned, "h", "left").select("k", "t", F.col("x.label").alias("labels"), F.col("x.role").alias("roles"))
+    learned = hot_split_join(pairs, leans, "label").groupBy("h").agg(F.collect_list(F.struct("label", "lean")).alias("x"))
+    waiting = hot_split_join(unsure, learned, "h", "left").select("k", "t", F.col("x.label").alias("labels"), F.col("x.lean").alias("leans"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for key, value, labels, own in zip(batch["k"], batch["t"], batch["labels"], batch["roles"], strict=True):
+            for key, value, labels, own in zip(batch["k"], batch["t"], batch["labels"], batch["leans"], strict=True):
                 rows += _rows(key, turns_of(value, {} if labels is None else dict(zip(labels, own, strict=True))))
             yield pd.DataFrame(rows, columns=["k", *_TURN])
 

@@ -69,6 +69,24 @@ def test_more_labels_than_the_driver_would_hold(spark):
     assert got.count() == 3 * (len(rows) - 1) + 1
 
 
+def test_labels_of_a_transcript_use_both_roles(spark):
+    neither_asks = "Zoe: Tell me more.\nBea: Well, the boy fell.\nZoe: Go on.\nBea: He ran."
+    rows = [(f"n{i}", neither_asks) for i in range(4)] + [("asks", neither_asks.replace("Go on.", "What then?"))]
+    rows += [(f"k{i}", "INV: Look at this.\nUma: I see.\nINV: Go on.\nUma: Yes.") for i in range(4)] + [("beside", "PAR: I see.\nUma: Go on.\nPAR: Yes.\nUma: Good.")]
+    rows += [("digits", "@Begin\n*SPK1:\tHe ran.\n*SPK2:\tWhy?\n*SPK1:\tSo."), ("one", "Bea: He ran.\nBea: So.")]
+    got = turns.speaker_turns(spark.createDataFrame(rows, "case_id string, transcript string"), "case_id", "transcript")
+    said = {}
+    for r in got.orderBy("case_id", "turn_no").collect():
+        said[r.case_id] = said.get(r.case_id, "") + r.speaker[0]
+    assert said == {f"n{i}": "ipip" for i in range(4)} | {"asks": "ipip", "beside": "pipi", "digits": "pip", "one": "p"} | {f"k{i}": "ipip" for i in range(4)}
+
+
+def test_least_cost_moves_one_label_only():
+    n = {x: (4, 0) for x in ("Uma", "Bea", "Zoe")}
+    assert speakers.assign_roles(n, {"uma": -0.9, "bea": -1.0, "zoe": -0.2}, {}) == {"Uma": "participant", "Bea": "participant", "Zoe": "interviewer"}
+    assert speakers.assign_roles(n | {"INV": (4, 4)}, {"uma": 0.9, "bea": 0.1, "zoe": 0.2}, {}) == {"INV": "interviewer", "Uma": "interviewer", "Bea": "participant", "Zoe": "interviewer"}
+
+
 def test_very_long_text():
     text = "\n".join(f"{'Q' if i % 2 else 'A'}: {'word ' * 50}" for i in range(4000))
     assert len(flat(text)) == 4000
