@@ -146,7 +146,7 @@ class Sketch:
         return min(max(below, 0.0), float(self.count))
 
     def rank_error(self) -> float:
-        """A bound of the error of ``rank``, from the counters' tails (holds with high probability)."""
+        """A bound of the error of ``rank``, from the counters' tails. It holds where no prefix meets the largest counters."""
         keep = self.shape.width // 8
         total = 0.0
         for level in self.shape.levels:
@@ -154,6 +154,19 @@ class Sketch:
             total += float(np.median(squares[:, : self.shape.width - keep].sum(axis=1)))
         return 3.0 * float(np.sqrt(total / self.shape.width))
 
+    def sure_error(self) -> float:
+        """A bound of the error of ``rank`` that counts collisions with heavy values too: three standard deviations, from all counters of the worst row of each level."""
+        total = sum(float((self.hashed[level].astype(np.float64) ** 2).sum(axis=1).max()) for level in self.shape.levels)
+        return min(3.0 * float(np.sqrt(total / self.shape.width)), float(max(self.count, 0)))
+
+    def rank_between(self, code: int) -> tuple[float, float]:
+        """Least and most values with a smaller code: by ``sure_error``, and never beyond what the exact counts of the leading bits leave."""
+        if code >= 1 << self.shape.bits:
+            return float(self.count), float(self.count)
+        top = code >> len(self.shape.levels)
+        floor, rank, e = float(self.exact[:top].sum()), self.rank(code), self.sure_error()
+        return max(floor, rank - e), min(floor + float(self.exact[top]), rank + e)
+
     def quantile(self, q: float) -> float | None:
         """A value whose rank is about ``q`` of the count; None of an empty sketch."""
         if self.count <= 0:
@@ -335,7 +348,7 @@ def percentiles(merged: DataFrame, keys: Sequence[str], at: Sequence[float] = (0
             found = [Sketch.of_parts([(p["level"], p["counters"]) for p in ps], int(n), shape) for ps, n in zip(batch["parts"], batch["n"], strict=True)]
             for q, name in zip(at, names, strict=True):
                 out[name] = [s.quantile(q) for s in found]
-            out["rank_error"] = [s.rank_error() / s.count if s.count > 0 else None for s in found]
+            out["rank_error"] = [s.sure_error() / s.count if s.count > 0 else None for s in found]
             yield out
 
     return _whole(merged, keys).mapInPandas(run, schema=f"{_fields(merged, keys)}, n long, {', '.join(f'{x} double' for x in names)}, rank_error double")
@@ -354,9 +367,9 @@ def rank_bounds(merged: DataFrame, keys: Sequence[str], points: DataFrame, point
             rows = []
             for ps, n, p in zip(batch["parts"], batch["n"], batch[point], strict=True):
                 s = Sketch.of_parts([(x["level"], x["counters"]) for x in ps], int(n), shape)
-                code, e = int(encode(np.array([p]), shape.bits)[0]), s.rank_error()
-                low, high = s.rank(code), s.rank(code + 1)
-                rows.append((max(0.0, low - e), min(float(n), high + e), max(0.0, n - high - e), min(float(n), n - low + e)))
+                code = int(encode(np.array([p]), shape.bits)[0])
+                (low, _), (_, high) = s.rank_between(code), s.rank_between(code + 1)
+                rows.append((low, high, n - high, n - low))
             extra = pd.DataFrame(rows, columns=["below_least", "below_most", "above_least", "above_most"], index=batch.index, dtype=float)
             yield pd.concat([batch.drop(columns="parts"), extra], axis=1)
 

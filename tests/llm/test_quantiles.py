@@ -73,3 +73,35 @@ def test_rank_bounds(spark):
     assert set(got) == {"a", None}
     assert got["a"].below_least <= 30 <= got["a"].below_most and got["a"].above_least <= 69 <= got["a"].above_most
     assert got[None].below_least <= 0 <= got[None].below_most and got[None].n == 10
+
+
+def test_bounds_hold_where_heavy_values_collide():
+    rng = np.random.default_rng(5)
+    beyond_tail = 0
+    for _ in range(60):
+        v = np.repeat(rng.uniform(1, 2, 60), 100)
+        s = Q.Sketch()
+        s.add(Q.encode(v))
+        codes = np.sort(Q.encode(v))
+        for c in np.unique(codes).tolist():
+            true = int(np.searchsorted(codes, c))
+            low, high = s.rank_between(c)
+            assert low - 1e-6 <= true <= high + 1e-6
+            beyond_tail += abs(s.rank(c) - true) > s.rank_error() + 1e-6
+    assert beyond_tail > 0
+
+
+def test_rank_bounds_hold_where_heavy_values_collide(spark):
+    rng = np.random.default_rng(5)
+    rows, points, want = [], [], {}
+    for i in range(60):
+        v = np.repeat(rng.uniform(1, 2, 60), 2)
+        p = float(np.sort(v)[40])
+        rows += [(str(i), 0, float(x), "x") for x in v]
+        points.append((str(i), p))
+        want[str(i)] = (int((v < p).sum()), int((v > p).sum()))
+    got = Q.rank_bounds(Q.merge(Q.sketch(frame(spark, rows), ["k"], "v"), ["k"]), ["k"], spark.createDataFrame(points, "k string, p double"), "p").collect()
+    assert len(got) == 60
+    for r in got:
+        below, above = want[r.k]
+        assert r.below_least <= below <= r.below_most and r.above_least <= above <= r.above_most
