@@ -160,9 +160,15 @@ def state_support(values: DataFrame, prototypes: DataFrame, unit: str) -> DataFr
     return d.withColumn("_e", e).select(unit, "label", (F.col("_e") / F.sum("_e").over(w)).alias("support"))
 
 
+#: Labels whose rows are counted on the driver.
+MAX_LABELS = 10_000
+
+
 def balanced_weights(df: DataFrame, label: str) -> Column:
-    """Row weights that give every label the same total: rows over labels times the label's rows."""
-    counts = {r[label]: r["count"] for r in df.groupBy(label).count().limit(10_000).collect()}
+    """Row weights that give every label the same total: rows over labels times the label's rows. More than ``MAX_LABELS`` labels raise."""
+    counts = {r[label]: r["count"] for r in df.groupBy(label).count().limit(MAX_LABELS + 1).collect()}
+    if len(counts) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
     total = sum(counts.values())
     return F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() if k is not None for x in (k, total / (len(counts) * n))]), F.col(label))
 

@@ -248,10 +248,9 @@ def _(t: Tables) -> DataFrame:
 SELECT g.metric_id, s.task_scope, count(*) AS expected, count(v.value) AS present FROM s CROSS JOIN metric_registry g LEFT JOIN v USING (subject_id, task_scope, metric_id) GROUP BY ALL""",
 )
 def _(t: Tables) -> DataFrame:
-    """Every subject and scope it performed, times the registry, with what is there. The registry is fixed and small, so the grid is a bounded explode."""
+    """Every subject and scope it performed, times the registry, with what is there. The registry is a small table, broadcast whole."""
     e = ev(t)
-    names = F.array(*[F.lit(x.metric_id) for x in t.metric_registry.select("metric_id").distinct().limit(2000).collect()])
-    grid = e.select("subject_id", "task_scope").distinct().select("subject_id", "task_scope", F.explode(names).alias("metric_id"))
+    grid = e.select("subject_id", "task_scope").distinct().crossJoin(F.broadcast(t.metric_registry.select("metric_id").distinct()))
     v = e.groupBy("subject_id", "task_scope", "metric_id").agg(F.min("value").alias("value"))
     return grid.join(v, ["subject_id", "task_scope", "metric_id"], "left").groupBy("metric_id", "task_scope").agg(F.count("*").alias("expected"), F.count("value").alias("present"))
 

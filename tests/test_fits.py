@@ -63,3 +63,20 @@ def test_multinomial_with_missing_values(spark):
     model = fit.multinomial(df, ["a", "b"], "y")
     out = model.transform(fit.with_indicators(df, ["a", "b"]))
     assert out.where("prediction = y").count() > 140
+
+
+def test_balanced_weights_refuse_more_labels_than_they_hold(spark):
+    with pytest.raises(ValueError, match="10000 labels"):
+        fit.balanced_weights(spark.range(10_001), "id")
+
+
+def test_expected_grid_has_every_name_of_a_long_registry(spark, tmp_path):
+    import shutil
+
+    import __spark_entry__
+
+    shutil.copy(f"{__spark_entry__.SMOKE}/metric_evidence.parquet", tmp_path)
+    registry = spark.read.parquet(f"{__spark_entry__.SMOKE}/metric_registry.parquet").limit(1).drop("metric_id").crossJoin(spark.range(2100).select(F.format_string("m%d", "id").alias("metric_id")))
+    registry.write.parquet(f"{tmp_path}/metric_registry.parquet")
+    got = __spark_entry__.queries()["j13_expected_grid"](spark, str(tmp_path))
+    assert got.select("metric_id").distinct().count() == 2100
