@@ -8,8 +8,9 @@ A rank is a sum of at most one prefix count per resolution; a quantile is found
 by descending the resolutions.
 
 The coarsest resolutions are exact counts. The error of a rank is bounded from
-the sketch itself by the tail guarantee of Count-sketches: what remains of each
-level's second moment without its heaviest counters, over the width.
+the sketch itself: three standard deviations, from the second moment of each
+level's counters over the width. Groups with few different values stay plain
+codes and have no error.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import batched, groupby
 
 import numpy as np
 import pandas as pd
@@ -48,8 +50,12 @@ class Shape:
 
 DEFAULT = Shape()
 
-#: Values a task holds before it folds them into sketches, and groups it holds sketches of before it hands them on.
-BUFFER_VALUES, BUFFER_GROUPS = 2_000_000, 256
+#: Values a task holds before it folds them, groups it holds sketches of before it hands them on, and rows of an outgoing batch.
+BUFFER_VALUES, BUFFER_GROUPS, BATCH_ROWS = 2_000_000, 256, 2048
+#: A group with at most this many different codes in a fold travels as plain codes, which take less room than a sketch of them.
+PLAIN_CODES = 1024
+#: Levels of the rows that hold plain codes and the exact counts.
+PLAIN, EXACT = -2, -1
 
 
 def encode(values: np.ndarray, bits: int = 32) -> np.ndarray:
@@ -146,7 +152,7 @@ class Sketch:
         return min(max(below, 0.0), float(self.count))
 
     def rank_error(self) -> float:
-        """A bound of the error of ``rank``, from the counters' tails. It holds where no prefix meets the largest counters."""
+        """The tail guarantee of Count-sketches: a bound of the error of ``rank`` where no prefix meets the largest counters; ``sure_error`` is the one reported."""
         keep = self.shape.width // 8
         total = 0.0
         for level in self.shape.levels:
@@ -190,22 +196,65 @@ class Sketch:
         return float(decode(np.array([code], dtype=np.uint64), self.shape.bits)[0])
 
     def parts(self) -> Iterator[tuple[int, bytes]]:
-        """Level and packed counters; level -1 holds the exact counts."""
-        yield -1, _pack(self.exact)
+        """Level and packed counters."""
+        yield EXACT, _pack(self.exact)
         for level in self.shape.levels:
             yield level, _pack(self.hashed[level].ravel())
 
     @classmethod
-    def of_parts(cls, parts: Sequence[tuple[int, bytes]], count: int, shape: Shape = DEFAULT) -> Sketch:
+    def of_parts(cls, parts: Sequence[tuple[int, bytes]], count: int, shape: Shape = DEFAULT) -> Sketch | Codes:
+        """What the parts of a group add up to; plain codes alone stay plain."""
+        plain = [_unpack_codes(packed) for level, packed in parts if level == PLAIN]
+        if len(plain) == len(parts):
+            return Codes(shape).add(*map(np.concatenate, zip(*plain, strict=True))) if plain else cls(shape)
         self = cls(shape)
+        for codes, weights in plain:
+            self.add(codes, weights)
         self.count = count
         for level, packed in parts:
-            if level < 0:
-                self.exact = _unpack(packed)
-            else:
-                self.hashed[level] = _unpack(packed).reshape(shape.depth, shape.width)
+            if level == EXACT:
+                self.exact += _unpack(packed)
+            elif level >= 0:
+                self.hashed[level] += _unpack(packed).reshape(shape.depth, shape.width)
+        return self
+
+
+class Codes:
+    """A small group as its different codes and their counts: what a sketch answers, without error."""
+
+    def __init__(self, shape: Shape = DEFAULT) -> None:
+        self.shape, self.codes, self.weights = shape, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+
+    def add(self, codes: np.ndarray, weights: np.ndarray) -> Codes:
+        self.codes, at = np.unique(np.concatenate((self.codes, codes)), return_inverse=True)
+        self.weights = np.bincount(at, np.concatenate((self.weights, weights)), len(self.codes)).astype(np.int64)
         return self
 
+    @property
+    def count(self) -> int:
+        return int(self.weights.sum())
+
+    def sketch(self) -> Sketch:
+        s = Sketch(self.shape)
+        s.add(self.codes, self.weights)
+        return s
+
+    def rank(self, code: int) -> float:
+        return float(self.weights[: np.searchsorted(self.codes, np.uint64(code))].sum())
+
+    def sure_error(self) -> float:
+        return 0.0
+
+    def rank_between(self, code: int) -> tuple[float, float]:
+        return self.rank(code), self.rank(code)
+
+    def quantile(self, q: float) -> float | None:
+        if self.count <= 0:
+            return None
+        target = min(max(q, 0.0), 1.0) * (self.count - 1)
+        at = int(np.searchsorted(np.cumsum(self.weights), target, side="right"))
+        return float(decode(self.codes[min(at, len(self.codes) - 1)][None], self.shape.bits)[0])
+
 
 def _pack(counters: np.ndarray) -> bytes:
     """Non-zero counters and the gaps between them, each as narrow as it can be, deflated."""
@@ -228,65 +277,39 @@ def _unpack(packed: bytes) -> np.ndarray:
     return out
 
 
+def _pack_codes(codes: np.ndarray, weights: np.ndarray) -> bytes:
+    kept = weights != 0
+    return _pack(np.concatenate((codes[kept].astype(np.uint64).view(np.int64), weights[kept].astype(np.int64))))
+
+
+def _unpack_codes(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    codes, weights = np.split(_unpack(packed), 2)
+    return codes.view(np.uint64), weights
+
+
 def _fields(df: DataFrame, keys: Sequence[str]) -> str:
     kinds = dict(df.dtypes)
     return ", ".join(f"`{k}` {kinds[k]}" for k in keys)
 
 
 def sketch(rows: DataFrame, keys: Sequence[str], value: str, weight: str | None = None, shape: Shape = DEFAULT) -> DataFrame:
-    """One partial sketch per task and group, as rows of keys, level, n and counters.
+    """Partial sketches of each task and group, as rows of keys, level, n and counters.
 
     keys: group columns (null is a group). value: numeric; null, NaN and infinite
     values are not counted. weight: a column of whole numbers, -1 to delete a row;
     null counts as 0. Other columns are ignored. No shuffle: what leaves a task is
     its counters and not its rows. ``merge`` adds the parts up.
+
+    A task folds ``BUFFER_VALUES`` values at a time. Of a fold, groups with few
+    different codes leave at once as plain codes (``PLAIN_CODES``); the others, which
+    number at most ``BUFFER_VALUES / PLAIN_CODES``, are added to sketches, of which
+    a task holds ``BUFFER_GROUPS``. So memory does not grow with the groups.
     """
     narrow = rows.select(*keys, F.col(value).cast("double").alias("__v"), (F.lit(1) if weight is None else F.coalesce(F.col(weight), F.lit(0))).cast("long").alias("__w"))
     narrow = narrow.where(F.col("__v").isNotNull() & ~F.isnan("__v") & (F.abs("__v") < float("inf")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, Sketch] = {}
-        waiting: list[pa.RecordBatch] = []
-
-        def fold() -> None:
-            table = pa.Table.from_batches(waiting)
-            waiting.clear()
-            code = np.zeros(len(table), dtype=np.int64)
-            columns = []
-            for k in keys:
-                d = table.column(k).combine_chunks().dictionary_encode(null_encoding="encode")
-                columns.append(d.dictionary.to_pylist())
-                code = code * max(1, len(columns[-1])) + np.asarray(d.indices.to_numpy(zero_copy_only=False), dtype=np.int64)
-            values, weights = table.column("__v").to_numpy(), table.column("__w").to_numpy()
-            order = np.argsort(code, kind="stable")
-            groups, starts = np.unique(code[order], return_index=True)
-            for g, at in zip(groups, np.split(order, starts[1:]), strict=True):
-                names, rest = [], int(g)
-                for c in reversed(columns):
-                    rest, i = divmod(rest, max(1, len(c)))
-                    names.append(c[i])
-                w = weights[at]
-                held.setdefault(tuple(reversed(names)), Sketch(shape)).add(encode(values[at], shape.bits), None if (w == 1).all() else w)
-                if len(held) > BUFFER_GROUPS:
-                    ready.extend(held.items())
-                    held.clear()
-
-        ready: list[tuple[tuple, Sketch]] = []
-        size = 0
-        for b in batches:
-            waiting.append(b)
-            size += len(b)
-            if size >= BUFFER_VALUES:
-                size = 0
-                fold()
-                while ready:
-                    yield _batch(keys, narrow_types, *ready.pop())
-        if size:
-            fold()
-        for item in ready:
-            yield _batch(keys, narrow_types, *item)
-        for item in held.items():
-            yield _batch(keys, narrow_types, *item)
+        return _outgoing(_folded(batches, keys, shape), keys, narrow_types)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -294,44 +317,118 @@ def sketch(rows: DataFrame, keys: Sequence[str], value: str, weight: str | None
     return narrow.mapInArrow(run, schema=f"{_fields(rows, keys)}, level int, n long, counters binary")
 
 
-def _batch(keys: Sequence[str], types: Sequence[pa.DataType], names: tuple, s: Sketch) -> pa.RecordBatch:
-    parts = list(s.parts())
-    m = len(parts)
-    arrays = [pa.array([v] * m, type=t) for v, t in zip(names, types, strict=True)]
-    return pa.RecordBatch.from_arrays([*arrays, pa.array([p[0] for p in parts], pa.int32()), pa.array([s.count] * m, pa.int64()), pa.array([p[1] for p in parts], pa.binary())], names=[*keys, "level", "n", "counters"])
+def _groups(waiting: list[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+    """names, values and weights of each group of the batches."""
+    table = pa.Table.from_batches(waiting)
+    code, columns = np.zeros(len(table), dtype=np.int64), []
+    for k in keys:
+        d = table.column(k).combine_chunks().dictionary_encode(null_encoding="encode")
+        columns.append(d.dictionary.to_pylist())
+        # Renumbered after each key, so that the product of the keys' sizes cannot overflow.
+        _, code = np.unique(code * max(1, len(columns[-1])) + np.asarray(d.indices.to_numpy(zero_copy_only=False), dtype=np.int64), return_inverse=True)
+        columns[-1] = (columns[-1], np.asarray(d.indices.to_numpy(zero_copy_only=False)))
+    values, weights = table.column("__v").to_numpy(), table.column("__w").to_numpy()
+    order = np.argsort(code, kind="stable")
+    starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+    for at in np.split(order, starts[1:]):
+        yield tuple(names[indices[at[0]]] for names, indices in columns), values[at], weights[at]
+
+
+def _folded(batches: Iterator[pa.RecordBatch], keys: Sequence[str], shape: Shape) -> Iterator[tuple[tuple, int, int, bytes]]:
+    held: dict[tuple, Sketch] = {}
+    waiting: list[pa.RecordBatch] = []
+
+    def fold() -> Iterator[tuple[tuple, int, int, bytes]]:
+        for names, values, weights in _groups(waiting, keys):
+            codes, at = np.unique(encode(values, shape.bits), return_inverse=True)
+            w = np.bincount(at, weights, len(codes)).astype(np.int64)
+            if names in held:
+                held[names].add(codes, w)
+            elif len(codes) <= PLAIN_CODES:
+                yield names, PLAIN, int(w.sum()), _pack_codes(codes, w)
+            else:
+                if len(held) >= BUFFER_GROUPS:
+                    oldest = next(iter(held))
+                    yield from _sketch_rows(oldest, held.pop(oldest))
+                held[names] = Sketch(shape)
+                held[names].add(codes, w)
+
+    size = 0
+    for b in batches:
+        waiting.append(b)
+        size += len(b)
+        if size >= BUFFER_VALUES:
+            yield from fold()
+            waiting.clear()
+            size = 0
+    if size:
+        yield from fold()
+    while held:
+        names = next(iter(held))
+        yield from _sketch_rows(names, held.pop(names))
+
+
+def _sketch_rows(names: tuple, s: Sketch) -> Iterator[tuple[tuple, int, int, bytes]]:
+    for level, packed in s.parts():
+        yield names, level, s.count, packed
+
+
+def _outgoing(rows: Iterator[tuple[tuple, int, int, bytes]], keys: Sequence[str], types: Sequence[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """The rows in Arrow batches of at most ``BATCH_ROWS``."""
+    for some in batched(rows, BATCH_ROWS):
+        names, levels, ns, counters = zip(*some, strict=True)
+        arrays = [pa.array([n[i] for n in names], type=t) for i, t in enumerate(types)]
+        yield pa.RecordBatch.from_arrays([*arrays, pa.array(levels, pa.int32()), pa.array(ns, pa.int64()), pa.array(counters, pa.binary())], names=[*keys, "level", "n", "counters"])
 
 
-def merge(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add up the parts of each group and level: one row each.
+def merge(parts: DataFrame, keys: Sequence[str], shape: Shape = DEFAULT) -> DataFrame:
+    """Add up the parts of each group and level: one row each, or two where plain codes outgrew ``PLAIN_CODES``.
 
     parts: rows of ``sketch``, of one call or of several joined by
     ``unionByName`` (other files or days, deletions), of one shape. ``keys`` may
-    be fewer than those sketched, which merges over the others. Each task adds
-    counters as they arrive and holds one array per group and level it was dealt,
-    however many parts there are.
+    be fewer than those sketched, which merges over the others. Parts come sorted,
+    so a task holds one sum at a time, however many parts and groups there are;
+    the levels of a group lie with different tasks.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple, list] = {}
-        for batch in batches:
-            for row in batch.itertuples(index=False, name=None):
-                at = tuple(None if isinstance(v, float) and v != v else v for v in row[:-2])
-                counters = _unpack(row[-1])
-                if at in sums:
-                    sums[at][0] += row[-2]
-                    sums[at][1] += counters
-                else:
-                    sums[at] = [row[-2], counters]
-        if sums:
-            yield pd.DataFrame([(*at, n, _pack(c)) for at, (n, c) in sums.items()], columns=[*keys, "level", "n", "counters"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _outgoing(_summed(batches, len(keys), shape), keys, types)
+
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    narrow = parts.select(*keys, "level", "n", "counters").repartition(*keys, "level")
-    return narrow.mapInPandas(run, schema=f"{_fields(parts, keys)}, level int, n long, counters binary")
+    types = [to_arrow_type(parts.schema[k].dataType) for k in keys]
+    narrow = parts.select(*keys, "level", "n", "counters").repartition(*keys, "level").sortWithinPartitions(*keys, "level")
+    return narrow.mapInArrow(run, schema=f"{_fields(parts, keys)}, level int, n long, counters binary")
+
+
+def _summed(batches: Iterator[pa.RecordBatch], width: int, shape: Shape) -> Iterator[tuple[tuple, int, int, bytes]]:
+    rows = (row for b in batches for row in zip(*[b.column(i).to_pylist() for i in range(b.num_columns)], strict=True))
+    for (*names, level), some in groupby(rows, key=lambda row: row[: width + 1]):
+        n = 0
+        if level != PLAIN:
+            total = None
+            for *_, part, packed in some:
+                n += part
+                counters = _unpack(packed)
+                total = counters if total is None else total + counters
+            yield tuple(names), level, n, _pack(total)
+            continue
+        plain, grown = Codes(shape), None
+        for *_, packed in some:
+            codes, weights = _unpack_codes(packed)
+            if grown is not None:
+                grown.add(codes, weights)
+            elif len(plain.add(codes, weights).codes) > 8 * PLAIN_CODES:
+                grown = plain.sketch()
+        if grown is not None:
+            yield from _sketch_rows(tuple(names), grown)
+        else:
+            yield tuple(names), PLAIN, plain.count, _pack_codes(plain.codes, plain.weights)
 
 
 def _whole(merged: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row a group with its levels (at most ``bits`` of them)."""
-    return merged.groupBy(*keys).agg(F.max("n").alias("n"), F.collect_list(F.struct("level", "counters")).alias("parts"))
+    """One row a group with its parts, of which there are at most two a level."""
+    return merged.groupBy(*keys).agg(F.sum(F.when(F.col("level") < 0, F.col("n")).otherwise(0)).alias("n"), F.collect_list(F.struct("level", "counters")).alias("parts"))
 
 
 def percentiles(merged: DataFrame, keys: Sequence[str], at: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95), shape: Shape = DEFAULT) -> DataFrame:

@@ -105,3 +105,56 @@ def test_rank_bounds_hold_where_heavy_values_collide(spark):
     for r in got:
         below, above = want[r.k]
         assert r.below_least <= below <= r.below_most and r.above_least <= above <= r.above_most
+
+
+def test_many_groups_in_one_task_leave_as_they_come():
+    """Memory does not grow with the groups: 40,000 of them, and 300 large ones, through the fold of one task."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def batches():
+        for i in range(4):
+            k = [f"g{j}" for j in range(i * 10_000, i * 10_000 + 10_000) for _ in range(2)]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.arange(20_000) / 7), pa.array(np.ones(20_000, np.int64))], names=["k", "__v", "__w"])
+        for i in range(300):
+            yield pa.RecordBatch.from_arrays([pa.array([f"big{i}"] * 1500), pa.array(np.arange(1500) / 7 + i), pa.array(np.ones(1500, np.int64))], names=["k", "__v", "__w"])
+
+    tracemalloc.start()
+    groups, levels, total = set(), {}, 0
+    for names, level, n, _ in Q._folded(batches(), ["k"], Q.DEFAULT):
+        groups.add(names)
+        levels[level] = levels.get(level, 0) + 1
+        total += n if level < 0 else 0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(groups) == 40_300 and total == 80_000 + 450_000
+    assert levels[Q.PLAIN] == 40_000 and levels[Q.EXACT] == 300
+    # A sketch holds 0.44 MB; all groups' sketches would be 17 GB.
+    assert peak < 300 << 20
+
+
+def test_plain_codes_and_sketches_of_a_group_add_up(spark):
+    rng = np.random.default_rng(7)
+    big, small = rng.normal(size=5000), rng.normal(size=50)
+    a = Q.sketch(frame(spark, [("a", 0, float(x), "x") for x in big]).repartition(1), ["k"], "v")
+    b = Q.sketch(frame(spark, [("a", 1, float(x), "x") for x in small]).repartition(1), ["k"], "v")
+    assert {r.level for r in b.collect()} == {Q.PLAIN} and Q.PLAIN not in {r.level for r in a.collect()}
+    got = Q.percentiles(Q.merge(a.unionByName(b), ["k"]), ["k"]).first()
+    both = np.sort(np.concatenate((big, small)))
+    assert got.n == 5050 and abs(np.searchsorted(both, got.p50) - 2525) <= got.rank_error * 5050 + 1
+    # Plain parts alone grow into a sketch when they are many.
+    many = [Q.sketch(frame(spark, [("a", i, float(x), "x") for x in big[i * 900 : i * 900 + 900]]).repartition(1), ["k"], "v") for i in range(5)]
+    codes = [Q._unpack_codes(bytes(r.counters)) for m in many for r in m.collect()]
+    rows = [(("a", Q.PLAIN, int(w.sum()), Q._pack_codes(c, w))) for c, w in codes] * 1
+    grown = dict.fromkeys(lv for _, lv, _, _ in Q._summed(iter([_batch_of(rows)]), 1, Q.Shape()))
+    assert set(grown) == {Q.PLAIN}
+    more = [("a", Q.PLAIN, 900, Q._pack_codes(np.sort(rng.integers(0, 2**32, 900).astype(np.uint64)), np.ones(900, np.int64))) for _ in range(12)]
+    assert Q.PLAIN not in {lv for _, lv, _, _ in Q._summed(iter([_batch_of(more)]), 1, Q.Shape())}
+
+
+def _batch_of(rows):
+    import pyarrow as pa
+
+    k, level, n, c = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(k), pa.array(level, pa.int32()), pa.array(n, pa.int64()), pa.array(c, pa.binary())], names=["k", "level", "n", "counters"])
