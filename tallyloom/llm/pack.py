@@ -22,6 +22,8 @@ from tallyloom.session import materialise
 
 #: The capacity bounds the histogram that the driver holds.
 MAX_CAPACITY = 1 << 16
+#: Pieces that one task ranks within their bucket, about.
+RANKED = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -41,8 +43,9 @@ def optimal_bounds(counts: np.ndarray, buckets: int) -> list[int]:
     """Upper bounds of at most ``buckets`` buckets that minimise padding.
 
     counts[s] is the number of items of length s; an item is padded to the bound
-    of its bucket. Only lengths that occur can be bounds. O(buckets x lengths^2)
-    on whole rows of numpy.
+    of its bucket. Only lengths that occur can be bounds. The padding of a bucket
+    is a Monge cost, so the best split never moves back as the lengths grow, and
+    each bucket takes O(lengths log lengths) steps and O(lengths) memory.
     """
     sizes = np.flatnonzero(counts)
     sizes = sizes[sizes > 0]
@@ -51,29 +54,45 @@ def optimal_bounds(counts: np.ndarray, buckets: int) -> list[int]:
         return [int(s) for s in sizes]
     n = np.concatenate(([0.0], np.cumsum(counts[sizes], dtype=np.float64)))
     total = np.concatenate(([0.0], np.cumsum(counts[sizes] * sizes, dtype=np.float64)))
-    # cost[i, j]: padding of lengths i .. j in one bucket
-    bound = sizes.astype(np.float64)
-    cost = bound[None, :] * (n[None, 1:] - n[:-1, None]) - (total[None, 1:] - total[:-1, None])
-    cost[np.tril_indices(k, -1)] = np.inf
-    best = cost[0].copy()
-    back = np.zeros((buckets, k), dtype=np.int32)
+    bound = np.concatenate(([0.0], sizes.astype(np.float64)))
+    # best[j]: least padding of the j shortest lengths in the buckets so far
+    best = bound * n - total
+    back = np.zeros((buckets, k + 1), dtype=np.int32)
     for b in range(1, buckets):
-        through = best[:-1, None] + cost[1:, :]
-        back[b] = through.argmin(axis=0) + 1
-        better = through.min(axis=0)
-        back[b][best <= better] = -1
-        best = np.minimum(best, better)
-    bounds, j, b = [], k - 1, buckets - 1
-    while j >= 0:
-        bounds.append(int(sizes[j]))
-        while b > 0 and back[b][j] < 0:
-            b -= 1
-        if b == 0:
-            break
-        j, b = int(back[b][j]) - 1, b - 1
+        best, back[b] = _one_more_bucket(best, bound, n, total)
+    bounds, j = set(), k
+    for b in reversed(range(buckets)):
+        if j and back[b][j] < j:
+            bounds.add(int(sizes[j - 1]))
+        j = int(back[b][j])
     return sorted(bounds)
 
 
+def _one_more_bucket(best: np.ndarray, bound: np.ndarray, n: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least padding with one more bucket, and where that bucket begins; all middles of a depth of the division at once."""
+    size = len(best)
+    out, split = np.empty(size), np.zeros(size, dtype=np.int32)
+    first, last = np.array([0]), np.array([size - 1])
+    low, high = np.array([0]), np.array([size - 1])
+    while len(first):
+        mid = (first + last) // 2
+        width = np.minimum(high, mid) - low + 1
+        starts = np.concatenate(([0], np.cumsum(width)[:-1]))
+        i = np.arange(width.sum()) - np.repeat(starts - low, width)
+        j = np.repeat(mid, width)
+        cost = best[i] + bound[j] * (n[j] - n[i]) - (total[j] - total[i])
+        least = np.minimum.reduceat(cost, starts)
+        # The first of equal splits.
+        at = np.flatnonzero(cost == np.repeat(least, width))
+        at = i[at[np.searchsorted(at, starts)]]
+        out[mid], split[mid] = least, at
+        first, last = np.concatenate((first, mid + 1)), np.concatenate((mid - 1, last))
+        low, high = np.concatenate((low, at)), np.concatenate((at, high))
+        some = first <= last
+        first, last, low, high = first[some], last[some], low[some], high[some]
+    return out, split
+
+
 def plan(bounds: list[int], counts: list[int], capacity: int) -> tuple[list[Shelf], int]:
     """Shelves for all items of the buckets, and the number of containers.
 
@@ -110,8 +129,9 @@ def pack(items: DataFrame, item_id: str = "doc_id", size: str = "n_tokens", capa
     overlap. Items of size 0 or null have one row with piece_size 0 and no
     container. Negative sizes are refused. Repeated rows are items of their own.
 
-    Ranks within a bucket come from counts per written part and row numbers inside
-    a part, so a bucket holding most items is still ranked by many tasks.
+    Ranks within a bucket come from counts per hash part of the ids and row numbers
+    inside a part, so a bucket holding most items is still ranked by many tasks, and
+    the containers depend on the items and not on how their rows lie.
     """
     if not 0 < capacity <= MAX_CAPACITY:
         raise ValueError(f"capacity must be from 1 to {MAX_CAPACITY}")
@@ -120,7 +140,7 @@ def pack(items: DataFrame, item_id: str = "doc_id", size: str = "n_tokens", capa
     sized = items.select(F.col(item_id), checked.alias("_n"))
     steps = F.sequence(F.lit(0).cast("long"), F.floor((F.greatest("_n", F.lit(1)) - 1) / capacity).cast("long"))
     cut = sized.select(item_id, "_n", F.explode(steps).alias("piece_no"))
-    pieces = cut.select(item_id, "piece_no", (F.col("piece_no") * capacity).alias("piece_from"), F.least(F.lit(capacity).cast("long"), F.col("_n") - F.col("piece_no") * capacity).alias("piece_size"), F.spark_partition_id().alias("_part"))
+    pieces = cut.select(item_id, "piece_no", (F.col("piece_no") * capacity).alias("piece_from"), F.least(F.lit(capacity).cast("long"), F.col("_n") - F.col("piece_no") * capacity).alias("piece_size"))
     held = materialise(pieces, "pack-pieces")
     histogram = np.zeros(capacity + 1, dtype=np.int64)
     for r in held.where("piece_size > 0").groupBy("piece_size").count().collect():  # at most ``capacity`` rows
@@ -135,8 +155,9 @@ def pack(items: DataFrame, item_id: str = "doc_id", size: str = "n_tokens", capa
     shelves, _ = plan(bounds, counts, capacity)
     table = spark.createDataFrame([(s.bucket, s.bound, s.first, s.last, s.container, s.each, s.offset) for s in shelves], "bucket int, bound int, first long, last long, base long, each int, shift int")
     bucket_of = np.searchsorted(np.array(bounds), np.arange(1, capacity + 1)).tolist()
-    placed = held.where("piece_size > 0").withColumn("bucket", F.element_at(F.lit(bucket_of), F.col("piece_size").cast("int")))
-    ranked = placed.withColumn("_local", F.row_number().over(W.partitionBy("bucket", "_part").orderBy(item_id, "piece_no")).cast("long") - 1)
+    part = F.pmod(F.xxhash64(item_id, "piece_no"), F.lit(int(histogram.sum()) // RANKED + 1))
+    placed = held.where("piece_size > 0").withColumn("bucket", F.element_at(F.lit(bucket_of), F.col("piece_size").cast("int"))).withColumn("_part", part)
+    ranked = placed.withColumn("_local", F.row_number().over(W.partitionBy("bucket", "_part").orderBy(item_id, "piece_no", "piece_size")).cast("long") - 1)
     parts = placed.groupBy("bucket", "_part").count()
     before = parts.withColumn("_skip", F.coalesce(F.sum("count").over(W.partitionBy("bucket").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
     ranked = ranked.join(before, ["bucket", "_part"]).withColumn("_rank", F.col("_skip") + F.col("_local"))

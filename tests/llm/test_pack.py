@@ -25,6 +25,39 @@ def test_bounds_against_brute_force():
             assert got[-1] == sizes[-1] and len(got) <= b and cost(got) == best
 
 
+def test_the_largest_capacity_is_planned_soon_and_small():
+    """65,536 different lengths in 256 buckets; no worse than even steps, and the true optimum of a part of it."""
+    import time
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    counts = np.concatenate(([0], rng.integers(1, 1000, pack.MAX_CAPACITY)))
+    tracemalloc.start()
+    began = time.monotonic()
+    got = np.array(pack.optimal_bounds(counts, 256))
+    assert time.monotonic() - began < 60 and tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+
+    def padding(bounds, counts):
+        sizes = np.arange(len(counts))
+        return int((counts * (bounds[np.searchsorted(bounds, sizes)] - sizes)).sum())
+
+    assert len(got) == 256 and padding(got, counts) < padding(np.arange(256, pack.MAX_CAPACITY + 1, 256), counts)
+    few = counts[:120]
+    cost = [[0 if i >= j else int((few[i + 1 : j + 1] * (j - np.arange(i + 1, j + 1))).sum()) for j in range(120)] for i in range(120)]
+    best = [cost[0][j] for j in range(120)]
+    for _ in range(8):
+        best = [min(best[i] + cost[i][j] for i in range(j + 1)) for j in range(120)]
+    assert padding(np.array(pack.optimal_bounds(few, 9)), few) == best[-1]
+
+
+def test_containers_do_not_depend_on_where_rows_lie(spark):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, rng.randrange(1, 60)) for i in range(500)], "doc_id long, n_tokens long")
+    get = lambda d: sorted(map(tuple, pack.pack(d, capacity=64, buckets=9).collect()))
+    assert get(df.repartition(7)) == get(df.orderBy("n_tokens").coalesce(1))
+
+
 def check(spark, sizes, capacity, buckets=64):
     df = spark.createDataFrame([(i, n, "x") for i, n in enumerate(sizes)], "doc_id long, n_tokens long, place string").repartition(5)
     rows = pack.pack(df, capacity=capacity, buckets=buckets).collect()
