@@ -112,6 +112,21 @@ def p3_turns(spark: SparkSession, d: str) -> DataFrame:
     return _judged_turns(spark, d).select("case_id", "turn_no", "speaker", "language", "confidence", "whole", F.size("segments").alias("n_segments")).distinct()
 
 
+def p3_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The language of every document, and whether its label names another."""
+    documents = table(spark, d, "documents")
+    found = langid.document_languages(documents, langid.fit(documents))
+    wrong = F.col("named").isNotNull() & F.col("language").isNotNull() & (F.col("named") != F.col("language"))
+    return found.select("doc_id", "label", "language", "confidence", "whole", F.size("segments").alias("n_segments"), wrong.alias("label_differs"))
+
+
+def p3_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The parts of documents that hold several languages, each with its language."""
+    documents = table(spark, d, "documents")
+    mixed = langid.document_languages(documents, langid.fit(documents)).where(F.size("segments") > 1)
+    return mixed.select("doc_id", F.posexplode("segments").alias("segment_no", "s")).select("doc_id", "segment_no", "s.language", "s.letters", "s.confidence")
+
+
 def _named(spark: SparkSession, d: str) -> DataFrame:
     """case_id and each language its labels name."""
     names = F.pandas_udf(lambda s: s.map(langid.named_language, na_action="ignore"), "string")
@@ -161,7 +176,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_levels(spark, d).where(F.col("band") == reading.BANDS[2]).select("doc_id").distinct()
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_levels": p9_levels, "p3_found": p3_found, "p3_turns": p3_turns, "p3_cases": p3_cases, "p4_found": p4_found, "p4_turns": p4_turns, "p2_found": p2_found, "p2_percentiles": p2_percentiles, "p5_found": p5_found, "p5_splits": p5_splits, "p5_split_shares": p5_split_shares}
+QUERIES = {"p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_levels": p9_levels, "p3_found": p3_found, "p3_turns": p3_turns, "p3_cases": p3_cases, "p3_documents": p3_documents, "p3_segments": p3_segments, "p4_found": p4_found, "p4_turns": p4_turns, "p2_found": p2_found, "p2_percentiles": p2_percentiles, "p5_found": p5_found, "p5_splits": p5_splits, "p5_split_shares": p5_split_shares}
 
 ORACLES = {
     "p2_found": r"""
