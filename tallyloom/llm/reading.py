@@ -4,13 +4,16 @@ Method: a linear ranker learned from pairs of documents of which raters gave one
 a higher band, over syntax and vocabulary features; isotonic regression turns
 its scores into levels. The fit uses a bounded sample of labelled documents
 (``MAX_LABELLED``); every document is scored on its whole text.
+
+What is running prose is a matter of form in any language (words that stand in
+stretches, not alone between marks), and of the vocabulary that raters left
+without a band.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -30,56 +33,121 @@ BANDS = ("basic", "intermediate", "demanding")
 MAX_LABELLED, PLACES, PAIRS, ROUNDS = 3000, 4096, 40_000, 200
 #: A text is running prose from this many words of prose on.
 LEAST_PROSE_WORDS = 8
+#: Texts whose features are computed together.
+BLOCK_TEXTS = 1000
 
-#: Frequent grammatical words of the languages; prose cannot do without them. Fixed values.
-FUNCTION_WORDS = frozenset(
-    "a al als am an and auf aux at au because by but con da dans das de del dem den der des die do du e ein eine einen el en es est et for from gli have he her his i ich il im in is ist it its"
-    " la las le les lo los mais mi mit mon my nicht no not of on ou our par pas pero por pour que qui se sein sich sie sin so son su sur that the their to un una und une unos von vor was we were when which with y zu zum zur".split()
-)
-#: The same for Chinese, as characters. Fixed values.
-FUNCTION_CHARACTERS = frozenset("的了是在我他她你们这那和与就都也不有把被着过所而且但因为对于使其之以并")
+#: A stretch of so many words between marks or line ends is running text; a Han character is half a word.
+STRETCH_WORDS = 3.0
+#: Documents without a band that the vocabulary gate needs, and words a task remembers.
+LEAST_UNRATED, REMEMBERED_WORDS = 8, 400_000
 
-SYNTAX = ("log_sentence", "sentence_spread", "word_length", "long_words", "commas", "distinct", "function_share", "log_words", "joined_marks", "han", "questions", "capitals")
+SYNTAX = ("log_sentence", "sentence_spread", "word_length", "long_words", "commas", "distinct", "short_words", "log_words", "joined_marks", "han", "questions", "capitals")
 
 _SENTENCE = regex.compile(r"[.!?。！？；;]+(?=\s|$|[\"'”’)]|\p{Han})|[。！？；]+")
-_WORD = regex.compile(r"\p{Han}|[^\P{L}\p{Han}][\p{L}\p{M}]*(?:[-'’][\p{L}\p{M}]+)*")
+#: A word, a mark that ends a stretch, or a break between sentences, texts or lines.
+_TOKEN = regex.compile(r"\p{Han}|[^\P{L}\p{Han}][\p{L}\p{M}]*(?:[-'’][\p{L}\p{M}]+)*|[\0,，、;:：|/\t]")
 _HEADING = re.compile(r"^\s*(?:#+|={2,})\s")
-_ENTRY = re.compile(r"""^\s*(?:[-*]\s+)?["']?[\w.\- ]{1,40}["']?\s*[:=]\s*(?:["'\[{\-\d].*|\S{0,30},?)?$|^\s*[{}\[\],]+\s*$""")
+_ENTRY = re.compile(r"""^\s*(?:[-*]\s+)?["']?[\w.\- ]{1,40}["']?\s*[:=]\s*(?:["'\[{].*|[-\d][\W\d_]*[a-zA-Z%]{0,4}|\S{0,30},?)?$|^\s*[{}\[\],]+\s*$""")
 
 
-def prose(text: str | None) -> tuple[str, list[list[str]]]:
-    """The running prose of a text and the words of its sentences; empty where there is none.
+#: Features of a text: syntax, and places and weights of its vocabulary.
+Found = tuple[list[float], list[int], list[float]]
 
-    Headings, settings (key and value lines, JSON, YAML), speaker labels,
-    annotations and hesitation sounds are no prose, nor are lines without any
-    grammatical word, as word lists are. A text of fewer than
-    ``LEAST_PROSE_WORDS`` such words is none.
-    """
+
+def _body(text: str | None) -> str:
+    """The lines of a text that may be running prose; empty where there is none."""
     if not text or not text.strip():
-        return "", []
+        return ""
     body = text.strip()
     if body[0] in "{[" and body[-1] in "}]":
-        return "", []
+        return ""
     spoken = _transcript(text)
     lines = [s for s in (spoken if spoken is not None else turns.clean_characters(text).splitlines()) if s.strip() and not _HEADING.match(s)]
     if spoken is None:
         lines = [s for s in lines if not _ENTRY.match(s)]
-    sentences: list[list[str]] = []
-    for line in lines:
-        for part in _SENTENCE.split(line):
-            words = [w.lower() for w in _WORD.findall(part)]
-            if words:
-                sentences.append(words)
-    counted = sum(map(len, sentences))
-    grammatical = sum(w in FUNCTION_WORDS or w in FUNCTION_CHARACTERS for s in sentences for w in s)
-    if counted < LEAST_PROSE_WORDS or grammatical * 25 < counted:
+    return "\n".join(lines)
+
+
+class _Words(dict):
+    """Ids of words, and what the features need to know of each; ids 0 and 1 are a sentence's and a stretch's end."""
+
+    def __init__(self) -> None:
+        super().__init__({"\0": 0} | dict.fromkeys(",，、;:：|/\t", 1))
+        self.names: list[str] = ["", ""]
+        self._table = np.zeros((2, 6))
+
+    def __missing__(self, word: str) -> int:
+        self[word] = i = len(self.names)
+        self.names.append(word)
+        return i
+
+    def table(self) -> np.ndarray:
+        """A row a word: letters, long, short, with a joining mark, Han, place."""
+        new = self.names[len(self._table) :]
+        if new:
+            rows = [(len(w), len(w) > 9, len(w) <= 3, "-" in w, "㐀" <= w <= "鿿", zlib.crc32(w.encode())) for w in new]
+            self._table = np.concatenate((self._table, np.array(rows, dtype=float)))
+        return self._table
+
+
+_words = _Words()
+
+
+def prose(text: str | None) -> tuple[str, list[list[str]]]:
+    """The running prose of a text and the words of its sentences; empty where there is none.
+
+    Headings, settings (key and value lines, JSON, YAML), speaker labels,
+    annotations and hesitation sounds are no prose. A text of which fewer than
+    ``LEAST_PROSE_WORDS`` words, or less than half, stand in stretches of
+    ``STRETCH_WORDS`` has none, as word lists have.
+    """
+    body = _body(text)
+    block = _block([body])
+    if block is None or not block.running[0]:
         return "", []
-    return "\n".join(lines), sentences
+    sentences, names = [], [_words.names[i] for i in block.ids]
+    for part in np.split(np.arange(len(names)), np.flatnonzero(block.ids == 0)):
+        if words := [names[i] for i in part if block.ids[i] > 1]:
+            sentences.append(words)
+    return body, sentences
+
+
+@dataclass
+class _Block:
+    """The tokens of several texts: their ids, the text each stands in, and whether the texts are running prose."""
+
+    ids: np.ndarray
+    owner: np.ndarray
+    running: np.ndarray
+    sentence: np.ndarray  # the sentence of each token, numbered over the block
+
+
+def _block(bodies: Sequence[str]) -> _Block | None:
+    global _words
+    if len(_words.names) > REMEMBERED_WORDS:
+        _words = _Words()
+    ids = []
+    for body in bodies:
+        tokens = _TOKEN.findall("\0" + _SENTENCE.sub("\0", body).replace("\n", "\0").lower()) if body else ["\0"]
+        ids.append(np.fromiter(map(_words.__getitem__, tokens), dtype=np.int64, count=len(tokens)))
+    if not ids:
+        return None
+    owner = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+    flat = np.concatenate(ids)
+    table = _words.table()
+    word = flat > 1
+    weight = np.where(word, 1.0 - 0.5 * table[flat, 4], 0.0)
+    stretch = np.cumsum(~word)
+    long = np.bincount(stretch, weight)[stretch] >= STRETCH_WORDS
+    n = len(ids)
+    words, running = np.bincount(owner, word, n), np.bincount(owner, word & long, n)
+    return _Block(flat, owner, (running >= LEAST_PROSE_WORDS) & (2 * running >= words), np.cumsum(flat == 0))
 
 
 def _transcript(text: str) -> list[str] | None:
     """What is said in a transcript, with its punctuation; None if the text is no transcript."""
-    if "@Begin" not in text and "*" not in text[:400] and not any(c in text for c in ":：>-"):
+    # Every layout sets labels off by one of these marks, and a transcript has two labels.
+    if "@Begin" not in text and sum(text.count(c) for c in (":", "：", ">", "＞", " -", " –", " —")) < 2:
         return None
     t = turns.read(text)
     labelled = [u for u in t.utterances if u.label is not None]
@@ -91,39 +159,65 @@ def _transcript(text: str) -> list[str] | None:
         while (less := turns._BRACKETS.sub(" ", said)) != said:
             said = less
         said = turns._CODES.sub(" ", said)
-        out.append(" ".join(w for w in said.split() if not turns._HESITATION.fullmatch(w.strip(",.;:!?-…，。"))))
+        out.append(" ".join(w for w in said.split() if not turns.is_hesitation(w.strip(",.;:!?-…，。").lower())))
     return out
 
 
-def features(text: str | None) -> tuple[list[float], list[int], list[float]] | None:
+def features(text: str | None) -> Found | None:
     """Syntax features, and places and weights of the vocabulary; None without running prose.
 
     Vocabulary: the square roots of the shares of words (in Chinese, of neighbouring
     pairs of characters), hashed to ``PLACES`` places, scaled to length 1.
     """
-    body, sentences = prose(text)
-    if not sentences:
-        return None
-    words = [w for s in sentences for w in s]
-    n = len(words)
-    lengths = np.array([len(s) for s in sentences], dtype=float)
-    han = sum("㐀" <= w <= "鿿" for w in words)
-    letters = sum(map(len, words))
-    syntax = [
-        float(np.log1p(lengths.mean())), float(np.log1p(lengths.std())), letters / n, sum(len(w) > 9 for w in words) / n,
-        sum(body.count(c) for c in ",，、") / n, len(set(words)) / n**0.75, sum(w in FUNCTION_WORDS or w in FUNCTION_CHARACTERS for w in words) / n, float(np.log1p(n)),
-        sum("-" in w for w in words) / n, han / n, sum(body.count(c) for c in "?？") / len(sentences), sum(c.isupper() for c in body) / max(1, letters),
-    ]
-    counts: Counter[str] = Counter(w for w in words if not "㐀" <= w <= "鿿")
-    if han:
-        counts.update(a + b for s in sentences for a, b in zip(s[:-1], s[1:], strict=True) if "㐀" <= a <= "鿿")
-    total = sum(counts.values()) or 1
-    places: dict[int, float] = {}
-    for w, c in counts.items():
-        p = zlib.crc32(w.encode()) % PLACES
-        places[p] = places.get(p, 0.0) + c / total
-    size = sum(places.values()) ** 0.5 or 1.0
-    return syntax, list(places), [v**0.5 / size for v in places.values()]
+    rows, syntax, start, places, values = many_features([text])
+    return (syntax[0].tolist(), places.tolist(), values.tolist()) if len(rows) else None
+
+
+def many_features(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The features of several texts at once: which of them hold running prose, a row of syntax each, where their vocabulary starts, and its places and weights."""
+    bodies = [_body(t) for t in texts]
+    block = _block(bodies)
+    if block is None or not block.running.any():
+        return np.zeros(0, dtype=int), np.zeros((0, len(SYNTAX))), np.zeros(1, dtype=int), np.zeros(0, dtype=int), np.zeros(0)
+    rows = np.flatnonzero(block.running)
+    rank = np.cumsum(block.running) - 1
+    kept = block.running[block.owner] & (block.ids > 1)
+    ids, owner, sentence = block.ids[kept], rank[block.owner[kept]], block.sentence[kept]
+    table, n = _words.table()[ids], len(rows)
+    words = np.bincount(owner, minlength=n).astype(float)
+    letters, long, short, joined, han = (np.bincount(owner, table[:, i], n) for i in range(5))
+    # Sentences: their number, and the first two moments of their lengths.
+    first = np.flatnonzero(np.diff(sentence, prepend=-1))
+    lengths, of = np.diff(np.append(first, len(sentence))).astype(float), owner[first]
+    sentences = np.bincount(of, minlength=n)
+    mean = np.bincount(of, lengths, n) / sentences
+    spread = np.sqrt(np.maximum(np.bincount(of, lengths**2, n) / sentences - mean**2, 0.0))
+    distinct = np.bincount(np.unique(owner << 32 | ids) >> 32, minlength=n)
+    marks = [[sum(bodies[i].count(c) for c in some) for i in rows] for some in (",，、", "?？")]
+    capitals = np.array([_capitals(bodies[i]) for i in rows], dtype=float)
+    syntax = np.stack(
+        [
+            np.log1p(mean), np.log1p(spread), letters / words, long / words, np.array(marks[0]) / words, distinct / words**0.75, short / words, np.log1p(words),
+            joined / words, han / words, np.array(marks[1]) / sentences, capitals / np.maximum(1, letters),
+        ], axis=1,
+    )
+    code = table[:, 5].astype(np.int64)
+    is_han = table[:, 4] > 0
+    pair = is_han[:-1] & (sentence[1:] == sentence[:-1])
+    what = np.concatenate((code[~is_han], code[:-1][pair] * 31 + code[1:][pair])) % PLACES
+    whose = np.concatenate((owner[~is_han], owner[:-1][pair]))
+    at, counts = np.unique(whose * PLACES + what, return_counts=True)
+    whose = at // PLACES
+    # Scaled to length 1, the root of a share is the root of a count over that of the sum of counts.
+    values = np.sqrt(counts / np.bincount(whose, counts, n)[whose])
+    return rows, syntax, np.searchsorted(whose, np.arange(n + 1)), at % PLACES, values
+
+
+def _capitals(body: str) -> int:
+    low = body.lower()
+    if len(low) != len(body):
+        return sum(c.isupper() for c in body)
+    return int(np.count_nonzero(np.frombuffer(body.encode("utf-32-le"), np.uint32) != np.frombuffer(low.encode("utf-32-le"), np.uint32)))
 
 
 @dataclass(frozen=True)
@@ -135,8 +229,20 @@ class Scale:
     spread: np.ndarray
     knots: np.ndarray
     levels: np.ndarray
-
-    def score(self, found: tuple[list[float], list[int], list[float]]) -> float:
+    #: Log odds of the vocabulary in rated prose, and the least sum of a text that is prose; none where too few texts without a band are known.
+    odds: np.ndarray | None = None
+    least: float = 0.0
+
+    def scores(self, syntax: np.ndarray, start: np.ndarray, places: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The scores of texts as ``many_features`` gives them, and whether their vocabulary is that of prose."""
+        k, n = len(SYNTAX), len(syntax)
+        script = (syntax[:, SYNTAX.index("han")] > 0.5).astype(int)
+        own = np.stack([self.weights[:k], self.weights[k : 2 * k]])[script]
+        whose = np.repeat(np.arange(n), np.diff(start))
+        score = (((syntax - self.mean[script]) / self.spread[script]) * own).sum(axis=1) + np.bincount(whose, values * self.weights[2 * k + places], n)
+        return score, np.ones(n, dtype=bool) if self.odds is None else np.bincount(whose, values * self.odds[places], n) >= self.least
+
+    def score(self, found: Found) -> float:
         syntax, places, values = found
         k, script = len(SYNTAX), _script(syntax)
         at = slice(script * k, script * k + k)
@@ -195,8 +301,29 @@ def isotonic(scores: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.array(knots), np.array(levels)
 
 
-def fit_rows(found: Sequence[tuple[list[float], list[int], list[float]]], bands: Sequence[int], folds: int = 4) -> Scale:
-    """A scale from features and bands (0, 1, 2). The calibration sees scores of documents left out of their fit."""
+def vocabulary_gate(prose_: Sequence[Found], other: Sequence[Found]) -> tuple[np.ndarray | None, float]:
+    """Log odds of the places in prose, and the sum from which on a text is prose: the cut with the fewest errors, of equal ones the lowest."""
+    if len(other) < LEAST_UNRATED or not prose_:
+        return None, 0.0
+    means = []
+    for some in (prose_, other):
+        total = np.zeros(PLACES)
+        for _, places, values in some:
+            total[np.array(places, dtype=int)] += values
+        means.append(total / len(some) + 0.01)
+    odds = np.log(means[0] / means[1])
+    sums = [np.array([np.array(v) @ odds[np.array(p, dtype=int)] for _, p, v in some]) for some in (prose_, other)]
+    cuts = np.sort(np.concatenate([[-np.inf], *sums]))
+    cuts[1:-1] = (cuts[1:-1] + cuts[2:]) / 2
+    wrong = np.searchsorted(np.sort(sums[0]), cuts) + len(other) - np.searchsorted(np.sort(sums[1]), cuts)
+    return odds, float(cuts[int(wrong.argmin())])
+
+
+def fit_rows(found: Sequence[Found], bands: Sequence[int], folds: int = 4, unrated: Sequence[Found] = ()) -> Scale:
+    """A scale from features and bands (0, 1, 2), and the features of texts that raters left without a band.
+
+    The calibration sees scores of documents left out of their fit.
+    """
     k, y = len(SYNTAX), np.asarray(bands)
     syntax = np.array([f[0] for f in found], dtype=float).reshape(len(y), k)
     script = np.array([_script(f[0]) for f in found], dtype=int)
@@ -221,19 +348,19 @@ def fit_rows(found: Sequence[tuple[list[float], list[int], list[float]]], bands:
     knots, levels = isotonic(out, y.astype(float))
     scaled = (weights * rare).astype(np.float64)
     scaled[: 2 * k] *= 0.1
-    return Scale(scaled, mean, spread, knots, levels)
+    return Scale(scaled, mean, spread, knots, levels, *vocabulary_gate(found, unrated))
 
 
 def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", band: str = "band") -> Scale:
     """A scale from rated documents.
 
     A document's band is the one most of its ratings give, of equally frequent
-    ones the middle; null and unknown bands do not count. At most
-    ``MAX_LABELLED`` documents come to the driver, those with the least hash, as
-    features and not as texts.
+    ones the middle; unknown bands do not count. Documents with ratings of which
+    none gives a band show what has none. At most ``MAX_LABELLED`` documents come
+    to the driver, those with the least hash, as features and not as texts.
     """
-    known = labels.where(F.col(band).isin(*BANDS)).select(doc_id, F.array_position(F.array(*map(F.lit, BANDS)), F.col(band)).cast("int").alias("b"))
-    per = known.groupBy(doc_id, "b").count().groupBy(doc_id).agg(F.max_by("b", F.struct("count", -F.abs(F.col("b") - 2))).alias("b"))
+    known = labels.where(F.col(band).isNull() | F.col(band).isin(*BANDS)).select(doc_id, F.array_position(F.array(*map(F.lit, BANDS)), F.col(band)).cast("int").alias("b"))
+    per = known.groupBy(doc_id, "b").count().groupBy(doc_id).agg(F.coalesce(F.max_by("b", F.when(F.col("b").isNotNull(), F.struct("count", -F.abs(F.col("b") - 2)))), F.lit(0)).alias("b"))
     # A threshold first, so that no task offers more rows than the sample needs.
     per = materialise(per, "reading-bands")
     drawn = per.where(below_share(F.lit(min(1.0, 2.0 * MAX_LABELLED / max(1, per.count()))), doc_id)).orderBy(F.xxhash64(doc_id), doc_id).limit(MAX_LABELLED)
@@ -241,14 +368,18 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(*f, b) for t, b in zip(batch[text], batch["b"], strict=True) if (f := features(t)) is not None]
-            yield pd.DataFrame(rows, columns=["syntax", "places", "weights", "b"])
+            rows, syntax, start, places, values = many_features(batch[text].tolist())
+            spans = [slice(a, b) for a, b in zip(start[:-1], start[1:], strict=True)]
+            yield pd.DataFrame({"syntax": list(syntax), "places": [places[x] for x in spans], "weights": [values[x] for x in spans], "b": batch["b"].to_numpy()[rows]})
 
     rows = texts.mapInPandas(run, "syntax array<double>, places array<int>, weights array<double>, b int").collect()
-    rows.sort(key=lambda r: (r.syntax, r.places))
-    if not rows:
+    rows.sort(key=lambda r: (r.b, r.syntax, r.places))
+    rated = [r for r in rows if r.b]
+    if not rated:
         raise ValueError("no rated document has running prose")
-    return fit_rows([(r.syntax, r.places, r["weights"]) for r in rows], [r.b - 1 for r in rows])
+    found = {kind: [(r.syntax, r.places, r["weights"]) for r in rows if bool(r.b) == kind] for kind in (True, False)}
+    order = np.random.default_rng(1).permutation(len(rated))
+    return fit_rows([found[True][i] for i in order], [rated[i].b - 1 for i in order], unrated=found[False])
 
 
 def read_levels(documents: DataFrame, scale: Scale, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -261,14 +392,18 @@ def read_levels(documents: DataFrame, scale: Scale, doc_id: str = "doc_id", text
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for key, t in zip(batch[doc_id], batch[text], strict=True):
-                f = features(t)
-                if f is None:
-                    rows.append((key, None, None, None))
-                else:
-                    s = scale.score(f)
-                    rows.append((key, s, scale.level(s), band_of(scale.level(s))))
-            yield pd.DataFrame(rows, columns=[doc_id, "score", "level", "band"])
-
-    return documents.select(doc_id, text).mapInPandas(run, f"`{doc_id}` {kind}, score double, level double, band string")
+            # In blocks, so that the tokens of very long texts are not all held at once.
+            for at in range(0, len(batch), BLOCK_TEXTS):
+                part = batch.iloc[at : at + BLOCK_TEXTS]
+                rows, *found = many_features(part[text].tolist())
+                score, is_prose = scale.scores(*found)
+                rows, score = rows[is_prose], score[is_prose]
+                level = np.interp(score, scale.knots, scale.levels)
+                out = pd.DataFrame({doc_id: part[doc_id].to_numpy(), "score": np.nan, "level": np.nan, "band": None})
+                out["band"] = out["band"].astype(object)
+                out.loc[rows, "score"], out.loc[rows, "level"] = score, level
+                out.loc[rows, "band"] = [band_of(x) for x in level.tolist()]
+                yield out
+
+    spread = documents.select(doc_id, text).mapInPandas(run, f"`{doc_id}` {kind}, score double, level double, band string")
+    return spread.select(doc_id, *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("score", "level")], "band")

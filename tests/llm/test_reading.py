@@ -53,3 +53,33 @@ def test_frames(spark):
     assert sum(got[i] == R.BANDS[i % 3] for i in range(90)) > 80
     with pytest.raises(ValueError, match="no rated document"):
         R.fit(docs, labels.limit(0))
+
+
+def test_many_texts_at_once_as_one_by_one():
+    rng = random.Random(7)
+    texts = [make(rng, i % 3, 1 + i % 5) for i in range(30)] + [None, "", "Lists: a, b, c", "我们看见那条旧船，所以大家都在家里等着他回来。" * 3, "İstanbul'da bir gün, kimse yoktu ve hava soğuktu.", " \n"]
+    rows, syntax, start, places, values = R.many_features(texts)
+    assert set(range(len(texts))) - set(rows.tolist()) == {30, 31, 32, 35}
+    for i, a, b, own in zip(rows, start[:-1], start[1:], syntax, strict=True):
+        one = R.features(texts[i])
+        assert np.allclose(one[0], own) and one[1] == places[a:b].tolist() and np.allclose(one[2], values[a:b])
+        assert abs(sum(v * v for v in one[2]) - 1) < 1e-9
+
+
+def test_syntax_by_hand():
+    s, _, _ = R.features("The old man saw it, and he ran. Was it a well-known dog of the house?")
+    f = dict(zip(R.SYNTAX, s, strict=True))
+    assert f["log_words"] == pytest.approx(np.log1p(16)) and f["log_sentence"] == pytest.approx(np.log1p(8)) and f["sentence_spread"] == 0
+    assert f["commas"] == pytest.approx(1 / 16) and f["questions"] == pytest.approx(1 / 2) and f["joined_marks"] == pytest.approx(1 / 16) and f["distinct"] == pytest.approx(14 / 8)
+
+
+def test_the_gate_is_learned_from_texts_without_a_band(spark):
+    rng = random.Random(8)
+    beasts = "otter donkey walrus turtle ferret parrot hamster pigeon badger beetle salmon heron".split()
+    lists = [" ".join(rng.choice(beasts) for _ in range(14)) for _ in range(40)]
+    rows = [(i, make(rng, i % 3)) for i in range(90)] + [(100 + i, t) for i, t in enumerate(lists)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, R.BANDS[i % 3]) for i in range(60)] + [(100 + i, None) for i in range(20)], "doc_id long, band string")
+    got = {r.doc_id: r.band for r in R.read_levels(docs, R.fit(docs, labels)).collect()}
+    assert all(got[i] is None for i in range(100, 140)) and all(got[i] is not None for i in range(90))
+    assert R.vocabulary_gate([R.features(make(rng, 0))], []) == (None, 0.0)
