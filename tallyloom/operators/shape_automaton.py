@@ -1,16 +1,18 @@
 """A bottom-up tree automaton over JSON values.
 
-A node's state follows from its kind and the states of its children, and from
-nothing else, so one pass decides what every part of a record is, whatever field
-it stands under and however it is wrapped. The states that name record parts:
+A node's state follows from its kind, its field names and the states of its
+children, and from nothing else, so one pass from the leaves up decides what every
+part of a record is, whatever field it stands under and however it is wrapped.
+The pass holds its own stack: depth costs no recursion. States:
 
     workspace    an object with a case_id
-    envelope     an object that is none of these and holds a workspace
     observation  an object with state_observations' own fields
-    segment      an object with a segment_id, or text with times
+    segment      an object with a segment_id, or with both times
     reading      an object with a metric_id
     entry        an object with evidence_id and evidence_type
+    envelope     an object that is none of these and holds a workspace
     scores       an object whose children are numbers or numeric texts
+    keyed        an object whose children are all objects, by their ids
     list<S>      an array whose non-null elements are in the states S
     text, numeric_text, number, flag, nil, torn, other
 """
@@ -19,20 +21,55 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Any
 
-#: Fields that only observations have. Fixed values of the record format.
-OBSERVATION_FIELDS = frozenset({"state_id", "state_z", "metric_evidence_ids", "supporting_metrics", "counter_evidence", "evidence_segments"})
-
 _EDGES = re.compile(r'^[^\w{\["]+|[^\w}\]"]+$')
 _NUMBER = re.compile(r"\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*")
+#: The same for the JVM, as a whole text.
+NUMBER_TEXT = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
+
+SCALARS = frozenset({"text", "numeric_text", "number", "flag", "nil"})
+NUMBERS = frozenset({"number", "numeric_text", "nil"})
+HOLDERS = ("workspace", "envelope")
+
+
+@dataclass(frozen=True)
+class Rule:
+    """An object is in ``state`` if all fields of ``all_of`` are there, one of ``any_of`` if any are named, and none of ``none_of``; named fields hold scalars if ``scalar``."""
+
+    state: str
+    all_of: frozenset[str] = frozenset()
+    any_of: frozenset[str] = frozenset()
+    none_of: frozenset[str] = frozenset()
+    scalar: bool = False
+
+    def fits(self, children: dict[str, str]) -> bool:
+        keys = children.keys()
+        if not self.all_of <= keys or (self.any_of and not self.any_of & keys) or self.none_of & keys:
+            return False
+        return not self.scalar or all(children[k] in SCALARS for k in self.all_of)
+
+
+#: Transitions of objects by their fields, the first that fits. Field names are fixed values of the record format.
+RULES = (
+    Rule("workspace", all_of=frozenset({"case_id"}), none_of=frozenset({"evidence_id"}), scalar=True),
+    Rule("observation", any_of=frozenset({"state_id", "state_z", "metric_evidence_ids", "supporting_metrics", "counter_evidence", "evidence_segments"})),
+    Rule("segment", all_of=frozenset({"segment_id"})),
+    Rule("segment", all_of=frozenset({"start_sec", "end_sec"}), scalar=True),
+    Rule("reading", all_of=frozenset({"metric_id"})),
+    Rule("entry", all_of=frozenset({"evidence_id", "evidence_type"})),
+    Rule("observation", all_of=frozenset({"evidence_id"})),
+)
 
 
 def parse(payload: str | None) -> Any:
     """The value of a payload, or None if it is not one complete JSON value.
 
     Marks, blanks and commas around the value do not count. A payload that is a
-    JSON text of a JSON value gives that value.
+    JSON text of a JSON value gives that value. A value nested deeper than the JSON
+    parser goes (many thousand levels) counts as incomplete.
     """
     value: Any = payload
     while isinstance(value, str):
@@ -45,54 +82,90 @@ def parse(payload: str | None) -> Any:
 
 def unwrap(value: Any) -> Any:
     """Text that holds a JSON array or object stands for it; other values for themselves."""
-    if isinstance(value, str) and value.lstrip()[:1] in ("{", "[") and value.strip():
+    if isinstance(value, str) and value.lstrip()[:1] in ("{", "["):
         inner = parse(value)
         return value if inner is None else inner
     return value
 
 
-def state(value: Any) -> str:
-    """The state of a value."""
+def _scalar_state(value: Any) -> str:
     if value is None:
         return "nil"
     if isinstance(value, bool):
         return "flag"
     if isinstance(value, (int, float)):
         return "number"
-    if isinstance(value, str):
-        inner = unwrap(value)
-        if inner is not value:
-            return state(inner)
-        if value.lstrip()[:1] in ("{", "["):
-            return "torn"
-        return "numeric_text" if _NUMBER.fullmatch(value) else "text"
-    if isinstance(value, list):
-        return f"list<{'|'.join(sorted({state(v) for v in value if v is not None}))}>"
-    return _object_state(value)
-
-
-def _object_state(value: dict[str, Any]) -> str:
-    keys = value.keys()
-    if "case_id" in keys and "evidence_id" not in keys:
-        return "workspace"
-    if keys & OBSERVATION_FIELDS:
-        return "observation"
-    if "segment_id" in keys or {"start_sec", "end_sec"} <= keys:
-        return "segment"
-    if "metric_id" in keys:
-        return "reading"
-    if "evidence_id" in keys:
-        return "entry" if "evidence_type" in keys else "observation"
-    children = {state(v) for v in value.values()}
-    if children & {"workspace", "envelope", "list<workspace>"}:
+    if value.lstrip()[:1] in ("{", "["):
+        return "torn"
+    return "numeric_text" if _NUMBER.fullmatch(value) else "text"
+
+
+def _list_state(children: Iterator[str]) -> str:
+    return f"list<{'|'.join(sorted(set(children) - {'nil'}))}>"
+
+
+def _object_state(children: dict[str, str], objects: bool) -> str:
+    for rule in RULES:
+        if rule.fits(children):
+            return rule.state
+    states = set(children.values())
+    if any(s in HOLDERS or (s.startswith("list<") and any(h in s for h in HOLDERS)) for s in states):
         return "envelope"
-    if children and children <= {"number", "numeric_text", "nil"}:
+    if states and states <= NUMBERS:
         return "scores"
-    return "other"
+    return "keyed" if states and objects else "other"
+
 
+class Tree:
+    """A parsed value with the state of every part.
 
-def signature(value: Any) -> str:
-    """The variant of an object: its fields with their states, in order of name."""
-    if not isinstance(value, dict):
-        return state(value)
-    return ",".join(f"{k}:{state(v)}" for k, v in sorted(value.items()))
+    Texts in it that hold JSON are replaced by what they hold, in place, so ``root``
+    is the value the states belong to.
+    """
+
+    def __init__(self, value: Any) -> None:
+        self.root = unwrap(value)
+        self._states: dict[int, str] = {}
+        waiting, seen = [self.root], []
+        while waiting:
+            node = waiting.pop()
+            if not isinstance(node, (dict, list)):
+                continue
+            seen.append(node)
+            for k, child in node.items() if isinstance(node, dict) else enumerate(node):
+                inner = unwrap(child)
+                if inner is not child:
+                    node[k] = inner
+                if isinstance(inner, (dict, list)):
+                    waiting.append(inner)
+        for node in reversed(seen):  # children stand behind their parents
+            if isinstance(node, list):
+                self._states[id(node)] = _list_state(self.state(v) for v in node)
+            else:
+                self._states[id(node)] = _object_state({k: self.state(v) for k, v in node.items()}, all(isinstance(v, dict) for v in node.values()))
+
+    def state(self, value: Any) -> str:
+        """The state of a part of this tree, or of any scalar."""
+        return self._states[id(value)] if isinstance(value, (dict, list)) else _scalar_state(value)
+
+    def signature(self, value: Any) -> str:
+        """The variant of an object: its fields that are not null with their states, in order of name."""
+        if not isinstance(value, dict):
+            return self.state(value)
+        return ",".join(f"{k}:{self.state(v)}" for k, v in sorted(value.items()) if v is not None)
+
+    def workspaces(self) -> Iterator[dict[str, Any]]:
+        """The workspaces, through envelopes and lists, in the order written; none inside another."""
+        waiting = [self.root]
+        while waiting:
+            node = waiting.pop()
+            if isinstance(node, dict) and self.state(node) == "workspace":
+                yield node
+            elif isinstance(node, (dict, list)):
+                waiting += reversed(list(node.values() if isinstance(node, dict) else node))
+
+
+def state(value: Any) -> str:
+    """The state of a value."""
+    tree = Tree(value)
+    return tree.state(tree.root)
