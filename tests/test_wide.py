@@ -69,3 +69,35 @@ def test_registry_is_checked(spark):
         wide.widen(df, spark.createDataFrame([("a", "double"), ("a", "bigint")], "metric_id string, value_type string"))
     with pytest.raises(ValueError, match="no known type"):
         wide.widen(df, spark.createDataFrame([("a", "text")], "metric_id string, value_type string"))
+
+
+def test_layout_merges_what_adds_fewest_empty_cells():
+    sets = [((0, 1), 50), ((0, 1, 2), 50), ((7, 8), 40), ((7, 8, 9), 40), ((3, 4, 5), 1)]
+    # {3, 4, 5} goes to the whole set for 7 cells, {7, 8} to {7, 8, 9} for 40; {0, 1} would cost 50.
+    assert wide.layout(sets, 10, 4) == [[0, 1], [0, 1, 2], [7, 8, 9], list(range(10))]
+    assert wide.layout(sets, 10, 1) == [list(range(10))] == wide.layout([], 10, 6)
+    rng = random.Random(3)
+    many = [(sorted(rng.sample(range(10), rng.randrange(1, 9))), rng.randrange(1, 9)) for _ in range(300)]
+    got = wide.layout(many, 10, 6)
+    assert len(got) <= 6 and got[-1] == list(range(10)) and all(any(set(s) <= set(g) for g in got) for s, _ in many)
+
+
+def test_many_attributes_and_every_table(spark):
+    """70 attributes take two words of a signature; every entity lies in one table and keeps its cells."""
+    rng = random.Random(9)
+    names = [f"m{i:02d}" for i in range(70)]
+    reg = spark.createDataFrame([(n, "double") for n in names], "metric_id string, value_type string")
+    groups = [names[:5], names[60:], names[30:64]]
+    rows = [(f"s{i}", "x", n, float(rng.randrange(9)), "e") for i in range(60) for n in (groups[i % 3] if i < 50 else rng.sample(names, 40))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    w = wide.widen(df, reg, tables=4)
+    assert w.columns == ["subject_id", "task_scope", *names, "unfilled"] and w.count() == 60
+    assert {tuple(r) for r in wide.melt(w).collect()} == {r[:4] for r in rows}
+    shares = {r.attributes: r for r in wide.table_shares(df, reg, tables=4).collect()}
+    assert sum(r.entities for r in shares.values()) == 60 and sum(r.cells for r in shares.values()) == len(rows)
+    assert {5, 10, 34, 70} == set(shares) and shares[5].empty_share == shares[34].empty_share == 0
+
+
+def test_blank_subjects_of_any_white_space(spark):
+    df = spark.createDataFrame([("\t ", "x", "ttr", 1.0, "e"), (" s\t", "x", "ttr", 1.0, "e")], SCHEMA)
+    assert [r.subject_id for r in wide.widen(df, registry(spark)).collect()] == [" s\t"]
