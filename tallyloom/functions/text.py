@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -99,25 +100,49 @@ def occurrences(x: Column, part: str) -> Column:
     return ((F.length(x) - F.length(F.replace(x, F.lit(part)))) / len(part)).cast("int")
 
 
-def _mtld_one_way(tokens: list[str], threshold: float) -> float:
-    factors, seen, n = 0.0, set(), 0
-    for t in tokens:
-        n += 1
-        seen.add(t)
-        if len(seen) / n <= threshold:
-            factors += 1.0
-            seen.clear()
-            n = 0
-    if n:
-        factors += (1.0 - len(seen) / n) / (1.0 - threshold)
-    return len(tokens) / factors if factors > 0 else float(len(tokens))
+def _earlier(ids: np.ndarray) -> np.ndarray:
+    """Where each token stood last before, -1 for first occurrences."""
+    order = np.argsort(ids, kind="stable")
+    out = np.full(len(ids), -1)
+    out[order[1:]] = np.where(ids[order[1:]] == ids[order[:-1]], order[:-1], -1)
+    return out
+
+
+def _factors(ids: np.ndarray, threshold: float) -> float:
+    """How many stretches of a text fall to the threshold of different over all tokens; the rest counts by how far it fell.
+
+    A token is new to a stretch if it last stood before the stretch, so the share
+    of new tokens of a whole block is one running sum.
+    """
+    earlier, start, full = _earlier(ids), 0, 0
+    width = 128
+    while start < len(ids):
+        stop = min(len(ids), start + width)
+        share = np.cumsum(earlier[start:stop] < start) / np.arange(1, stop - start + 1)
+        low = np.flatnonzero(share <= threshold)
+        if len(low):
+            full, start, width = full + 1, start + int(low[0]) + 1, 128
+        elif stop == len(ids):
+            return full + (1.0 - float(share[-1])) / (1.0 - threshold)
+        else:
+            width *= 2
+    return float(full)
 
 
 @F.pandas_udf(DoubleType())
 def mtld(tokens: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Mean of the forward and backward measure of textual lexical diversity (threshold 0.72); null under 10 tokens."""
+    """Mean of the forward and backward measure of textual lexical diversity (threshold 0.72): tokens over factors; null under 10 tokens."""
+
+    def both(t: object) -> float | None:
+        if t is None or len(t) < 10:
+            return None
+        known: dict[str, int] = {}
+        ids = np.fromiter((known.setdefault(x, len(known)) for x in t), dtype=np.int64, count=len(t))
+        found = [_factors(x, 0.72) for x in (ids, ids[::-1])]
+        return sum(len(ids) / f if f > 0 else float(len(ids)) for f in found) / 2
+
     for s in tokens:
-        yield s.map(lambda t: None if t is None or len(t) < 10 else (_mtld_one_way(list(t), 0.72) + _mtld_one_way(list(t)[::-1], 0.72)) / 2).astype("float64")
+        yield s.map(both).astype("float64")
 
 
 def repair_mojibake(x: Column) -> Column:

@@ -6,13 +6,19 @@ order), probs (array of doubles in that order).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tallyloom.functions import vectors as V
+from tallyloom.operators import prefix
+from tallyloom.session import materialise
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -70,21 +76,39 @@ def summary(p: DataFrame, keys: Sequence[str], classes: int, bins: int = 10) ->
 def auroc(scores: DataFrame, keys: Sequence[str], score: str, positive: str) -> DataFrame:
     """Area under the ROC curve by ranks, equal scores half each; null with one class only.
 
-    Scores are counted by distinct value first, so a window sees values and not
-    rows, and the running count needs no ties.
+    Scores are counted by distinct value first, and their running counts spread
+    over tasks however many values a key has.
     """
     v = scores.groupBy(*keys, score).agg(F.count_if(F.col(positive)).alias("_p"), F.count_if(~F.col(positive)).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    held = v.withColumn("_w", F.col("_p") * (below + F.col("_n") / 2.0))
-    return held.groupBy(*keys).agg(F.sum("_w").alias("_w"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n")).select(*keys, ratio(F.col("_w"), F.col("_p") * F.col("_n")).alias("auroc"))
+    held = prefix.running(v, keys, [score], {"_below": "_n"}).withColumn("_w", F.col("_p") * (F.col("_below") + F.col("_n") / 2.0))
+    return held.groupBy(*keys).agg(F.sum("_w").alias("_w"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n")).select(*keys, ratio(F.col("_w"), F.col("_p").cast("double") * F.col("_n")).alias("auroc"))
 
 
 def average_precision(scores: DataFrame, keys: Sequence[str], score: str, positive: str) -> DataFrame:
     """Sum over distinct thresholds of precision times the gain in recall; null without a positive."""
     v = scores.groupBy(*keys, score).agg(F.count_if(F.col(positive)).alias("_p"), F.count("*").alias("_c"))
-    down = W.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    held = v.withColumn("_tp", F.sum("_p").over(down)).withColumn("_at", F.sum("_c").over(down))
-    return held.groupBy(*keys).agg(F.sum(F.col("_p") * F.col("_tp") / F.col("_at")).alias("_s"), F.sum("_p").alias("_all")).select(*keys, ratio(F.col("_s"), F.col("_all")).alias("average_precision"))
+    held = prefix.running(v, keys, [score], {"_p_below": "_p", "_c_below": "_c"}, {"_p_all": "_p", "_c_all": "_c"})
+    # At a threshold: everything that is not below it.
+    precision = (F.col("_p_all") - F.col("_p_below")) / (F.col("_c_all") - F.col("_c_below"))
+    return held.groupBy(*keys).agg(F.sum(F.col("_p") * precision).alias("_s"), F.sum("_p").alias("_all")).select(*keys, ratio(F.col("_s"), F.col("_all")).alias("average_precision"))
+
+
+def one_vs_rest(p: DataFrame, keys: Sequence[str], classes: int) -> DataFrame:
+    """keys, class, score and positive: each prediction once per class."""
+    each = F.explode(F.transform(F.sequence(F.lit(1), F.lit(classes)), lambda c: F.struct(c.alias("class"), F.element_at("probs", c).alias("score"), (F.col("truth") == c).alias("positive"))))
+    return p.select(*keys, each.alias("_x")).select(*keys, "_x.*")
+
+
+def averaged(p: DataFrame, keys: Sequence[str], classes: int, measure: Callable[..., DataFrame], name: str) -> DataFrame:
+    """keys and the macro (mean of the classes that have a value), weighted (by support) and micro (all pairs as one class) form of a measure of scores."""
+    long = materialise(one_vs_rest(p, keys, classes), "one-vs-rest")
+    by = measure(long, [*keys, "class"], "score", "positive")
+    support = long.groupBy(*keys, "class").agg(F.count_if("positive").alias("_n"))
+    m = F.col(name)
+    per = by.join(support.select(*[F.col(k).alias(f"_k{k}") for k in (*keys, "class")], "_n"), prefix.same([*keys, "class"], "_k"))
+    macro = per.groupBy(*keys).agg(F.avg(m).alias("macro"), ratio(F.sum(m * F.col("_n")), F.sum(F.when(m.isNotNull(), F.col("_n")))).alias("weighted"))
+    micro = measure(long, keys, "score", "positive").select(*[F.col(k).alias(f"_k{k}") for k in keys], m.alias("micro"))
+    return macro.join(micro, prefix.same(keys, "_k")).select(*keys, "macro", "micro", "weighted")
 
 
 def expected_calibration_error(p: DataFrame, keys: Sequence[str], bins: int = 10) -> DataFrame:
@@ -103,21 +127,33 @@ def operating_point(scores: DataFrame, keys: Sequence[str], score: str, positive
     return a.select(*keys, ratio(tp, tp + fn).alias("sensitivity"), ratio(tn, tn + fp).alias("specificity"), ratio(tp, tp + fp).alias("ppv"), ratio(tn, tn + fn).alias("npv"))
 
 
-def mcnemar(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
-    """Discordant counts of two boolean columns and the exact two-sided p-value.
+@F.pandas_udf(DoubleType())
+def _two_sided(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([binomial_p_value(int(x), int(y)) for x, y in zip(a, b, strict=True)])
+
 
-    The binomial tail is summed in logarithms over at most min(counts) + 1 terms.
+def binomial_p_value(a: int, b: int) -> float:
+    """Exact two-sided p-value of a and b under even odds.
+
+    The tail is summed from its largest term down, in blocks, until the terms no
+    longer count: some ten times the root of a + b terms, however large they are.
     """
+    n, k = a + b, min(a, b)
+    if n == 0:
+        return 1.0
+    first = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2.0))
+    total, term, i = first, first, k
+    while i > 0 and term > total * 1e-18:
+        step = np.arange(i, max(0, i - 4096), -1, dtype=float)
+        terms = term * np.cumprod(step / (n - step + 1))
+        total, term, i = total + float(terms.sum()), float(terms[-1]), i - len(step)
+    return min(1.0, 2.0 * total)
+
+
+def mcnemar(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
+    """Discordant counts of two boolean columns and the exact two-sided p-value, one row a key."""
     c = df.groupBy(*keys).agg(F.count_if(F.col(a) & ~F.col(b)).alias("only_a"), F.count_if(~F.col(a) & F.col(b)).alias("only_b"))
-    n, k = F.col("only_a") + F.col("only_b"), F.least("only_a", "only_b")
-    # log C(n, i) grows by log((n - i + 1) / i) from one term to the next
-    start = F.struct((-n * F.log(F.lit(2.0))).alias("t"), F.exp(-n * F.log(F.lit(2.0))).alias("s"))
-    tail = F.aggregate(
-        F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>")),
-        start,
-        lambda acc, i: F.struct((acc["t"] + F.log((n - i + 1) / i)).alias("t"), (acc["s"] + F.exp(acc["t"] + F.log((n - i + 1) / i))).alias("s")),
-    )["s"]
-    return c.select(*keys, "only_a", "only_b", F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail)).alias("p_value"))
+    return c.select(*keys, "only_a", "only_b", _two_sided("only_a", "only_b").alias("p_value"))
 
 
 def draw(replicate: Column, row: Column, n: Column) -> Column:
@@ -131,10 +167,15 @@ def bootstrap_mean(df: DataFrame, order: str, value: str, replicates: int) -> Da
     Draws are counted by row and replicate and joined to the rows once: values
     never multiply before the join, and the draws are what is distributed.
     """
-    # Row numbers over the whole table pass through one task, two narrow columns of it.
-    rows = df.select((F.row_number().over(W.orderBy(order)) - 1).cast("long").alias("_i"), F.col(value).alias("_v"))
+    rows = materialise(prefix.numbered(df.select(F.col(order).alias("_o"), F.col(value).alias("_v")), ["_o", "_v"], "_i"), "bootstrap")
+    return resampled(rows, replicates).groupBy("replicate").agg((F.sum(F.col("_c") * F.col("_v")) / F.sum("_c")).alias("mean"))
+
+
+def resampled(rows: DataFrame, replicates: int) -> DataFrame:
+    """The numbered rows (``_i`` from 0) that each replicate draws, and how often (``_c``)."""
     n = rows.agg(F.count("*").alias("_n"))
-    reps = df.sparkSession.range(replicates).withColumnRenamed("id", "replicate")
-    draws = reps.join(F.broadcast(n)).select("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_k"), "_n")
-    counted = draws.select("replicate", draw(F.col("replicate"), F.col("_k"), F.col("_n")).alias("_i")).groupBy("replicate", "_i").agg(F.count("*").alias("_c"))
-    return counted.join(rows, "_i").groupBy("replicate").agg((F.sum(F.col("_c") * F.col("_v")) / F.sum("_c")).alias("mean"))
+    reps = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("replicate")
+    # One draw for each row and replicate: the rows say how many, so no sequence is built.
+    draws = rows.select("_i", reps).join(F.broadcast(n)).select("replicate", draw(F.col("replicate"), F.col("_i"), F.col("_n")).alias("_d"))
+    counted = draws.groupBy("replicate", "_d").agg(F.count("*").alias("_c"))
+    return counted.join(rows, F.col("_d") == F.col("_i")).drop("_d")

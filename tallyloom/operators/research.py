@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -9,8 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from tallyloom.operators.sequence import average_rank
+from tallyloom.operators import prefix
+from tallyloom.session import materialise
 
 
 def pairs_long(df: DataFrame, keys: Sequence[str], unit: str, metric: str, value: str) -> DataFrame:
@@ -25,13 +28,32 @@ def pairs_long(df: DataFrame, keys: Sequence[str], unit: str, metric: str, value
 
 
 def spearman(df: DataFrame, keys: Sequence[str], unit: str, metric: str, value: str) -> DataFrame:
-    """keys, a, b, n and rho of every pair of metrics over the units that have both; null where a side is constant."""
-    p = pairs_long(df, keys, unit, metric, value)
-    ranked = p.withColumn("_rx", average_rank([*keys, "a", "b"], "x")).withColumn("_ry", average_rank([*keys, "a", "b"], "y"))
-    mean = lambda c: F.avg(c)
-    g = ranked.groupBy(*keys, "a", "b").agg(F.count("*").alias("n"), F.sum(F.col("_rx") * F.col("_ry")).alias("_xy"), mean("_rx").alias("_mx"), mean("_ry").alias("_my"), F.sum(F.col("_rx") * F.col("_rx")).alias("_xx"), F.sum(F.col("_ry") * F.col("_ry")).alias("_yy"))
-    cov, vx, vy = F.col("_xy") - F.col("n") * F.col("_mx") * F.col("_my"), F.col("_xx") - F.col("n") * F.col("_mx") ** 2, F.col("_yy") - F.col("n") * F.col("_my") ** 2
-    return g.select(*keys, "a", "b", "n", F.when((vx > 1e-9) & (vy > 1e-9), cov / F.sqrt(vx * vy)).alias("rho"))
+    """keys, a, b, n and rho of every pair of metrics over the units that have both; null where a side is constant.
+
+    Ranks are of the values of a pair's common units, so each pair has its own;
+    the values are counted and their running counts spread over tasks.
+    """
+    p = materialise(pairs_long(df, keys, unit, metric, value), "spearman-pairs")
+    group = [*keys, "a", "b"]
+    seen = p.groupBy(*group).agg(F.count("*").alias("n"))
+    # Both sides' ranks in one pass, told apart by a mark.
+    sides = p.groupBy(*group, F.lit("x").alias("_s"), F.col("x").alias("_v")).agg(F.count("*").alias("_c")).unionByName(p.groupBy(*group, F.lit("y").alias("_s"), F.col("y").alias("_v")).agg(F.count("*").alias("_c")))
+    ranks = prefix.running(sides, [*group, "_s"], ["_v"], {"_below": "_c"}).withColumn("_r", F.col("_below") + (F.col("_c") + 1) / 2.0)
+    ranks = materialise(ranks.select(*[F.col(k).alias(f"_k{k}") for k in group], "_s", "_v", "_r", "_c"), "spearman-ranks")
+    on = prefix.same(group, "_k")
+    both = p
+    for c in ("x", "y"):
+        own = ranks.where(F.col("_s") == c).select(*[f"_k{k}" for k in group], F.col("_v").alias("_kv"), F.col("_r").alias(f"_r{c}"))
+        both = both.join(own, on & (F.col(c) == F.col("_kv"))).select(*both.columns, f"_r{c}")
+    moments = ranks.groupBy(*[f"_k{k}" for k in group], "_s").agg(F.sum(F.col("_c") * F.col("_r") ** 2).alias("_q"))
+    cross = both.groupBy(*group).agg(F.sum(F.col("_rx") * F.col("_ry")).alias("_xy"))
+    for c in ("x", "y"):
+        cross = cross.join(moments.where(F.col("_s") == c).select(*[f"_k{k}" for k in group], F.col("_q").alias(f"_q{c}")), on).drop(*[f"_k{k}" for k in group])
+    out = cross.join(seen.select(*[F.col(k).alias(f"_k{k}") for k in group], "n"), on)
+    # Ranks always have the mean (n + 1) / 2.
+    middle = F.col("n") * ((F.col("n") + 1) / 2.0) ** 2
+    cov, vx, vy = F.col("_xy") - middle, F.col("_qx") - middle, F.col("_qy") - middle
+    return out.select(*group, "n", F.when((vx > 1e-9) & (vy > 1e-9), cov / F.sqrt(vx * vy)).alias("rho"))
 
 
 def copies(df: DataFrame, keys: Sequence[str], unit: str, metric: str, value: str, tolerance: float = 1e-9) -> DataFrame:
@@ -43,35 +65,77 @@ def copies(df: DataFrame, keys: Sequence[str], unit: str, metric: str, value: st
     )
 
 
+#: Groups of one item that are paired in one task; the pairs of an item in more groups come from several.
+GROUP_BLOCK = 1000
+
+
 def jaccard(df: DataFrame, group: str, item: str) -> DataFrame:
-    """Shared items over all items of each two groups that share one: a, b, shared, jaccard. Pairs without a shared item are absent."""
-    d = df.select(group, item).where(F.col(item).isNotNull()).distinct()
-    size = d.groupBy(group).agg(F.count("*").alias("_n"))
-    shared = d.select(F.col(group).alias("a"), item).join(d.select(F.col(group).alias("b"), item), item).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    out = shared.join(size.select(F.col(group).alias("a"), F.col("_n").alias("_na")), "a").join(size.select(F.col(group).alias("b"), F.col("_n").alias("_nb")), "b")
+    """Shared items over all items of each two groups that share one: a, b, shared, jaccard. Pairs without a shared item are absent.
+
+    An item's groups are cut into blocks by hash, and two blocks meet in one task,
+    so an item that is in every group is paired by as many tasks as it needs. The
+    result has a row per pair of groups; it is meant for groups of a registry.
+    """
+    d = materialise(df.select(F.col(group).alias("g"), F.col(item).alias("i")).where(F.col(item).isNotNull()).distinct(), "jaccard")
+    size = d.groupBy("g").agg(F.count("*").alias("_n"))
+    blocks = d.groupBy("i").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("_blocks"))
+    cut = d.join(blocks, "i").withColumn("_own", F.pmod(F.xxhash64("g"), F.col("_blocks")).cast("int"))
+    # Each row goes to the meetings of its block with every other; a block meets itself once.
+    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda x: F.struct(F.least(x, F.col("_own")).alias("lo"), F.greatest(x, F.col("_own")).alias("hi"))))
+    sides = cut.select("g", "i", "_own", meets.alias("_m"))
+    left, right = sides.select(F.col("g").alias("a"), "i", "_m", F.col("_own").alias("_oa")), sides.select(F.col("g").alias("b"), "i", "_m", F.col("_own").alias("_ob"))
+    across = ((F.col("_m.lo") == F.col("_m.hi")) | (F.col("_oa") != F.col("_ob"))) & (F.col("a") < F.col("b"))
+    shared = left.join(right, ["i", "_m"]).where(across).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    out = shared.join(size.select(F.col("g").alias("a"), F.col("_n").alias("_na")), "a").join(size.select(F.col("g").alias("b"), F.col("_n").alias("_nb")), "b")
     return out.select("a", "b", "shared", (F.col("shared") / (F.col("_na") + F.col("_nb") - F.col("shared"))).alias("jaccard"))
 
 
 def kruskal(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
-    """n, groups, the tie-corrected Kruskal-Wallis h and epsilon squared; null where all values are equal or one group is left."""
-    ranked = df.withColumn("_r", average_rank(keys, value))
-    per = ranked.groupBy(*keys, group).agg(F.count("*").alias("_n"), F.sum("_r").alias("_s"))
+    """n, groups, the tie-corrected Kruskal-Wallis h, its p_value and epsilon squared; null where all values are equal or one group is left."""
+    held = materialise(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(group).alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("_c")), "kruskal")
+    values = held.groupBy(*keys, "_v").agg(F.sum("_c").alias("_t"))
+    ranks = prefix.running(values, keys, ["_v"], {"_below": "_t"})
+    named = ranks.select(*[F.col(k).alias(f"_k{k}") for k in keys], F.col("_v").alias("_kv"), (F.col("_below") + (F.col("_t") + 1) / 2.0).alias("_r"))
+    per = held.join(named, prefix.same(keys, "_k") & (F.col("_v") == F.col("_kv"))).groupBy(*keys, "_g").agg(F.sum("_c").alias("_n"), F.sum(F.col("_c") * F.col("_r")).alias("_s"))
     h = per.groupBy(*keys).agg(F.sum("_n").alias("n"), F.count("*").alias("groups"), F.sum(F.col("_s") * F.col("_s") / F.col("_n")).alias("_q"))
-    ties = df.groupBy(*keys, value).count().groupBy(*keys).agg(F.sum(F.col("count").cast("double") ** 3 - F.col("count")).alias("_t"))
+    ties = values.groupBy(*keys).agg(F.sum(F.col("_t").cast("double") ** 3 - F.col("_t")).alias("_t")).select(*[F.col(k).alias(f"_k{k}") for k in keys], "_t")
     n = F.col("n").cast("double")
     raw = 12 / (n * (n + 1)) * F.col("_q") - 3 * (n + 1)
     fix = 1 - F.col("_t") / (n**3 - n)
     value_h = F.when((F.col("groups") > 1) & (n > 1) & (fix > 0), raw / fix)
-    return h.join(ties, list(keys)).select(*keys, "n", "groups", value_h.alias("h"), (value_h / (n - 1)).alias("epsilon2"))
+    return h.join(ties, prefix.same(keys, "_k")).select(*keys, "n", "groups", value_h.alias("h"), chi_square_tail(value_h, F.col("groups") - 1).alias("p_value"), (value_h / (n - 1)).alias("epsilon2"))
+
+
+@F.pandas_udf(DoubleType())
+def chi_square_tail(x: pd.Series, freedom: pd.Series) -> pd.Series:
+    """The upper tail of the chi-square distribution; null for null."""
+    return pd.Series([None if h is None or h != h else _upper_gamma(float(f) / 2, float(h) / 2) for h, f in zip(x, freedom, strict=True)], dtype="float64")
+
+
+def _upper_gamma(a: float, x: float) -> float:
+    """The regularised upper incomplete gamma function of a half-integer a: from its closed form at 1/2 or 1, by the recurrence in a."""
+    if x <= 0:
+        return 1.0
+    at, tail = (0.5, math.erfc(math.sqrt(x))) if a % 1 else (1.0, math.exp(-x))
+    while at < a:
+        tail += math.exp(at * math.log(x) - x - math.lgamma(at + 1))
+        at += 1
+    return min(1.0, tail)
 
 
 def benjamini_hochberg(df: DataFrame, keys: Sequence[str], p: str, order: str) -> DataFrame:
-    """The table with ``q_value``: p times tests over rank, made monotone from the largest p down, at most 1. Null p has none."""
-    w = W.partitionBy(*keys)
-    ranked = df.withColumn("_rank", F.when(F.col(p).isNotNull(), F.row_number().over(w.orderBy(F.col(p).asc_nulls_last(), order)))).withColumn("_m", F.count(p).over(w))
-    raw = F.col(p) * F.col("_m") / F.col("_rank")
-    q = F.min(raw).over(w.orderBy(F.col("_rank").desc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
-    return ranked.withColumn("q_value", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), q))).drop("_rank", "_m")
+    """The table with ``q_value``: p times tests over rank, made monotone from the largest p down, at most 1. Null p has none.
+
+    Equal p have the rank of the last of them, which the step down from larger p
+    would give them anyway. Values of p are counted and ranked by running counts;
+    the least ratio of a later part reaches a part as one number, so a family may
+    hold any share of the tests. ``order`` is not needed to break ties and is kept
+    for callers that name one.
+    """
+    values = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("_c"))
+    ranked = prefix.running(values, keys, [p], {"_below": "_c"}, {"_m": "_c"}).withColumn("_raw", F.col(p) * F.col("_m") / (F.col("_below") + F.col("_c")))
+    q = prefix.least_after(ranked, keys, [p], "_raw", "_q").select(*[F.col(k).alias(f"_k{k}") for k in keys], F.col(p).alias("_kp"), F.least(F.lit(1.0), F.col("_q")).alias("q_value"))
+    return df.join(q, prefix.same(keys, "_k") & (F.col(p) == F.col("_kp")), "left").select(*df.columns, "q_value")
 
 
 def effective_rank(df: DataFrame, keys: Sequence[str], unit: str, metric: str, value: str) -> DataFrame:
@@ -104,8 +168,6 @@ def reachable(edges: DataFrame, start: DataFrame, rounds: int = 100) -> DataFram
     One join a round on the newest nodes only; each round is written to the shared
     folder, so lineage does not grow. Cycles end, as a node is entered once.
     """
-    from tallyloom.session import materialise
-
     seen = materialise(start.select(F.col("node"), F.lit(0).alias("depth")).distinct(), "reach")
     new = seen
     for depth in range(1, rounds + 1):
@@ -124,8 +186,6 @@ def linked_groups(pairs: DataFrame, items: DataFrame, a: str = "a", b: str = "b"
     a partial aggregation, written to the shared folder. Meant for graphs of short
     diameter, as thresholded correlations give.
     """
-    from tallyloom.session import materialise
-
     both = materialise(pairs.select(F.col(a).alias("_p"), F.col(b).alias("_q")).unionByName(pairs.select(F.col(b).alias("_p"), F.col(a).alias("_q"))).distinct(), "groups-pairs")
     label = materialise(items.select(F.col(item).alias("item"), F.col(item).alias("group")).distinct(), "groups")
     for _ in range(rounds):

@@ -49,18 +49,41 @@ def within_budget(df: DataFrame, keys: Sequence[str], order: Sequence[str], cost
     return df.withColumn("_b", before).where(F.col("_b") < budget).drop("_b")
 
 
+#: Cells that one interval is entered in; a longer one is entered in a coarser grid, eight times as wide at each level.
+MOST_CELLS, COARSER = 64, 8
+#: Levels of grids.
+LEVELS = 8
+
+
+def _entered(df: DataFrame, key: str, side: str, grain: float) -> DataFrame:
+    """Each interval with its own level, the finest at which it touches at most ``MOST_CELLS`` cells."""
+    s, e = F.col("start"), F.col("end")
+    level = F.lit(LEVELS - 1)
+    for n in reversed(range(LEVELS - 1)):
+        level = F.when((e - s) / (grain * COARSER**n) < MOST_CELLS - 1, n).otherwise(level)
+    return df.where("start <= end").select(F.col(key), F.col("id").alias(f"{side}_id"), s.alias(f"_{side}s"), e.alias(f"_{side}e"), level.alias(f"_{side}n"))
+
+
 def overlaps(a: DataFrame, b: DataFrame, key: str, grain: float) -> DataFrame:
     """Pairs of intervals of one key that overlap: key, a_id, b_id, start, end of the shared part.
 
-    a and b: key, id, start, end. Each interval is entered in the cells of
-    ``grain`` seconds that it touches, and pairs meet by equality in the first cell
-    both touch, so the join is no cross join and each pair comes once.
+    a and b: key, id, start, end. Each interval is entered in the cells it touches of
+    the grid its length asks for, and pairs meet by equality in the first cell both
+    touch, in the coarser grid of the two: so the join is no cross join, each pair
+    comes once, and an interval however long fills ``MOST_CELLS`` cells of its own
+    grid. A short interval looks into the coarser grids too, one or two cells each;
+    only levels that hold intervals of the other side are looked into.
     """
-    cells = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / grain).cast("long"), F.floor(F.col(e) / grain).cast("long")))
-    x = a.where("start <= end").select(F.col(key), F.col("id").alias("a_id"), F.col("start").alias("_as"), F.col("end").alias("_ae")).withColumn("_c", cells("_as", "_ae"))
-    y = b.where("start <= end").select(F.col(key), F.col("id").alias("b_id"), F.col("start").alias("_bs"), F.col("end").alias("_be")).withColumn("_c", cells("_bs", "_be"))
+    x, y = _entered(a, key, "a", grain), _entered(b, key, "b", grain)
+    width = F.lit(float(grain)) * F.pow(F.lit(float(COARSER)), F.col("_n"))
+
+    def cells(df: DataFrame, side: str) -> DataFrame:
+        levels = df.withColumn("_n", F.explode(F.sequence(F.col(f"_{side}n"), F.lit(LEVELS - 1))))
+        return levels.withColumn("_c", F.explode(F.sequence(F.floor(F.col(f"_{side}s") / width).cast("long"), F.floor(F.col(f"_{side}e") / width).cast("long"))))
+
     lo, hi = F.greatest("_as", "_bs"), F.least("_ae", "_be")
-    return x.join(y, [key, "_c"]).where((hi > lo) & (F.col("_c") == F.floor(lo / grain))).select(key, "a_id", "b_id", lo.alias("start"), hi.alias("end"))
+    met = cells(x, "a").join(cells(y, "b"), [key, "_n", "_c"])
+    return met.where((F.col("_n") == F.greatest("_an", "_bn")) & (hi > lo) & (F.col("_c") == F.floor(lo / width))).select(key, "a_id", "b_id", lo.alias("start"), hi.alias("end"))
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value: str) -> DataFrame:
@@ -100,7 +123,7 @@ def shadowed(df: DataFrame, keys: Sequence[str], scope: str, whole: str) -> Data
 
 
 def average_rank(keys: Sequence[str], value: str) -> Column:
-    """Rank from 1 with equal values sharing the mean of their ranks."""
+    """Rank from 1 with equal values sharing the mean of their ranks, for keys whose rows fit one task; ``prefix.average_ranks`` for others."""
     w = W.partitionBy(*keys)
     return F.rank().over(w.orderBy(value)) + (F.count("*").over(W.partitionBy(*keys, value)) - 1) / 2.0
 

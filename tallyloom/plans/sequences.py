@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyloom.operators import prefix
 from tallyloom.operators import sequence as Q
 from tallyloom.plans.catalog import Catalog, Tables, r
 from tallyloom.plans.relational import EV_SQL, ev
@@ -50,7 +51,7 @@ def _(t: Tables) -> DataFrame:
 
 @add("w07_average_rank", "SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0 AS rank FROM events")
 def _(t: Tables) -> DataFrame:
-    return t.events.select("event_id", Q.average_rank(["event_type"], "value").alias("rank"))
+    return prefix.average_ranks(t.events.select("event_id", "event_type", "value"), ["event_type"], "value", "rank").select("event_id", "rank")
 
 
 _RUNS = """WITH c AS (SELECT user_id, event_id, ts, event_type <> 'error' AS voiced, CASE WHEN lag(event_type <> 'error') OVER w IS NOT DISTINCT FROM (event_type <> 'error') THEN 0 ELSE 1 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

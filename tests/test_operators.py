@@ -180,3 +180,91 @@ def test_reachable_with_a_cycle(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "parent string, child string")
     start = spark.createDataFrame([("a",)], "node string")
     assert {tuple(r) for r in S.reachable(edges, start).collect()} == {("a", 0), ("b", 1), ("c", 2)}
+
+
+def test_prefix_sums_over_many_parts(spark):
+    """Running sums, totals, ranks, least-after and quantiles of keys that lie over several parts, null keys and ties included."""
+    from tallyloom.operators import prefix
+
+    rng = random.Random(12)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.randrange(60) / 4, rng.randrange(5)) for _ in range(900)]
+    df = spark.createDataFrame(rows, "k string, v double, w long").groupBy("k", "v").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = prefix.running(df, ["k"], ["v"], {"before": "w"}, {"all": "w"}).collect()
+        low = prefix.least_after(df.withColumn("x", F.sin("v") * 10), ["k"], ["v"], "x", "low").collect()
+        median = {r.k: r for r in prefix.quantiles(df, ["k"], "v", {"m": 0.5, "q": 0.9}).collect()}
+        ranks = prefix.average_ranks(spark.createDataFrame(rows + [("b", None, 1)], "k string, v double, w long"), ["k"], "v", "r").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for r in got:
+        assert r.before == sum(w for k, v, w in rows if k == r.k and v < r.v) and r["all"] == sum(w for k, _, w in rows if k == r.k)
+    for r in low:
+        assert r.low == min(math.sin(v) * 10 for k, v, _ in rows if k == r.k and v >= r.v)
+    for k in ("hot", "b", None):
+        own = [v for x, v, _ in rows if x == k]
+        assert (median[k].m, median[k].q) == pytest.approx((np.median(own), np.quantile(own, 0.9)))
+    assert len(ranks) == len(rows) + 1 and [r.r for r in ranks if r.v is None] == [None]
+    for r in ranks[:60]:
+        own = [v for x, v, _ in rows if x == r.k]
+        assert r.v is None or r.r == sum(v < r.v for v in own) + (sum(v == r.v for v in own) + 1) / 2
+    assert prefix.running(df.limit(0), ["k"], ["v"], {"before": "w"}).count() == 0
+    assert sorted(r.i for r in prefix.numbered(spark.range(50).repartition(7), ["id"], "i").collect()) == list(range(50))
+
+
+def test_huber_of_keys_with_nulls_on_both_sides_of_the_switch(spark, monkeypatch):
+    """('a', null), (null, 'a') and ('a', 'a') stay apart, in one row and by passes, with the same locations."""
+    rng = np.random.default_rng(11)
+    rows = [(k, j, float(v), float(w)) for i, (k, j) in enumerate([("a", None), (None, "a"), ("a", "a"), (None, None)]) for v, w in zip(rng.normal(size=300) * 4 + 20 * i, rng.random(300) + 0.1, strict=True)]
+    df = spark.createDataFrame(rows, "k string, j string, v double, w double")
+    one = {(r.k, r.j): r.location for r in R.huber_by_group(df, ["k", "j"], "v", "w").collect()}
+    monkeypatch.setattr(R, "MOST_VALUES", 50)
+    two = {(r.k, r.j): r.location for r in R.huber_by_group(df, ["k", "j"], "v", "w").collect()}
+    assert set(one) == set(two) == {(r[0], r[1]) for r in rows}
+    for key, at in one.items():
+        own = [r for r in rows if r[:2] == key]
+        assert at == pytest.approx(two[key], abs=1e-9) == pytest.approx(R.huber_location(np.array([r[2] for r in own]), np.array([r[3] for r in own])), abs=1e-9)
+
+
+def test_mtld_against_a_plain_fold(spark):
+    def fold(tokens):
+        factors, start = 0.0, 0
+        for i in range(1, len(tokens) + 1):
+            if len(set(tokens[start:i])) / (i - start) <= 0.72:
+                factors, start = factors + 1, i
+        rest = tokens[start:]
+        factors += (1 - len(set(rest)) / len(rest)) / 0.28 if rest else 0
+        return len(tokens) / factors if factors else len(tokens)
+
+    rng = random.Random(13)
+    for n, words in ((10, 100), (40, 8), (400, 60), (900, 900), (700, 3)):
+        t = [f"w{chr(97 + rng.randrange(words) % 26)}{chr(97 + rng.randrange(words) // 26 % 26)}" for _ in range(n)]
+        assert one(spark, lambda x: T.mtld(F.split(x, " ")), " ".join(t), "string") == pytest.approx((fold(t) + fold(t[::-1])) / 2)
+
+
+def test_binomial_and_chi_square_tails():
+    from fractions import Fraction
+
+    for a, b in ((0, 0), (3, 9), (1, 0), (25, 25), (40, 90)):
+        n, k = a + b, min(a, b)
+        assert E.binomial_p_value(a, b) == pytest.approx(min(1.0, float(2 * sum(Fraction(math.comb(n, i), 2**n) for i in range(k + 1)))), rel=1e-9)
+    assert 0 <= E.binomial_p_value(50_000_000, 50_010_000) < 1 and E.binomial_p_value(0, 10_000) == 0.0
+    assert S._upper_gamma(1.0, 3.0) == pytest.approx(math.exp(-3)) and S._upper_gamma(0.5, 1.92) == pytest.approx(0.05004, abs=1e-4) and S._upper_gamma(2.0, 2.5) == pytest.approx(math.exp(-2.5) * 3.5)
+
+
+def test_an_item_in_every_group(spark, monkeypatch):
+    monkeypatch.setattr(S, "GROUP_BLOCK", 4)
+    rows = [(f"g{g:02d}", i) for g in range(30) for i in ("hot", f"i{g % 3}", f"own{g}")] + [("g00", None), ("g00", "hot")]
+    got = {(r.a, r.b): (r.shared, r.jaccard) for r in S.jaccard(spark.createDataFrame(rows, "g string, i string"), "g", "i").collect()}
+    assert len(got) == 30 * 29 // 2
+    assert all(v == ((2, 0.5) if int(a[1:]) % 3 == int(b[1:]) % 3 else (1, 0.2)) for (a, b), v in got.items())
+
+
+def test_overlaps_of_short_and_very_long_intervals(spark):
+    rng = random.Random(14)
+    mk = lambda n: [("k", i, s := rng.random() * 5000, s + (rng.random() * 3 if i % 5 else rng.random() * 5000)) for i in range(n)]
+    a, b = mk(60) + [("k", 99, 0.0, 1e9)], mk(60) + [("k", 98, 10.0, 10.0)]
+    kinds = "key string, id int, start double, end double"
+    rows = Q.overlaps(spark.createDataFrame(a, kinds), spark.createDataFrame(b, kinds), "key", 1.0).collect()
+    want = {(x[1], y[1]) for x in a for y in b if min(x[3], y[3]) > max(x[2], y[2])}
+    assert len(rows) == len(want) and {(r.a_id, r.b_id) for r in rows} == want
