@@ -16,6 +16,7 @@ import re
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -159,10 +160,16 @@ def _transcript(text: str) -> list[str] | None:
         while (less := turns._BRACKETS.sub(" ", said)) != said:
             said = less
         said = turns._CODES.sub(" ", said)
-        out.append(" ".join(w for w in said.split() if not turns.is_hesitation(w.strip(",.;:!?-…，。").lower())))
+        out.append(" ".join(w for w in said.split() if not _hesitates(w)))
     return out
 
 
+@lru_cache(maxsize=200_000)
+def _hesitates(token: str) -> bool:
+    """Whether a token and the marks around it are a hesitation sound."""
+    return turns.is_hesitation(token.strip(",.;:!?-…，。").lower())
+
+
 def features(text: str | None) -> Found | None:
     """Syntax features, and places and weights of the vocabulary; None without running prose.
 

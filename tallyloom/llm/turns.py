@@ -34,6 +34,8 @@ _TIME = rf"(?:[\[(][ ]*(?:{_CLOCK})[ ]*[\])]|(?:{_CLOCK}))"
 _SEPARATOR = r"(?:[ ]?[:：>＞](?=[ ]|\S|$)|[ ]+[-–—](?=[ ]|$))"
 _HEAD = re.compile(rf"^(?P<before>{_TIME})?[ ]*(?P<label>{speakers.LABEL})(?:[ ]*(?P<after>{_TIME}))?(?P<separator>{_SEPARATOR})[ ]*")
 _INLINE = re.compile(rf"(?:^|(?<=[ ]))(?:(?P<before>{_TIME})[ ]+)?(?P<label>{speakers.LABEL})(?:[ ]*(?P<after>{_TIME}))?(?P<separator>[ ]?[:：>＞])(?=[ ]|$)")
+#: What every inline label ends with.
+_INLINE_END = re.compile(r"[:：>＞](?=[ ]|$)")
 _CUE = re.compile(r"^\s*(?P<start>(?:\d+:)?\d{1,2}:\d{2}(?:[.,]\d{1,3})?)\s*-->")
 _CHAT = re.compile(r"^\*(?P<label>[^\W_][\w.]*)\s*[:：]")
 _BULLET = re.compile(r"\x15(\d+)_(\d+)\x15")
@@ -178,6 +180,8 @@ def _read_lines(lines: list[str]) -> Transcript:
 def _read_inline(text: str) -> Transcript:
     """One line in which labels of the roster stand before what is said."""
     out, at, label, start = Transcript(), 0, None, None
+    if not _INLINE_END.search(text):
+        return Transcript([Utterance(None, None, text)])
     for m in _INLINE.finditer(text):
         name, begin = m["label"], m.start()
         first, _, last = name.partition(" ")
