@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TINY = 1e-12
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def total(p: Column) -> Column:
     return F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
 
@@ -20,12 +27,12 @@ def is_simplex(p: Column, tolerance: float = 1e-6) -> Column:
 def normalise(p: Column) -> Column:
     """Non-negative parts over their sum; uniform where nothing positive is left. Null and NaN parts count as 0."""
     kept = F.transform(p, lambda x: F.when(x.isNull() | F.isnan(x) | (x < 0), 0.0).otherwise(x))
-    return F.when(total(kept) > 0, F.transform(kept, lambda x: x / total(kept))).otherwise(F.transform(kept, lambda x: 1.0 / F.size(kept)))
+    return let(kept, lambda k: let(total(k), lambda s: F.transform(k, lambda x: F.when(s > 0, x / s).otherwise(1.0 / F.size(k)))))
 
 
 def softmax(z: Column) -> Column:
-    e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
-    return F.transform(e, lambda x: x / total(e))
+    powers = let(z, lambda v: let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top))))
+    return let(powers, lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def logs(p: Column, floor: float = TINY) -> Column:
@@ -95,11 +102,14 @@ def capped_weights(w: Column, cap: float, rounds: int) -> Column:
 
     ``rounds`` is at most the number of parts; a cap below 1 / parts gives the uniform weights.
     """
-    out = normalise(w)
-    for _ in range(rounds):
+    def spread(out: Column) -> Column:
         over = F.aggregate(out, F.lit(0.0), lambda a, x: a + F.greatest(x - cap, F.lit(0.0)))
         room = F.aggregate(out, F.lit(0.0), lambda a, x: a + F.when(x < cap, x).otherwise(0.0))
-        out = F.transform(out, lambda x: F.when(x >= cap, F.lit(float(cap))).otherwise(F.when(room > 0, x + over * x / room).otherwise(x)))
+        return let(over, lambda o: let(room, lambda r: F.transform(out, lambda x: F.when(x >= cap, F.lit(float(cap))).otherwise(F.when(r > 0, x + o * x / r).otherwise(x)))))
+
+    out = normalise(w)
+    for _ in range(rounds):
+        out = let(out, spread)
     return F.when(F.size(w) * cap <= 1, F.transform(w, lambda x: 1.0 / F.size(w))).otherwise(out)
 
 

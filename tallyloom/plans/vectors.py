@@ -128,7 +128,15 @@ def _(t: Tables) -> DataFrame:
     return predictions(t).select("vec_id", *_three(V.zero_sum(delta, 0.25)))
 
 
-@add("m18_capped_weights", None)
+@add(
+    "m18_capped_weights",
+    f"""WITH c AS (SELECT vec_id, p1, p2, p3, 0.45 AS cap FROM {PRED_SQL}),
+a AS (SELECT *, greatest(p1 - cap, 0) + greatest(p2 - cap, 0) + greatest(p3 - cap, 0) AS o, (CASE WHEN p1 < cap THEN p1 ELSE 0 END + CASE WHEN p2 < cap THEN p2 ELSE 0 END + CASE WHEN p3 < cap THEN p3 ELSE 0 END) AS m FROM c),
+b AS (SELECT vec_id, cap, {", ".join(f"CASE WHEN p{i} >= cap THEN cap WHEN m > 0 THEN p{i} + o * p{i} / m ELSE p{i} END AS p{i}" for i in (1, 2, 3))} FROM a),
+a2 AS (SELECT *, greatest(p1 - cap, 0) + greatest(p2 - cap, 0) + greatest(p3 - cap, 0) AS o, (CASE WHEN p1 < cap THEN p1 ELSE 0 END + CASE WHEN p2 < cap THEN p2 ELSE 0 END + CASE WHEN p3 < cap THEN p3 ELSE 0 END) AS m FROM b),
+b2 AS (SELECT vec_id, {", ".join(f"CASE WHEN p{i} >= cap THEN cap WHEN m > 0 THEN p{i} + o * p{i} / m ELSE p{i} END AS p{i}" for i in (1, 2, 3))} FROM a2)
+SELECT vec_id, round(p1, 9) AS p1, round(p2, 9) AS p2, round(p3, 9) AS p3 FROM b2""",
+)
 def _(t: Tables) -> DataFrame:
     return predictions(t).select("vec_id", *_three(V.capped_weights(F.col("probs"), 0.45, 3)))
 
