@@ -171,11 +171,74 @@ def bootstrap_mean(df: DataFrame, order: str, value: str, replicates: int) -> Da
     return resampled(rows, replicates).groupBy("replicate").agg((F.sum(F.col("_c") * F.col("_v")) / F.sum("_c")).alias("mean"))
 
 
-def resampled(rows: DataFrame, replicates: int) -> DataFrame:
-    """The numbered rows (``_i`` from 0) that each replicate draws, and how often (``_c``)."""
+def resampled(rows: DataFrame, replicates: int, first: int = 0) -> DataFrame:
+    """The numbered rows (``_i`` from 0) that each replicate, from ``first`` on, draws, and how often (``_c``)."""
     n = rows.agg(F.count("*").alias("_n"))
-    reps = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("replicate")
+    reps = F.explode(F.sequence(F.lit(first).cast("long"), F.lit(first + replicates - 1).cast("long"))).alias("replicate")
     # One draw for each row and replicate: the rows say how many, so no sequence is built.
     draws = rows.select("_i", reps).join(F.broadcast(n)).select("replicate", draw(F.col("replicate"), F.col("_i"), F.col("_n")).alias("_d"))
     counted = draws.groupBy("replicate", "_d").agg(F.count("*").alias("_c"))
     return counted.join(rows, F.col("_d") == F.col("_i")).drop("_d")
+
+
+#: Of a bootstrap, how many times the wanted replicates are drawn at most while some are not valid.
+ATTEMPTS = 8
+
+
+def _from_counts(classes: int, name: str) -> dict[str, Column]:
+    """accuracy, balanced_accuracy and macro_f1 of the weighted counts ``{name}_i_j``."""
+    at = lambda i, j: F.col(f"{name}_{i}_{j}")
+    r = range(1, classes + 1)
+    total = lambda xs: sum(xs, F.lit(0))
+    support, called = {i: total(at(i, j) for j in r) for i in r}, {j: total(at(i, j) for i in r) for j in r}
+    f1 = [F.coalesce(ratio(2 * at(i, i), support[i] + called[i]), F.lit(0.0)) for i in r]
+    return {
+        "accuracy": total(at(i, i) for i in r) / total(support.values()),
+        "balanced_accuracy": total(ratio(at(i, i), support[i]) for i in r) / classes,
+        "macro_f1": total(f1) / classes,
+    }
+
+
+def _replicates(p: DataFrame, order: str, predicted: Sequence[str], replicates: int, classes: int) -> DataFrame:
+    """The first valid replicates with the counts of each predicted column; valid ones hold every class.
+
+    Rounds of ``replicates`` draws follow until enough are valid, ``ATTEMPTS`` at most.
+    """
+    rows = materialise(prefix.numbered(p.select(F.col(order).alias("_o"), "truth", *predicted), ["_o"], "_i"), "bootstrap")
+    r = range(1, classes + 1)
+    found = None
+    for attempt in range(ATTEMPTS):
+        cells = [F.sum(F.when((F.col("truth") == i) & (F.col(c) == j), F.col("_c")).otherwise(0)).alias(f"{c}_{i}_{j}") for c in predicted for i in r for j in r]
+        drawn = resampled(rows, replicates, attempt * replicates).groupBy("replicate").agg(*cells)
+        every = F.lit(True)
+        for i in r:
+            every = every & (sum((F.col(f"{predicted[0]}_{i}_{j}") for j in r), F.lit(0)) > 0)
+        found = drawn.where(every) if found is None else found.unionByName(drawn.where(every))
+        found = materialise(found, "replicates")
+        if found.count() >= replicates:
+            break
+    return found.orderBy("replicate").limit(replicates)
+
+
+def bootstrap_intervals(p: DataFrame, order: str, predicted: str = "predicted", replicates: int = 200, classes: int = 3) -> DataFrame:
+    """measure, estimate on the rows themselves, ci_low and ci_high (2.5 and 97.5 percent of the replicates) and replicates used."""
+    return _intervals(p, order, [predicted], replicates, classes)
+
+
+def paired_bootstrap(p: DataFrame, order: str, a: str, b: str, replicates: int = 200, classes: int = 3) -> DataFrame:
+    """The same of what predictions a gain over b on the same draws, with the discordant counts and the exact p-value of McNemar's test."""
+    out = _intervals(p, order, [a, b], replicates, classes)
+    hits = p.select((F.col(a) == F.col("truth")).alias("_a"), (F.col(b) == F.col("truth")).alias("_b"))
+    return out.join(F.broadcast(mcnemar(hits, [], "_a", "_b")))
+
+
+def _intervals(p: DataFrame, order: str, predicted: Sequence[str], replicates: int, classes: int) -> DataFrame:
+    r = range(1, classes + 1)
+    measures = [_from_counts(classes, c) for c in predicted]
+    value = {m: measures[0][m] - measures[1][m] if len(predicted) > 1 else measures[0][m] for m in measures[0]}
+    long = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), x.cast("double").alias("value")) for m, x in value.items()])).alias("x")
+    drawn = _replicates(p, order, predicted, replicates, classes).select(long).select("x.*")
+    whole = p.agg(*[F.count_if((F.col("truth") == i) & (F.col(c) == j)).alias(f"{c}_{i}_{j}") for c in predicted for i in r for j in r]).select(long).select(F.col("x.measure").alias("_m"), F.col("x.value").alias("estimate"))
+    # As many rows a measure as replicates.
+    per = drawn.groupBy("measure").agg(F.percentile("value", 0.025).alias("ci_low"), F.percentile("value", 0.975).alias("ci_high"), F.count("*").alias("replicates"))
+    return per.join(whole, F.col("measure") == F.col("_m")).select("measure", "estimate", "ci_low", "ci_high", "replicates")

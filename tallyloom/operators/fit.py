@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import vectors as V
 from tallyloom.operators import evaluate as E
+from tallyloom.session import materialise
 
 
 def ridge(df: DataFrame, inputs: Sequence[str], targets: Sequence[str], alpha: float = 1.0) -> dict[str, tuple[float, list[float]]]:
@@ -75,6 +77,74 @@ def logistic(df: DataFrame, inputs: Sequence[Column], positive: Column, l2: floa
     return [float(x) for x in at]
 
 
+@dataclass(frozen=True)
+class Fit:
+    """One of several logistic fits: its inputs, the rows it is fitted on, and its ridge."""
+
+    inputs: Sequence[Column]
+    rows: Column
+    l2: float = 1e-6
+
+
+def logistic_many(df: DataFrame, fits: Sequence[Fit], positive: Column, steps: int = 30) -> list[list[float]]:
+    """Intercept and weights of several binary logistic regressions of one target, as ``logistic``; every Newton step is one pass for all of them.
+
+    A row with a null in an input or the target does not count for that fit. A fit without rows has weights of 0.
+    """
+    width = max(len(f.inputs) for f in fits)
+    # A row for each fit it belongs to; a fit with fewer inputs has zeros, which get no weight.
+    parts = [F.struct(F.lit(n).alias("n"), f.rows.alias("own"), *[(f.inputs[i].cast("double") if i < len(f.inputs) else F.lit(0.0)).alias(f"x{i}") for i in range(width)]) for n, f in enumerate(fits)]
+    long = df.select(positive.cast("double").alias("y"), F.explode(F.filter(F.array(*parts), lambda x: x["own"])).alias("_p")).select("y", "_p.n", *[f"_p.x{i}" for i in range(width)])
+    base = materialise(long.na.drop(), "fits")
+    k = width + 1
+    at = np.zeros((len(fits), k))
+    xs = [F.lit(1.0)] + [F.col(f"x{i}") for i in range(width)]
+    p = V.sigmoid(sum((F.col(f"a{i}") * x for i, x in enumerate(xs)), F.lit(0.0)), 35.0)
+    scored = [F.col("n"), *[x.alias(f"v{i}") for i, x in enumerate(xs)], (F.col("y") - p).alias("e"), (p * (1 - p)).alias("w")]
+    v = [F.col(f"v{i}") for i in range(k)]
+    sums = [F.sum(F.col("e") * x).alias(f"g{i}") for i, x in enumerate(v)] + [F.sum(F.col("w") * v[i] * v[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
+    for _ in range(steps):
+        # The weights come as rows, so every step is the same compiled plan.
+        weights = df.sparkSession.createDataFrame([(n, *map(float, a)) for n, a in enumerate(at)], "n int, " + ", ".join(f"a{i} double" for i in range(k)))
+        moved = 0.0
+        for r in base.join(F.broadcast(weights), "n").select(*scored).groupBy("n").agg(*sums).collect():  # a row a fit
+            shrink = np.diag([0.0] + [fits[r.n].l2] * width)
+            g = np.array([r[f"g{i}"] for i in range(k)]) - shrink @ at[r.n]
+            h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) + shrink + 1e-12 * np.eye(k)
+            move = np.linalg.solve(h, g)
+            move *= min(1.0, 5.0 / max(1e-12, float(np.abs(move).max())))
+            at[r.n] += move
+            moved = max(moved, float(np.abs(move).max()))
+        if moved < 1e-10:
+            break
+    return [[float(x) for x in a[: len(f.inputs) + 1]] for a, f in zip(at, fits, strict=True)]
+
+
+def linear(weights: Sequence[float], inputs: Sequence[Column]) -> Column:
+    """Probability of a logistic fit."""
+    return V.sigmoid(sum((F.lit(w) * x.cast("double") for w, x in zip(weights[1:], inputs, strict=True)), F.lit(weights[0])), 35.0)
+
+
+def left_out(df: DataFrame, branches: Mapping[str, tuple[Sequence[Column], float]], positive: Column, fold: str, folds: int) -> DataFrame:
+    """``df`` with the probability of each branch (inputs and ridge) from the fit that left the row's fold out; all branches and folds are fitted together."""
+    fits = [Fit(inputs, F.col(fold) != k, l2) for inputs, l2 in branches.values() for k in range(folds)]
+    weights = iter(logistic_many(df, fits, positive))
+    out = {}
+    for name, (inputs, _) in branches.items():
+        own = F.lit(None).cast("double")
+        for k in range(folds):
+            own = F.when(F.col(fold) == k, linear(next(weights), inputs)).otherwise(own)
+        out[name] = own
+    return df.withColumns(out)
+
+
+def branch_reliability(df: DataFrame, branches: Sequence[str], positive: Column) -> DataFrame:
+    """branch, auroc of its left-out scores, and reliability: how far it lies above one half, 0 to 1."""
+    long = df.select(positive.alias("positive"), F.explode(F.array(*[F.struct(F.lit(b).alias("branch"), F.col(b).alias("score")) for b in branches])).alias("x")).select("x.*", "positive")
+    a = E.auroc(long.where(F.col("score").isNotNull()), ["branch"], "score", "positive")
+    return a.select("branch", "auroc", F.greatest(F.lit(0.0), 2 * F.coalesce("auroc", F.lit(0.5)) - 1).alias("reliability"))
+
+
 def calibration(scores: DataFrame, score: str, positive: str) -> tuple[float, float]:
     """Intercept and slope of the outcome on the logit of the score (bounded to 1e-5 from 0 and 1)."""
     s = F.greatest(F.lit(1e-5), F.least(F.lit(1 - 1e-5), F.col(score)))

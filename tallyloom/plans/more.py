@@ -222,17 +222,6 @@ def _(t: Tables) -> DataFrame:
     return predictions(t).agg(r(F.avg(wrong.cast("int"))).alias("error"), r(F.avg((wrong & (F.array_max("probs") >= 0.5)).cast("int"))).alias("confident_error"))
 
 
-@add("e14_stratified_bootstrap", None)
-def _(t: Tables) -> DataFrame:
-    """Accuracy of resamples drawn within each class: draws stay in their stratum's rows."""
-    p = predictions(t).select("vec_id", "truth", (F.col("truth") == F.col("predicted")).cast("double").alias("hit"))
-    w = W.partitionBy("truth")
-    rows = p.select("truth", (F.row_number().over(w.orderBy("vec_id")) - 1).cast("long").alias("i"), F.count("*").over(w).alias("n"), "hit")
-    draws = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long")))).select("truth", "replicate", E.draw(F.col("replicate"), F.col("i"), F.col("n")).alias("i"))
-    counted = draws.groupBy("truth", "replicate", "i").agg(F.count("*").alias("c"))
-    return counted.join(rows.select("truth", "i", "hit"), ["truth", "i"]).groupBy("replicate").agg(r(F.sum(F.col("c") * F.col("hit")) / F.sum("c")).alias("accuracy"))
-
-
 @add("e17_overlap_groups", None)
 def _(t: Tables) -> DataFrame:
     """Metrics linked by rank correlations of 0.3 or more either way, isolated ones kept."""

@@ -203,21 +203,6 @@ def _(t: Tables) -> DataFrame:
     return E.bootstrap_mean(e, "vec_id", "x", 20).select("replicate", r(F.col("mean")).alias("mean"))
 
 
-@add("e13_mcnemar", None)
-def _(t: Tables) -> DataFrame:
-    p = predictions(t).withColumn("a", F.col("truth") == F.col("predicted")).withColumn("b", V.argmax(F.col("prior")) == F.col("truth"))
-    return E.mcnemar(p, [], "a", "b")
-
-
-@add("e22_hash_folds", "SELECT label, fold, count(*) AS n FROM (SELECT label, (row_number() OVER (PARTITION BY label ORDER BY sha256(subject_id), subject_id) - 1) % 5 AS fold FROM (SELECT subject_id, min(label) AS label FROM manifest WHERE subject_id IS NOT NULL GROUP BY 1)) GROUP BY ALL")
-def _(t: Tables) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    s = t.manifest.where(F.col("subject_id").isNotNull()).groupBy("subject_id").agg(F.min("label").alias("label"))
-    fold = (F.row_number().over(W.partitionBy("label").orderBy(F.sha2("subject_id", 256), "subject_id")) - 1) % 5
-    return s.select("label", fold.cast("long").alias("fold")).groupBy("label", "fold").agg(F.count("*").alias("n"))
-
-
 @add("e31_grid_selection", f"WITH g AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]) AS a), s AS (SELECT a, avg(-ln((1 - a) * CASE truth WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END + a * CASE truth WHEN 1 THEN q1 WHEN 2 THEN q2 ELSE q3 END)) AS loss FROM {PRED_SQL} CROSS JOIN g GROUP BY 1) SELECT a AS strength, round(loss, 9) AS loss, loss = (SELECT min(loss) FROM s) AS chosen FROM s")
 def _(t: Tables) -> DataFrame:
     """The loss of every blend strength of a grid, in one pass: the grid is a fixed few values exploded by row."""
@@ -235,16 +220,6 @@ def _(t: Tables) -> DataFrame:
     return predictions(t).groupBy("truth").agg(F.count("*").alias("n"), r(F.avg(sure.cast("int"))).alias("coverage"), r(F.avg(F.when(sure, (F.col("truth") == F.col("predicted")).cast("int")))).alias("accuracy"))
 
 
-@add("e49_auroc_one_vs_one", None)
-def _(t: Tables) -> DataFrame:
-    """Mean over class pairs of the area between the two classes, each scored by its own probability."""
-    p = predictions(t)
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (1, 2, 3) for b in (1, 2, 3) if a != b])
-    s = p.withColumn("ab", F.explode(pairs)).where((F.col("truth") == F.col("ab.a")) | (F.col("truth") == F.col("ab.b")))
-    s = s.select(F.col("ab.a").alias("a"), F.col("ab.b").alias("b"), F.element_at("probs", F.col("ab.a")).alias("score"), (F.col("truth") == F.col("ab.a")).alias("positive"))
-    return E.auroc(s, ["a", "b"], "score", "positive").agg(r(F.avg("auroc")).alias("macro_auroc_ovo"))
-
-
 # --- overlap and inference studies ------------------------------------------------------
 
 _LONG = f"(SELECT task_scope, subject_id, metric_instance_id AS m, avg(value) AS v FROM {EV_SQL} WHERE split = 'train' AND task_scope = 'global' GROUP BY ALL)"

@@ -80,3 +80,23 @@ def test_expected_grid_has_every_name_of_a_long_registry(spark, tmp_path):
     registry.write.parquet(f"{tmp_path}/metric_registry.parquet")
     got = __spark_entry__.queries()["j13_expected_grid"](spark, str(tmp_path))
     assert got.select("metric_id").distinct().count() == 2100
+
+
+def test_many_logistic_fits_are_each_their_own(spark):
+    """Fits of different rows, inputs and ridges in shared passes, against one fit at a time."""
+    rng = np.random.default_rng(3)
+    rows = [(float(a), float(b), bool(rng.random() < 1 / (1 + np.exp(-a))), int(i % 3)) for i, (a, b) in enumerate(rng.normal(size=(300, 2)))]
+    df = spark.createDataFrame([*rows, (None, 1.0, True, 0)], "a double, b double, y boolean, f int")
+    fits = [fit.Fit([F.col("a"), F.col("b")], F.lit(True)), fit.Fit([F.col("b")], F.col("f") != 1, 0.5), fit.Fit([F.col("a")], F.col("f") == 7)]
+    got = fit.logistic_many(df, fits, F.col("y"))
+    assert np.allclose(got[0], fit.logistic(df, [F.col("a"), F.col("b")], F.col("y")), atol=1e-8)
+    assert np.allclose(got[1], fit.logistic(df.where("f <> 1").na.drop(), [F.col("b")], F.col("y"), l2=0.5), atol=1e-2) and got[2] == [0.0, 0.0]
+
+
+def test_left_out_scores_do_not_see_their_fold(spark):
+    rows = [(float(i % 7), bool((i % 7 > 3) != (i % 3 == 0)), i % 3) for i in range(210)]
+    df = spark.createDataFrame(rows, "x double, y boolean, fold int")
+    out = fit.left_out(df, {"p": ([F.col("x")], 1e-6)}, F.col("y"), "fold", 3)
+    one = fit.logistic(df.where("fold <> 2"), [F.col("x")], F.col("y"))
+    for r in out.where("fold = 2").limit(5).collect():
+        assert abs(r.p - 1 / (1 + np.exp(-one[0] - one[1] * r.x))) < 1e-8
