@@ -67,3 +67,15 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
         one = left[k].eqNullSafe(r[f"__{k}"])
         on = one if on is None else on & one
     return left.join(r, on, how).drop(*[f"__{k}" for k in keys])
+
+
+def pivot_unique(df: DataFrame, keys: Sequence[str], column: str, values: Sequence, value: str, prefix: str = "") -> DataFrame:
+    """keys and one column per listed value of ``column``, holding the row's ``value``; two rows for one cell raise.
+
+    A cell without a row, or with a null value, is null; rows of other values of ``column`` are left out.
+    """
+    cells = []
+    for v in values:
+        own = F.col(column) == v
+        cells.append(F.when(F.count_if(own) > 1, F.raise_error(F.lit(f"two rows for {column} {v}"))).otherwise(F.max(F.when(own, F.col(value)))).alias(f"{prefix}{v}"))
+    return df.groupBy(*keys).agg(*cells)

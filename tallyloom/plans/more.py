@@ -197,13 +197,6 @@ def _(t: Tables) -> DataFrame:
     return predictions(t).select("vec_id", *[r(F.element_at(p, i)).alias(f"p{i}") for i in (1, 2, 3)])
 
 
-@add("n06_without_fields", "SELECT record_id, len(state_observations) AS n FROM synthetic_workspace WHERE state_observations IS NOT NULL")
-def _(t: Tables) -> DataFrame:
-    """Observations without two fields, at any depth of the array, and non-finite scores as null."""
-    slim = F.transform("state_observations", lambda s: s.dropFields("evidence_segments", "counter_evidence").withField("state_z", F.when(~F.isnan(s["state_z"]), s["state_z"])))
-    return t.synthetic_workspace.where(F.col("state_observations").isNotNull()).select("record_id", F.size(slim).cast("long").alias("n"))
-
-
 @add("n07_forbidden_fields", None)
 def _(t: Tables) -> DataFrame:
     """Whether a payload names a field that must not leave the house, at any depth."""
@@ -230,13 +223,6 @@ def _(t: Tables) -> DataFrame:
     return S.linked_groups(rho, t.metric_registry.select(F.col("metric_id").alias("item")))
 
 
-@add("e19_scope_reuse", f"WITH v AS (SELECT subject_id, metric_instance_id AS m, task_scope AS s, avg(value) AS v FROM {EV_SQL} GROUP BY ALL), g AS (SELECT * FROM v WHERE s = 'global') SELECT v.m AS metric_id, v.s AS task_scope, count(*) AS n, bool_and(abs(v.v - g.v) <= 1e-9) AS copied FROM v JOIN g ON v.subject_id = g.subject_id AND v.m = g.m WHERE v.s <> 'global' GROUP BY ALL")
-def _(t: Tables) -> DataFrame:
-    v = ev(t).groupBy("subject_id", F.col("metric_instance_id").alias("metric_id"), "task_scope").agg(F.avg("value").alias("v"))
-    g = v.where("task_scope = 'global'").select("subject_id", "metric_id", F.col("v").alias("whole"))
-    return v.where("task_scope <> 'global'").join(g, ["subject_id", "metric_id"]).groupBy("metric_id", "task_scope").agg(F.count("*").alias("n"), F.bool_and(F.abs(F.col("v") - F.col("whole")) <= 1e-9).alias("copied"))
-
-
 @add("e38_intervention", f"WITH s AS (SELECT subject_id, state_id, avg(directional_z) AS z FROM {EV_SQL} WHERE isfinite(directional_z) GROUP BY ALL), m AS (SELECT state_id, median(z) AS m FROM s GROUP BY 1), x AS (SELECT subject_id, avg(s.z) AS before, avg(CASE WHEN k = 1 THEN m.m ELSE s.z END) AS after FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY abs(z) DESC, state_id) AS k FROM s) s JOIN m USING (state_id) GROUP BY 1) SELECT subject_id, round(before, 9) AS before, round(after, 9) AS after FROM x")
 def _(t: Tables) -> DataFrame:
     """Each subject's mean state score, and the same with its most extreme state put to the cohort's median."""
@@ -291,29 +277,9 @@ def _(t: Tables) -> DataFrame:
     return t.synthetic_workspace.agg(F.count("*").alias("records"), F.count_if(F.col("case_transcript").isNotNull()).alias("with_transcript"), F.count_if(F.size("state_observations") > 0).alias("with_observations"), F.count_if(F.col("base_probabilities").isNotNull()).alias("with_probabilities"))
 
 
-@add("g17_assembled_records", f"SELECT subject_id, count(DISTINCT state_id) AS states FROM {EV_SQL} GROUP BY 1")
-def _(t: Tables) -> DataFrame:
-    """One nested document a subject: its states, each with its mean score; here their number."""
-    s = ev(t).groupBy("subject_id", "state_id").agg(F.avg(parse.finite(F.col("directional_z"))).alias("z"))
-    doc = s.groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("state_id", "z"))).alias("states"))
-    return doc.select("subject_id", F.size("states").cast("long").alias("states"))
-
-
 @add("g24_blind_projection", None)
 def _(t: Tables) -> DataFrame:
     """Whitelisted columns only, with cases under aliases that do not lead back."""
     from tallyloom.functions.text import pseudonym
 
     return t.manifest.select(pseudonym(F.col("case_id"), "blind", 16).alias("case_alias"), "task_type", "language", "duration_sec")
-
-
-@add("g25_typed_rows", "SELECT evidence_status, count(*) AS n, count(*) FILTER (length(metric_instance_id) > 0) AS with_source FROM metric_evidence GROUP BY 1")
-def _(t: Tables) -> DataFrame:
-    """Flat rows as typed nested evidence: reference, reliability and provenance in their own structs."""
-    e = t.metric_evidence.select(
-        "evidence_status",
-        F.struct(F.col("reference_median").alias("median"), F.col("reference_scale").alias("scale"), F.col("reference_scope").alias("scope"), F.col("reference_available").alias("available")).alias("reference"),
-        F.struct(F.col("reliability").alias("total"), F.col("source_reliability").alias("source")).alias("quality"),
-        F.struct(F.col("dataset_id").alias("dataset"), F.col("metric_instance_id").alias("instance")).alias("provenance"),
-    )
-    return e.groupBy("evidence_status").agg(F.count("*").alias("n"), F.count_if(F.length("provenance.instance") > 0).alias("with_source"))

@@ -274,21 +274,6 @@ def _(t: Tables) -> DataFrame:
     return e.join(a, ["metric_id", "branch"], "left").join(b, "metric_instance_id", "left").groupBy("evidence_role", F.coalesce("_a", "_b", F.lit("none")).alias("state_id")).agg(F.count("*").alias("n"))
 
 
-@add(
-    "j20_trace",
-    """WITH o AS (SELECT record_id, unnest(state_observations) AS s, evidence_registry AS g FROM synthetic_workspace)
-SELECT record_id, s.evidence_id AS evidence_id, len(list_filter(s.metric_evidence_ids, lambda m: m IS NOT NULL AND NOT list_contains(list_transform(coalesce(g, []), lambda x: x.evidence_id), m))) AS broken
-FROM o WHERE s.evidence_id IS NOT NULL AND s.metric_evidence_ids IS NOT NULL""",
-)
-def _(t: Tables) -> DataFrame:
-    """Metric ids an observation cites that its record's own registry lacks."""
-    o = t.synthetic_workspace.select("record_id", F.explode("state_observations").alias("s"), F.coalesce("evidence_registry", F.array().cast("array<struct<evidence_id:string,evidence_type:string>>")).alias("g"))
-    o = o.where(F.col("s.evidence_id").isNotNull() & F.col("s.metric_evidence_ids").isNotNull())
-    known = F.col("g.evidence_id")
-    broken = F.filter("s.metric_evidence_ids", lambda m: m.isNotNull() & ~F.exists(known, lambda k: k.eqNullSafe(m)))
-    return o.select("record_id", F.col("s.evidence_id").alias("evidence_id"), F.size(broken).cast("long").alias("broken"))
-
-
 @add("j21_pseudonym_join", "SELECT a.case_id, b.language FROM (SELECT DISTINCT case_id, substr(sha256('demo::' || case_id), 1, 12) AS k FROM prepared_authority_study_case) a JOIN (SELECT DISTINCT substr(sha256('demo::' || case_id), 1, 12) AS k, language FROM public_cases) b USING (k)")
 def _(t: Tables) -> DataFrame:
     from tallyloom.functions.text import pseudonym

@@ -127,14 +127,6 @@ def _(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id").agg(r(F.greatest(F.lit(2.0), F.percentile("value", 0.2) + 6, F.percentile("value", 0.9) - 28)).alias("threshold"))
 
 
-@add("w22_task_disagreement", f"WITH e AS (SELECT subject_id, metric_instance_id AS m, task_scope, avg(robust_z) AS z FROM {EV_SQL} WHERE isfinite(robust_z) GROUP BY ALL), g AS (SELECT subject_id, m, z AS whole FROM e WHERE task_scope = 'global') SELECT subject_id, round(avg(abs(e.z - g.whole)), 9) AS disagreement FROM e JOIN g USING (subject_id, m) WHERE e.task_scope <> 'global' GROUP BY 1")
-def _(t: Tables) -> DataFrame:
-    z = F.col("robust_z")
-    e = ev(t).where(~F.isnan(z) & (F.abs(z) < float("inf"))).groupBy("subject_id", F.col("metric_instance_id").alias("m"), "task_scope").agg(F.avg("robust_z").alias("z"))
-    g = e.where("task_scope = 'global'").select("subject_id", "m", F.col("z").alias("whole"))
-    return e.where("task_scope <> 'global'").join(g, ["subject_id", "m"]).groupBy("subject_id").agg(r(F.avg(F.abs(F.col("z") - F.col("whole")))).alias("disagreement"))
-
-
 @add("w25_ordered_concat", "SELECT state_id, string_agg(k || ':' || metric_id, ' ' ORDER BY k) AS metrics FROM (SELECT state_id, metric_id, row_number() OVER (PARTITION BY state_id ORDER BY metric_id) AS k FROM metric_registry) GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     """Texts of a group in order, each behind its ordinal; a group is bounded by the registry."""

@@ -262,15 +262,6 @@ def _(t: Tables) -> DataFrame:
     return S.jaccard(d, "state_id", "i").select("a", "b", "shared", r(F.col("jaccard")).alias("jaccard"))
 
 
-@add("g15_affected", "WITH RECURSIVE e AS (SELECT DISTINCT s.evidence_id AS child, m AS parent FROM (SELECT s, unnest(s.metric_evidence_ids) AS m FROM (SELECT unnest(state_observations) AS s FROM synthetic_workspace)) WHERE m IS NOT NULL AND s.evidence_id IS NOT NULL), w AS (SELECT 'metric:pause_mean_sec' AS node, 0 AS depth UNION SELECT e.child, 1 FROM e WHERE e.parent = 'metric:pause_mean_sec') SELECT node, depth FROM w")
-def _(t: Tables) -> DataFrame:
-    """What a change of one metric invalidates: the observations that cite it, and what cites those."""
-    o = t.synthetic_workspace.select(F.explode("state_observations").alias("s")).select(F.col("s.evidence_id").alias("child"), F.explode("s.metric_evidence_ids").alias("parent"))
-    edges = o.where("child IS NOT NULL AND parent IS NOT NULL").distinct()
-    start = t.spark.createDataFrame([("metric:pause_mean_sec",)], "node string")
-    return S.reachable(edges, start)
-
-
 # --- audits ----------------------------------------------------------------------------
 
 
@@ -338,22 +329,8 @@ def _(t: Tables) -> DataFrame:
     return one.select(F.explode(rows).alias("x")).select("x.*")
 
 
-@add("g13_revision", "SELECT record_id, s.evidence_id AS evidence_id, CASE WHEN s.missing_fraction > 0.4 THEN 'unavailable' WHEN s.confidence < 0.2 THEN 'downweighted' ELSE 'kept' END AS action, round(CASE WHEN s.missing_fraction > 0.4 THEN 0.0 WHEN s.confidence < 0.2 THEN s.confidence / 2 ELSE s.confidence END, 9) AS confidence FROM (SELECT record_id, unnest(state_observations) AS s FROM synthetic_workspace) WHERE s IS NOT NULL")
-def _(t: Tables) -> DataFrame:
-    s = t.synthetic_workspace.select("record_id", F.explode("state_observations").alias("s")).where(F.col("s").isNotNull())
-    gone, low, c = F.col("s.missing_fraction") > 0.4, F.col("s.confidence") < 0.2, F.col("s.confidence")
-    return s.select("record_id", F.col("s.evidence_id").alias("evidence_id"), F.when(gone, "unavailable").when(low, "downweighted").otherwise("kept").alias("action"), r(F.when(gone, 0.0).when(low, c / 2).otherwise(c)).alias("confidence"))
-
-
 @add("g18_citation_whitelist", "SELECT record_id, len(list_filter(list_transform(list_filter(state_observations, lambda s: s.evidence_id IS NOT NULL), lambda s: s.evidence_id), lambda e: NOT list_contains(list_transform(coalesce(evidence_registry, []), lambda g: g.evidence_id), e))) AS uncited FROM synthetic_workspace WHERE state_observations IS NOT NULL")
 def _(t: Tables) -> DataFrame:
     w = t.synthetic_workspace.where(F.col("state_observations").isNotNull())
     allowed = F.coalesce(F.filter(F.col("evidence_registry.evidence_id"), lambda x: x.isNotNull()), F.array().cast("array<string>"))
     return w.select("record_id", F.size(F.filter(F.col("state_observations.evidence_id"), lambda e: e.isNotNull() & ~F.array_contains(allowed, e))).cast("long").alias("uncited"))
-
-
-@add("g21_reviewed", "SELECT record_id, len(list_filter(state_observations, lambda s: s IS NOT NULL AND coalesce(s.report_permission, false))) AS kept FROM synthetic_workspace WHERE state_observations IS NOT NULL")
-def _(t: Tables) -> DataFrame:
-    """Observations left after those without permission are dropped inside the record."""
-    kept = F.filter("state_observations", lambda s: F.coalesce(s["report_permission"], F.lit(False)))
-    return t.synthetic_workspace.where(F.col("state_observations").isNotNull()).select("record_id", F.size(kept).cast("long").alias("kept"))
