@@ -6,10 +6,12 @@ import hashlib
 import io
 import json
 import tarfile
+import wave
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import PurePosixPath
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,14 +24,18 @@ from tallyloom.session import materialise
 MAX_ARCHIVE_BYTES = 512 * 2**20
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, sep: str = ",", columns: Sequence[str] | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, sep: str = ",", columns: Sequence[str] | Callable[[str], bool] | None = None, multi_line: bool = True) -> DataFrame:
     """Delimited text with a header and a stated schema, so that ids stay text and nothing is inferred.
 
-    columns: those wanted, of which absent ones are left out; the reader parses no
-    others. Rows that do not fit the schema have nulls in the fields that don't.
+    columns: those wanted, of which absent ones are left out, or a test of a name;
+    the reader parses no others. Rows that do not fit the schema have nulls in the
+    fields that don't. A file whose fields hold no line breaks should be read with
+    ``multi_line=False``: then its parts are read by several tasks.
     """
-    df = spark.read.schema(schema).option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"').csv(path)
-    return df if columns is None else df.select([c for c in columns if c in df.columns])
+    df = spark.read.schema(schema).option("header", True).option("sep", sep).option("multiLine", multi_line).option("escape", '"').csv(path)
+    if columns is None:
+        return df
+    return df.select([c for c in df.columns if columns(c)] if callable(columns) else [c for c in columns if c in df.columns])
 
 
 def read_csv_text(spark: SparkSession, path: str, columns: Sequence[str], sep: str = ",") -> DataFrame:
@@ -193,10 +199,14 @@ def overlay(metrics: DataFrame, profile: DataFrame) -> DataFrame:
     return joined.select("metric_id", "state_id", (F.col("reliability") * F.coalesce("factor", F.lit(1.0))).alias("reliability"), united.alias("confounds"))
 
 
+#: Delimited text as it stands: white space kept, empty text told from null.
+CSV_SINK = {"header": "true", "escape": '"', "emptyValue": '""', "nullValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def write_sorted(df: DataFrame, path: str, by: Sequence[str], kind: str = "parquet") -> None:
     """Files in one global order, by range partitions; committed as a whole by Spark's protocol."""
     writer = df.orderBy(*by).write.mode("overwrite")
-    (writer.option("header", True) if kind == "csv" else writer).format(kind).save(path)
+    (writer.options(**CSV_SINK) if kind == "csv" else writer).format(kind).save(path)
 
 
 def append_new(df: DataFrame, path: str, key: str) -> DataFrame:
@@ -222,6 +232,100 @@ def publish(df: DataFrame, root: str, run_id: str) -> str:
     return path
 
 
+def latest(spark: SparkSession, root: str) -> str | None:
+    """The run id that the pointer names; None before the first."""
+    path = f"{root.rstrip('/')}/latest"
+    try:
+        return spark.read.text(path).first().value
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+def point_to(spark: SparkSession, root: str, run_id: str) -> None:
+    """Make a published run the latest: the pointer is written aside and renamed, so a reader sees the old run or the new one."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    root = root.rstrip("/")
+    conf = spark._jsc.hadoopConfiguration()
+    fs = fs_path(root).getFileSystem(conf)
+    if not fs.exists(fs_path(f"{root}/run={run_id}/_SUCCESS")):
+        raise FileNotFoundError(f"no whole run {run_id}")
+    aside = f"{root}/.latest-{fingerprint(run_id)[:12]}"
+    spark.createDataFrame([(run_id,)], "value string").coalesce(1).write.mode("overwrite").text(aside)
+    fs.delete(fs_path(f"{root}/latest"), True)
+    if not fs.rename(fs_path(aside), fs_path(f"{root}/latest")):
+        raise RuntimeError("the pointer was not renamed")
+
+
+def plain_numbers(df: DataFrame) -> DataFrame:
+    """The table with NaN and infinite numbers as null, at the top level and in arrays of numbers, as JSON has no sign for them."""
+    out = []
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            c = parse.finite(c)
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.DoubleType, T.FloatType)):
+            c = F.transform(c, parse.finite)
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object a line, nulls written, numbers that JSON lacks as null."""
+    plain_numbers(df).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def read_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """source_file, name and rows of every two- or one-dimensional array in NPZ files: ragged sequences of vectors, each file in one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for file, content in zip(batch["path"], batch["content"], strict=True):
+                with np.load(io.BytesIO(content), allow_pickle=False) as held:
+                    rows += [(file.rsplit("/", 1)[-1], k, np.atleast_2d(held[k]).astype(np.float32).tolist()) for k in held.files]
+            yield pd.DataFrame(rows, columns=["source_file", "name", "rows"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "content").mapInPandas(run, "source_file string, name string, rows array<array<float>>")
+
+
+def read_waves(spark: SparkSession, path: str, rate: int = 16_000) -> DataFrame:
+    """source_file, seconds and samples of PCM WAV files as one channel at ``rate``; each file in one task.
+
+    Channels are averaged, rates changed by linear interpolation, values scaled to
+    -1..1. Files that are no PCM WAV have null samples.
+    """
+
+    def samples(content: bytes) -> list[float] | None:
+        try:
+            with wave.open(io.BytesIO(content)) as w:
+                width, channels, own, n = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.getnframes()
+                raw = w.readframes(n)
+        except (wave.Error, EOFError):
+            return None
+        if width == 1:
+            x = np.frombuffer(raw, np.uint8).astype(np.float64) / 128 - 1
+        elif width == 3:
+            b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
+            x = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) ^ 0x800000) / 2.0**23 - 1
+        else:
+            x = np.frombuffer(raw, f"<i{width}").astype(np.float64) / 2.0 ** (8 * width - 1)
+        x = x.reshape(-1, channels).mean(axis=1)
+        if own != rate and len(x):
+            x = np.interp(np.arange(int(len(x) * rate / own)) * own / rate, np.arange(len(x)), x)
+        return x.astype(np.float32).tolist()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [samples(c) for c in batch["content"]]
+            yield pd.DataFrame({"source_file": [p.rsplit("/", 1)[-1] for p in batch["path"]], "seconds": [None if x is None else len(x) / rate for x in found], "samples": found})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "content").mapInPandas(run, "source_file string, seconds double, samples array<float>")
+
+
 def frozen(spark: SparkSession, root: str, required: Sequence[str]) -> DataFrame:
     """name, bytes and sha256 of the required files of a frozen run; raises if one is missing. Contents are hashed where they lie."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)

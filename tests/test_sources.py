@@ -104,3 +104,51 @@ def test_byte_ranges():
     for bad in ("bytes=100-", "items=0-1", "bytes=1-2,3-4", "bytes=-", "bytes=9-3"):
         with pytest.raises(ValueError):
             S.byte_range(bad, 100)
+
+
+def test_latest_pointer_and_plain_numbers(spark, tmp_path):
+    root = f"{tmp_path}/runs"
+    df = spark.createDataFrame([("a", float("nan"), [1.0, float("inf")]), ("b", 2.0, None)], "k string, v double, w array<double>")
+    assert S.latest(spark, root) is None
+    with pytest.raises(FileNotFoundError, match="no whole run"):
+        S.point_to(spark, root, "r1")
+    for run in ("r1", "r2"):
+        S.publish(df, root, run)
+        S.point_to(spark, root, run)
+        assert S.latest(spark, root) == run
+    S.write_json(df, f"{tmp_path}/j")
+    lines = sorted(x for p in (tmp_path / "j").glob("*.json") for x in p.read_text().splitlines())
+    assert [json.loads(x) for x in lines] == [{"k": "a", "v": None, "w": [1.0, None]}, {"k": "b", "v": 2.0, "w": None}]
+
+
+def test_arrays_and_waves(spark, tmp_path):
+    import wave
+
+    import numpy as np
+
+    np.savez(tmp_path / "e.npz", a=np.arange(6, dtype=np.float32).reshape(3, 2), b=np.array([1.5]))
+    got = {r.name: r.rows for r in S.read_arrays(spark, str(tmp_path)).collect()}
+    assert got == {"a": [[0.0, 1.0], [2.0, 3.0], [4.0, 5.0]], "b": [[1.5]]}
+    for name, width, channels, raw in (("one", 2, 1, np.array([0, 16384, -32768], "<i2").tobytes()), ("two", 1, 2, bytes([128, 192, 0, 128])), ("three", 3, 1, b"\x00\x00\x40")):
+        with wave.open(str(tmp_path / f"{name}.wav"), "wb") as w:
+            w.setnchannels(channels)
+            w.setsampwidth(width)
+            w.setframerate(8000)
+            w.writeframes(raw)
+    (tmp_path / "torn.wav").write_bytes(b"RIFF")
+    same = {r.source_file: r.samples for r in S.read_waves(spark, str(tmp_path), 8000).collect()}
+    assert same == {"one.wav": [0.0, 0.5, -1.0], "two.wav": [0.25, -0.5], "three.wav": [0.5], "torn.wav": None}
+    twice = {r.source_file: (r.seconds, r.samples) for r in S.read_waves(spark, str(tmp_path), 16000).collect()}
+    assert twice["one.wav"] == (6 / 16000, [0.0, 0.25, 0.5, -0.25, -1.0, -1.0]) and twice["torn.wav"] == (None, None)
+
+
+def test_adapters(spark):
+    from tallyloom.sources.adapters import Adapter, build_manifest
+
+    adapters = {"one": Adapter(r"/(s\d+)_", folders={"ad": "AD", "cn": "HC"}, split="/(train|test)/"), "two": Adapter(r"^(\w+)\.", labels={"p": "AD"}, language="de")}
+    rows = [("one", "x/train/ad/s12_a.wav", None), ("one", "cn/odd.wav", "p"), ("two", "k7.wav", "p"), ("two", "ad/k8.wav", "zz"), ("one", None, None)]
+    files = spark.createDataFrame(rows, "dataset_id string, path string, said string")
+    got = {(r.path, r.subject_id, r.label, r.split, r.language) for r in build_manifest(files, adapters, label="said").collect()}
+    assert got == {("x/train/ad/s12_a.wav", "s12", "AD", "train", None), ("cn/odd.wav", None, "HC", None, None), ("k7.wav", "k7", "AD", None, "de"), ("ad/k8.wav", None, None, None, "de"), (None, None, None, None, None)}
+    with pytest.raises(Exception, match="no adapter for three"):
+        build_manifest(spark.createDataFrame([("three", "a", "b")], files.schema), adapters).collect()
