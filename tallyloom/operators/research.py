@@ -57,12 +57,19 @@ def spearman(df: DataFrame, keys: Sequence[str], unit: str, metric: str, value:
 
 
 def copies(df: DataFrame, keys: Sequence[str], unit: str, metric: str, value: str, tolerance: float = 1e-9) -> DataFrame:
-    """For every pair of metrics: n, whether all values are equal, all sum to 1, and the slope and intercept of y on x."""
-    p = pairs_long(df, keys, unit, metric, value)
-    return p.groupBy(*keys, "a", "b").agg(
+    """For every pair of metrics: n, whether all values are equal, all sum to 1, and the slope, intercept and largest residual of the line of y on x; null where x is constant."""
+    p = materialise(pairs_long(df, keys, unit, metric, value), "copies")
+    spread = F.var_pop("x")
+    slope = F.when(spread > 1e-12, F.covar_pop("x", "y") / spread)
+    g = p.groupBy(*keys, "a", "b").agg(
         F.count("*").alias("n"), F.bool_and(F.abs(F.col("x") - F.col("y")) <= tolerance).alias("equal"), F.bool_and(F.abs(F.col("x") + F.col("y") - 1) <= tolerance).alias("complement"),
-        F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"),
+        slope.alias("slope"), (F.avg("y") - slope * F.avg("x")).alias("intercept"),
     )
+    # The pairs of metrics are few beside the units.
+    line = g.select(*[F.col(k).alias(f"_k{k}") for k in (*keys, "a", "b")], F.col("slope").alias("_s"), F.col("intercept").alias("_i"))
+    on = prefix.same([*keys, "a", "b"], "_k")
+    off = p.join(line, on).groupBy(*keys, "a", "b").agg(F.max(F.abs(F.col("y") - F.col("_i") - F.col("_s") * F.col("x"))).alias("largest_residual"))
+    return g.join(off.select(*[F.col(k).alias(f"_k{k}") for k in (*keys, "a", "b")], "largest_residual"), on).select(*g.columns, "largest_residual")
 
 
 #: Groups of one item that are paired in one task; the pairs of an item in more groups come from several.

@@ -215,14 +215,6 @@ def _(t: Tables) -> DataFrame:
     return predictions(t).agg(r(F.avg(wrong.cast("int"))).alias("error"), r(F.avg((wrong & (F.array_max("probs") >= 0.5)).cast("int"))).alias("confident_error"))
 
 
-@add("e17_overlap_groups", None)
-def _(t: Tables) -> DataFrame:
-    """Metrics linked by rank correlations of 0.3 or more either way, isolated ones kept."""
-    long = ev(t).where("split = 'train' AND task_scope = 'global'").groupBy("task_scope", "subject_id", F.col("metric_instance_id").alias("m")).agg(F.avg("value").alias("v"))
-    rho = S.spearman(long, ["task_scope"], "subject_id", "m", "v").where(F.abs("rho") >= 0.3).select("a", "b")
-    return S.linked_groups(rho, t.metric_registry.select(F.col("metric_id").alias("item")))
-
-
 @add("e38_intervention", f"WITH s AS (SELECT subject_id, state_id, avg(directional_z) AS z FROM {EV_SQL} WHERE isfinite(directional_z) GROUP BY ALL), m AS (SELECT state_id, median(z) AS m FROM s GROUP BY 1), x AS (SELECT subject_id, avg(s.z) AS before, avg(CASE WHEN k = 1 THEN m.m ELSE s.z END) AS after FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY abs(z) DESC, state_id) AS k FROM s) s JOIN m USING (state_id) GROUP BY 1) SELECT subject_id, round(before, 9) AS before, round(after, 9) AS after FROM x")
 def _(t: Tables) -> DataFrame:
     """Each subject's mean state score, and the same with its most extreme state put to the cohort's median."""

@@ -222,32 +222,48 @@ def _(t: Tables) -> DataFrame:
 
 # --- overlap and inference studies ------------------------------------------------------
 
-_LONG = f"(SELECT task_scope, subject_id, metric_instance_id AS m, avg(value) AS v FROM {EV_SQL} WHERE split = 'train' AND task_scope = 'global' GROUP BY ALL)"
+_LONG = f"(SELECT split, task_scope, subject_id, metric_instance_id AS m, avg(value) AS v FROM {EV_SQL} WHERE split IS NOT NULL AND task_scope IS NOT NULL GROUP BY ALL)"
+_SIDES = "p AS (SELECT split, task_scope, x.m AS a, y.m AS b, x.v AS x, y.v AS y FROM l x JOIN l y USING (split, task_scope, subject_id) WHERE x.m < y.m)"
+_STRATA = ["split", "task_scope"]
 
 
 def _long(t: Tables) -> DataFrame:
-    return ev(t).where("split = 'train' AND task_scope = 'global'").groupBy("task_scope", "subject_id", F.col("metric_instance_id").alias("m")).agg(F.avg("value").alias("v"))
+    e = ev(t).where(F.col("split").isNotNull() & F.col("task_scope").isNotNull())
+    return e.groupBy("split", "task_scope", "subject_id", F.col("metric_instance_id").alias("m")).agg(F.avg("value").alias("v"))
 
 
-@add("e15_spearman", f"WITH l AS {_LONG}, p AS (SELECT x.m AS a, y.m AS b, x.v AS x, y.v AS y FROM l x JOIN l y ON x.subject_id = y.subject_id AND x.m < y.m), k AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2.0 AS ry FROM p) SELECT a, b, count(*) AS n, CASE WHEN var_pop(rx) > 1e-9 AND var_pop(ry) > 1e-9 THEN round(corr(rx, ry), 7) END AS rho FROM k GROUP BY ALL")
+@add("e15_spearman", f"WITH l AS {_LONG}, {_SIDES}, k AS (SELECT split, task_scope, a, b, rank() OVER (PARTITION BY split, task_scope, a, b ORDER BY x) + (count(*) OVER (PARTITION BY split, task_scope, a, b, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY split, task_scope, a, b ORDER BY y) + (count(*) OVER (PARTITION BY split, task_scope, a, b, y) - 1) / 2.0 AS ry FROM p) SELECT split, task_scope, a, b, count(*) AS n, CASE WHEN var_pop(rx) > 1e-9 AND var_pop(ry) > 1e-9 THEN round(corr(rx, ry), 7) END AS rho FROM k GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    return S.spearman(_long(t), ["task_scope"], "subject_id", "m", "v").select("a", "b", "n", F.round("rho", 7).alias("rho"))
+    return S.spearman(_long(t), _STRATA, "subject_id", "m", "v").select(*_STRATA, "a", "b", "n", F.round("rho", 7).alias("rho"))
 
 
-@add("e16_copies", f"WITH l AS {_LONG}, p AS (SELECT x.m AS a, y.m AS b, x.v AS x, y.v AS y FROM l x JOIN l y ON x.subject_id = y.subject_id AND x.m < y.m) SELECT a, b, count(*) AS n, bool_and(abs(x - y) <= 1e-9) AS equal, bool_and(abs(x + y - 1) <= 1e-9) AS complement FROM p GROUP BY ALL")
+@add(
+    "e16_copies",
+    f"""WITH l AS {_LONG}, {_SIDES}, g AS (SELECT split, task_scope, a, b, count(*) AS n, bool_and(abs(x - y) <= 1e-9) AS equal, bool_and(abs(x + y - 1) <= 1e-9) AS complement, CASE WHEN var_pop(x) > 1e-12 THEN covar_pop(y, x) / var_pop(x) END AS slope, avg(x) AS mx, avg(y) AS my FROM p GROUP BY ALL)
+SELECT split, task_scope, a, b, g.n, equal, complement, round(slope, 6) AS slope, round(max(abs(y - (my - slope * mx) - slope * x)), 7) AS largest_residual FROM g JOIN p USING (split, task_scope, a, b) GROUP BY ALL""",
+)
 def _(t: Tables) -> DataFrame:
-    return S.copies(_long(t), ["task_scope"], "subject_id", "m", "v").select("a", "b", "n", "equal", "complement")
+    x = S.copies(_long(t), _STRATA, "subject_id", "m", "v")
+    return x.select(*_STRATA, "a", "b", "n", "equal", "complement", F.round("slope", 6).alias("slope"), F.round("largest_residual", 7).alias("largest_residual"))
 
 
 @add("e18_effective_rank", None)
 def _(t: Tables) -> DataFrame:
-    return S.effective_rank(_long(t), ["task_scope"], "subject_id", "m", "v")
+    return S.effective_rank(_long(t), _STRATA, "subject_id", "m", "v")
+
+
+@add("e17_overlap_groups", None)
+def _(t: Tables) -> DataFrame:
+    """Metrics linked in some stratum by rank correlations of 0.6 or more either way over 20 units or more, isolated ones kept."""
+    rho = S.spearman(_long(t), _STRATA, "subject_id", "m", "v").where((F.abs("rho") >= 0.6) & (F.col("n") >= 20)).select("a", "b").distinct()
+    return S.linked_groups(rho, t.metric_registry.select(F.col("metric_id").alias("item")))
 
 
-@add("e20_kruskal", f"WITH e AS (SELECT metric_instance_id AS m, label, value FROM {EV_SQL} WHERE label IS NOT NULL), k AS (SELECT m, label, rank() OVER (PARTITION BY m ORDER BY value) + (count(*) OVER (PARTITION BY m, value) - 1) / 2.0 AS r FROM e), g AS (SELECT m, label, count(*) AS n, sum(r) AS s FROM k GROUP BY ALL), h AS (SELECT m, CAST(sum(n) AS DOUBLE) AS n, count(*) AS groups, sum(s * s / n) AS q FROM g GROUP BY 1), t AS (SELECT m, sum(CAST(c AS DOUBLE) ** 3 - c) AS t FROM (SELECT m, value, count(*) AS c FROM e GROUP BY ALL) GROUP BY 1) SELECT m AS metric_instance_id, CAST(n AS BIGINT) AS n, groups, round((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n ** 3 - n)), 4) AS h FROM h JOIN t USING (m) WHERE groups > 1")
+@add("e20_kruskal", f"WITH e AS (SELECT metric_instance_id AS m, label, value FROM {EV_SQL} WHERE label IS NOT NULL), k AS (SELECT m, label, rank() OVER (PARTITION BY m ORDER BY value) + (count(*) OVER (PARTITION BY m, value) - 1) / 2.0 AS r FROM e), g AS (SELECT m, label, count(*) AS n, sum(r) AS s FROM k GROUP BY ALL), h AS (SELECT m, CAST(sum(n) AS DOUBLE) AS n, count(*) AS groups, sum(s * s / n) AS q FROM g GROUP BY 1), t AS (SELECT m, sum(CAST(c AS DOUBLE) ** 3 - c) AS t FROM (SELECT m, value, count(*) AS c FROM e GROUP BY ALL) GROUP BY 1) SELECT m AS metric_instance_id, CAST(n AS BIGINT) AS n, groups, round((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n ** 3 - n)), 4) AS h, CASE WHEN groups = 3 THEN round(exp(-(12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n ** 3 - n)) / 2), 5) END AS p_value FROM h JOIN t USING (m) WHERE groups > 1")
 def _(t: Tables) -> DataFrame:
+    """With three groups the tail is an exponential, which SQL can give too; other numbers of groups are tested in pytest."""
     k = S.kruskal(ev(t).where(F.col("label").isNotNull()), ["metric_instance_id"], "label", "value")
-    return k.where("groups > 1").select("metric_instance_id", "n", "groups", F.round("h", 4).alias("h"))
+    return k.where("groups > 1").select("metric_instance_id", "n", "groups", F.round("h", 4).alias("h"), F.when(F.col("groups") == 3, F.round("p_value", 5)).alias("p_value"))
 
 
 @add("e21_benjamini_hochberg", "WITH p AS (SELECT vec_id, abs(CAST(embedding[1] AS DOUBLE)) / 10 AS p FROM embeddings), r AS (SELECT vec_id, p, row_number() OVER (ORDER BY p, vec_id) AS k, count(*) OVER () AS m FROM p) SELECT vec_id, round(least(1.0, min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)), 9) AS q_value FROM r")
