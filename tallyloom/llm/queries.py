@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm import encode, langid, pack, quantiles, reading, splits, turns
@@ -31,6 +31,19 @@ def p5_split_shares(spark: SparkSession, d: str) -> DataFrame:
     return p5_splits(spark, d).groupBy("label", "new_split").agg(F.count("*").alias("recordings"))
 
 
+def p5_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Recordings, and what an assignment must not show: groups in two parts, recordings without a part, and parts off their share by more than a twentieth of a label's recordings and its largest group."""
+    r = materialise(p5_splits(spark, d), "p5-checks")
+    torn = r.groupBy("component").agg(F.count_distinct("new_split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("torn_groups"))
+    whole = r.agg(F.count_distinct("case_id").alias("recordings"), F.count_if(F.col("new_split").isNull()).alias("unassigned"))
+    label = F.coalesce("label", F.lit(""))
+    largest = r.groupBy(label.alias("l"), "component").count().groupBy("l").agg(F.max("count").alias("largest"), F.sum("count").alias("n"))
+    wanted = F.element_at(F.create_map(*[F.lit(x) for x in ("train", 0.8, "validation", 0.1, "test", 0.1)]), F.col("new_split"))
+    shares = r.groupBy(label.alias("l"), "new_split").count().join(largest, "l")
+    off = shares.agg(F.count_if(F.abs(F.col("count") - wanted * F.col("n")) > F.col("n") / 20 + F.col("largest")).alias("parts_off"))
+    return whole.join(F.broadcast(torn)).join(F.broadcast(off))
+
+
 #: A group is reported from this many finite values on, and from this share on one side of its median on.
 P2_LEAST, P2_SHARE = 50, 0.65
 #: Groups that an exact count may be broadcast to; beyond it they are joined.
@@ -89,6 +102,22 @@ def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return found.join(stored, match, "left").select(*found.columns, "reference_median", (F.col("p50") - F.col("reference_median")).alias("median_shift"))
 
 
+def p2_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Groups, their values, and how many of their percentiles have a true rank farther from the asked one than the stated bound."""
+    at = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
+    values = _values(spark, d)
+    found = materialise(quantiles.percentiles(_merged(values), P2_KEYS, tuple(at.values())), "p2-checks")
+    asked = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.col(c).alias("v")) for c, q in at.items()])).alias("a")
+    long = found.select(*[F.col(k).alias(f"_{k}") for k in P2_KEYS], F.col("n").alias("_n"), "rank_error", asked)
+    match = F.col("metric_id").eqNullSafe(F.col("_metric_id")) & F.col("reference_scope").eqNullSafe(F.col("_reference_scope"))
+    # A value stands for its cell of the encoding, which is 2^-19 of it wide, and two parts of the bound: a place within the cell, and its rank.
+    near = F.abs(F.col("a.v")) * 2.0**-18 + 1e-300
+    ranks = long.join(values, match).groupBy(*[f"_{k}" for k in P2_KEYS], "a").agg(F.max("_n").alias("n"), F.max("rank_error").alias("e"), F.count_if(F.col("value") < F.col("a.v") - near).alias("low"), F.count_if(F.col("value") <= F.col("a.v") + near).alias("high"))
+    target, slack = F.col("a.q") * (F.col("n") - 1), 2 * F.col("e") * F.col("n") + 1
+    out = ranks.agg(F.count_if((F.col("low") > target + slack) | (F.col("high") < target - slack)).alias("outside"))
+    return found.agg(F.count("*").alias("groups"), F.sum("n").alias("rows")).join(F.broadcast(out))
+
+
 def _case_turns(spark: SparkSession, d: str) -> DataFrame:
     return turns.speaker_turns(table(spark, d, "prepared_authority_study_case"), "case_id", "transcript")
 
@@ -167,6 +196,29 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return pack.fill(p8_containers(spark, d), P8_CAPACITY)
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, and what a packing must not show: units lost or doubled, pieces that overlap or stick out, and texts divided without need."""
+    counts = materialise(encode.token_counts(table(spark, d, "documents"), encode.Tokenizer.load()), "p8-counts")
+    p = materialise(pack.pack(counts, capacity=P8_CAPACITY), "p8-checks")
+    per = p.groupBy("doc_id").agg(F.sum("piece_size").alias("units"), F.count("*").alias("pieces"), F.sum(F.col("piece_from") + F.col("piece_no")).alias("order"))
+    k = F.greatest(F.ceil(F.coalesce("n_tokens", F.lit(0)) / P8_CAPACITY), F.lit(1))
+    lost = counts.join(per, "doc_id", "left").agg(F.count("*").alias("documents"), F.count_if(~F.coalesce("units", F.lit(-1)).eqNullSafe(F.coalesce("n_tokens", F.lit(0)))).alias("lost"), F.count_if(F.col("pieces") != k).alias("divided_without_need"))
+    # A container's pieces in order of place: each begins where the one before has ended, or later.
+    w = Window.partitionBy("container").orderBy("place")
+    inside = p.where(F.col("container").isNotNull()).withColumn("before", F.lag(F.col("place") + F.col("piece_size")).over(w))
+    wrong = inside.agg(F.count_if(F.col("before") > F.col("place")).alias("overlapping"), F.count_if((F.col("place") < 0) | (F.col("place") + F.col("piece_size") > P8_CAPACITY)).alias("sticking_out"))
+    return lost.join(F.broadcast(wrong))
+
+
+#: Texts whose ids are known: empty and null ones, scripts, marks and repeats. Fixed values.
+P7_TEXTS = {1: "", 2: None, 3: "The quick brown fox jumps over the lazy dog.", 4: "  two  blanks\n\tand a tab ", 5: "你好，世界！ naïve café — 42%", 6: "aaaaaaaaaaaaaaaaaaaaaaaa", 7: "<|endoftext|> don't we'll I'M"}
+
+
+def p7_fixed(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of a few fixed texts, against those the tokenizer's own library gives."""
+    return encode.encode(spark.createDataFrame(list(P7_TEXTS.items()), "doc_id long, text string"), encode.Tokenizer.load())
+
+
 def p9_levels(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
     return reading.read_levels(documents, reading.fit(documents, table(spark, d, "reading_labels")))
@@ -176,9 +228,22 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_levels(spark, d).where(F.col("band") == reading.BANDS[2]).select("doc_id").distinct()
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_levels": p9_levels, "p3_found": p3_found, "p3_turns": p3_turns, "p3_cases": p3_cases, "p3_documents": p3_documents, "p3_segments": p3_segments, "p4_found": p4_found, "p4_turns": p4_turns, "p2_found": p2_found, "p2_percentiles": p2_percentiles, "p5_found": p5_found, "p5_splits": p5_splits, "p5_split_shares": p5_split_shares}
+QUERIES = {"p2_checks": p2_checks, "p5_checks": p5_checks, "p7_fixed": p7_fixed, "p8_checks": p8_checks, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_levels": p9_levels, "p3_found": p3_found, "p3_turns": p3_turns, "p3_cases": p3_cases, "p3_documents": p3_documents, "p3_segments": p3_segments, "p4_found": p4_found, "p4_turns": p4_turns, "p2_found": p2_found, "p2_percentiles": p2_percentiles, "p5_found": p5_found, "p5_splits": p5_splits, "p5_split_shares": p5_split_shares}
 
 ORACLES = {
+    "p2_checks": r"""
+WITH k AS (SELECT metric_id, lower(regexp_replace(metric_id, '[^\pL\pN]', '', 'g')) AS key FROM metric_registry),
+v AS (
+  SELECT k.metric_id, e.reference_scope FROM metric_evidence e JOIN k
+    ON lower(regexp_replace(regexp_replace(lower(trim(e.metric_id)), '^\s*metric\s*:', ''), '[^\pL\pN]', '', 'g')) = k.key
+  WHERE isfinite(e.value)
+)
+SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS rows, 0 AS outside FROM (SELECT count(*) AS n FROM v GROUP BY metric_id, reference_scope)
+""",
+    "p5_checks": "SELECT count(DISTINCT case_id) AS recordings, 0 AS unassigned, 0 AS torn_groups, 0 AS parts_off FROM manifest",
+    # What the tokenizer's own library gives. Fixed values.
+    "p7_fixed": "SELECT * FROM (VALUES (1, []::INTEGER[]), (2, []::INTEGER[]), (3, [464, 2068, 7586, 21831, 18045, 625, 262, 16931, 3290, 13]::INTEGER[]), (4, [220, 734, 220, 698, 2283, 198, 197, 392, 257, 7400, 220]::INTEGER[]), (5, [19526, 254, 25001, 121, 171, 120, 234, 10310, 244, 45911, 234, 171, 120, 223, 41492, 40304, 851, 5433, 4]::INTEGER[]), (6, [24794, 24794, 24794, 24794, 24794, 24794]::INTEGER[]), (7, [27, 91, 437, 1659, 5239, 91, 29, 836, 470, 356, 1183, 314, 6, 44]::INTEGER[])) x(doc_id, ids)",
+    "p8_checks": "SELECT count(*) AS documents, 0 AS lost, 0 AS divided_without_need, 0 AS overlapping, 0 AS sticking_out FROM documents",
     "p2_found": r"""
 WITH k AS (SELECT metric_id, lower(regexp_replace(metric_id, '[^\pL\pN]', '', 'g')) AS key FROM metric_registry),
 v AS (
