@@ -69,7 +69,20 @@ WITH k AS (
 )
 """
 
+#: The registry's metrics by type, for the SQL of the wide table. Fixed values.
+_METRICS = {
+    "bigint": "interviewer_turn_count patient_turn_count word_count",
+    "boolean": "role_filter_applied transcript_truncated",
+    "double": "content_word_ratio f0_median_hz filler_rate_100w lexical_mattr50 lexical_ttr long_pause_rate_min mean_utterance_words pause_mean_sec pause_p90_sec picture_information_density pronoun_ratio repair_rate_100w rms_db_mean silence_fraction spectral_centroid_mean speech_rate_wpm speech_run_cv speech_run_mean_sec voiced_fraction",
+}
+_OPEN = "(hi - lo > 0.000001 OR misfit)"
+_WIDE = ", ".join(
+    f"max(CASE WHEN metric_id = '{m}' AND NOT {_OPEN} THEN {'CAST(lo AS INT)' if kind == 'boolean' else f'CAST(lo AS {kind})'} END)" + (" = 1" if kind == "boolean" else "") + f" AS {m}"
+    for kind, names in _METRICS.items() for m in names.split()
+)
+
 ORACLES = {
+    "p1_wide": _CELLS + f"SELECT subject_id, task_scope, {_WIDE}, coalesce(list_sort(list(metric_id) FILTER ({_OPEN})), []) AS unfilled FROM c GROUP BY ALL",
     "p1_found": _CELLS + "SELECT subject_id, task_scope, metric_id FROM c WHERE hi - lo > 0.000001 OR misfit",
     "p1_wide_cells": _CELLS + "SELECT subject_id, task_scope, metric_id, lo AS value FROM c WHERE NOT (hi - lo > 0.000001 OR misfit)",
 }
