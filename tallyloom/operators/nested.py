@@ -55,7 +55,12 @@ KNOWN = {
 }
 
 
+_NO_FIELDS = (None,) * len(OWN)
+
+
 def _text(x: Any) -> str | None:
+    if x.__class__ is str:
+        return x if x.strip() else None
     if x is None or isinstance(x, (dict, list)):
         return None
     s = ("true" if x else "false") if isinstance(x, bool) else str(x)
@@ -99,9 +104,11 @@ class _Reader:
 
     def row(self, kind: str, subtype: str, parent: str | None, own: str, ordinal: int, part: Any, known: str | None = None, **fields: Any) -> tuple:
         part = part.value if isinstance(part, _Keyed) else part
-        more = {k: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in part.items() if k not in KNOWN[known] and v is not None} if known and isinstance(part, dict) else {}
-        head = (self.key, self.case, parent, kind, own, ordinal, self.tree.signature(part), subtype)
-        return (*head, *[fields.get(c) for c in OWN], more)
+        more: dict[str, str] = {}
+        if known and isinstance(part, dict) and not part.keys() <= KNOWN[known]:
+            more = {k: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in part.items() if k not in KNOWN[known] and v is not None}
+        own_fields = map(fields.get, OWN) if fields else _NO_FIELDS
+        return (self.key, self.case, parent, kind, own, ordinal, self.tree.signature(part), subtype, *own_fields, more)
 
     def parts(self) -> Iterator[tuple]:
         """A row for each part with an id; nothing of a record without a case_id or below an observation without an evidence_id."""

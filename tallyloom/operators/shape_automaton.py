@@ -23,6 +23,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Any
 
 _EDGES = re.compile(r'^[^\w{\["]+|[^\w}\]"]+$')
@@ -45,11 +46,8 @@ class Rule:
     none_of: frozenset[str] = frozenset()
     scalar: bool = False
 
-    def fits(self, children: dict[str, str]) -> bool:
-        keys = children.keys()
-        if not self.all_of <= keys or (self.any_of and not self.any_of & keys) or self.none_of & keys:
-            return False
-        return not self.scalar or all(children[k] in SCALARS for k in self.all_of)
+    def names_fit(self, keys: frozenset[str]) -> bool:
+        return self.all_of <= keys and not (self.any_of and not self.any_of & keys) and not self.none_of & keys
 
 
 #: Transitions of objects by their fields, the first that fits. Field names are fixed values of the record format.
@@ -64,6 +62,13 @@ RULES = (
 )
 
 
+@lru_cache(maxsize=65536)
+def _rules_of(names: tuple[str, ...]) -> tuple[tuple[str, frozenset[str]], ...]:
+    """The transitions that an object of these field names can make, in order: the state and the fields that must hold scalars."""
+    keys = frozenset(names)
+    return tuple((r.state, r.all_of if r.scalar else frozenset()) for r in RULES if r.names_fit(keys))
+
+
 def parse(payload: str | None) -> Any:
     """The value of a payload, or None if it is not one complete JSON value.
 
@@ -74,46 +79,51 @@ def parse(payload: str | None) -> Any:
     value: Any = payload
     while isinstance(value, str):
         try:
-            value = json.loads(_EDGES.sub("", value), strict=False)
+            value = json.loads(value if _clean(value) else _EDGES.sub("", value), strict=False)
         except (ValueError, RecursionError):
             return None
     return value
 
 
+def _clean(text: str) -> bool:
+    """Whether nothing stands around a JSON value that would have to go."""
+    a, b = text[:1], text[-1:]
+    return (a in '{["' or a.isalnum()) and (b in '}]"' or b.isalnum())
+
+
 def unwrap(value: Any) -> Any:
     """Text that holds a JSON array or object stands for it; other values for themselves."""
-    if isinstance(value, str) and value.lstrip()[:1] in ("{", "["):
+    if isinstance(value, str) and not value[:1].isalnum() and value.lstrip()[:1] in ("{", "["):
         inner = parse(value)
         return value if inner is None else inner
     return value
 
 
+_OF_KIND = {type(None): "nil", bool: "flag", int: "number", float: "number"}
+
+
 def _scalar_state(value: Any) -> str:
-    if value is None:
-        return "nil"
-    if isinstance(value, bool):
-        return "flag"
-    if isinstance(value, (int, float)):
-        return "number"
+    kind = _OF_KIND.get(type(value))
+    if kind is not None:
+        return kind
+    first = value[:1]
+    if first.isalpha():
+        return "text"
     if value.lstrip()[:1] in ("{", "["):
         return "torn"
     return "numeric_text" if _NUMBER.fullmatch(value) else "text"
 
 
-def _list_state(children: Iterator[str]) -> str:
-    return f"list<{'|'.join(sorted(set(children) - {'nil'}))}>"
-
-
-def _object_state(children: dict[str, str], objects: bool) -> str:
-    for rule in RULES:
-        if rule.fits(children):
-            return rule.state
+def _object_state(node: dict[str, Any], children: dict[str, str]) -> str:
+    for state_, scalars in _rules_of(tuple(children)):
+        if all(children[k] in SCALARS for k in scalars):
+            return state_
     states = set(children.values())
     if any(s in HOLDERS or (s.startswith("list<") and any(h in s for h in HOLDERS)) for s in states):
         return "envelope"
     if states and states <= NUMBERS:
         return "scores"
-    return "keyed" if states and objects else "other"
+    return "keyed" if states and all(isinstance(v, dict) for v in node.values()) else "other"
 
 
 class Tree:
@@ -126,6 +136,7 @@ class Tree:
     def __init__(self, value: Any) -> None:
         self.root = unwrap(value)
         self._states: dict[int, str] = {}
+        self._fields: dict[int, dict[str, str]] = {}
         waiting, seen = [self.root], []
         while waiting:
             node = waiting.pop()
@@ -133,16 +144,23 @@ class Tree:
                 continue
             seen.append(node)
             for k, child in node.items() if isinstance(node, dict) else enumerate(node):
-                inner = unwrap(child)
-                if inner is not child:
-                    node[k] = inner
-                if isinstance(inner, (dict, list)):
-                    waiting.append(inner)
+                if isinstance(child, str):
+                    inner = unwrap(child)
+                    if inner is child:
+                        continue
+                    node[k] = child = inner
+                if isinstance(child, (dict, list)):
+                    waiting.append(child)
+        states, fields = self._states, self._fields
         for node in reversed(seen):  # children stand behind their parents
             if isinstance(node, list):
-                self._states[id(node)] = _list_state(self.state(v) for v in node)
+                found = {states[id(v)] if isinstance(v, (dict, list)) else _scalar_state(v) for v in node}
+                found.discard("nil")
+                states[id(node)] = f"list<{'|'.join(sorted(found))}>"
             else:
-                self._states[id(node)] = _object_state({k: self.state(v) for k, v in node.items()}, all(isinstance(v, dict) for v in node.values()))
+                own = {k: states[id(v)] if isinstance(v, (dict, list)) else _scalar_state(v) for k, v in node.items()}
+                fields[id(node)] = own
+                states[id(node)] = _object_state(node, own)
 
     def state(self, value: Any) -> str:
         """The state of a part of this tree, or of any scalar."""
@@ -152,7 +170,8 @@ class Tree:
         """The variant of an object: its fields that are not null with their states, in order of name."""
         if not isinstance(value, dict):
             return self.state(value)
-        return ",".join(f"{k}:{self.state(v)}" for k, v in sorted(value.items()) if v is not None)
+        own = self._fields[id(value)]
+        return ",".join([f"{k}:{own[k]}" for k in sorted(own) if own[k] != "nil"])
 
     def workspaces(self) -> Iterator[dict[str, Any]]:
         """The workspaces, through envelopes and lists, in the order written; none inside another."""
