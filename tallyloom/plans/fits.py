@@ -18,9 +18,13 @@ QUERIES, ORACLES = catalog.queries, catalog.oracles
 
 @add("e10_calibration", None)
 def _(t: Tables) -> DataFrame:
-    p = predictions(t).select(F.element_at("probs", 3).alias("s"), (F.col("truth") == 3).alias("y"))
-    b, w = fit.calibration(p, "s", "y")
-    return t.spark.createDataFrame([(round(b, 6), round(w, 6))], "intercept double, slope double")
+    """Intercept and slope of every class on the logit of its own probability, fitted together."""
+    p = predictions(t)
+    rows = []
+    for c in (1, 2, 3):
+        s = F.greatest(F.lit(1e-5), F.least(F.lit(1 - 1e-5), F.element_at("probs", c)))
+        rows.append(fit.calibration(p.select(s.alias("s"), (F.col("truth") == c).alias("y")), "s", "y"))
+    return t.spark.createDataFrame([(c, round(b, 6), round(w, 6)) for c, (b, w) in enumerate(rows, 1)], "class int, intercept double, slope double")
 
 
 @add(
@@ -37,13 +41,15 @@ def _(t: Tables) -> DataFrame:
 
 @add("e23_multinomial", None)
 def _(t: Tables) -> DataFrame:
-    """Class probabilities of a balanced multinomial regression on three embedding dimensions."""
-    e = t.embeddings.select("vec_id", (F.col("label") % 3).alias("y"), *[F.element_at("embedding", i).cast("double").alias(f"x{i}") for i in (1, 2, 3)])
-    model = fit.multinomial(e, ["x1", "x2", "x3"], "y")
+    """Class probabilities of a balanced multinomial regression on every embedding dimension."""
+    wide = len(t.embeddings.select("embedding").first()[0])
+    names = [f"x{i}" for i in range(1, wide + 1)]
+    e = t.embeddings.select("vec_id", (F.col("label") % 3).alias("y"), *[F.element_at("embedding", i).cast("double").alias(c) for i, c in enumerate(names, 1)])
+    model = fit.multinomial(e, names, "y")
     from pyspark.ml.functions import vector_to_array
 
     p = vector_to_array("probability")
-    return model.transform(fit.with_indicators(e, ["x1", "x2", "x3"])).select("vec_id", *[r(F.element_at(p, i), 6).alias(f"p{i}") for i in (1, 2, 3)])
+    return model.transform(fit.with_indicators(e, names)).select("vec_id", *[r(F.element_at(p, i), 6).alias(f"p{i}") for i in (1, 2, 3)])
 
 
 @add("e29_temperature", None)
@@ -72,7 +78,14 @@ def _(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([fit.choose_offsets(predictions(t), [-0.2, 0.0, 0.2], 3)], "o1 double, o2 double, o3 double")
 
 
-@add("e35_guard", None)
+@add(
+    "e35_guard",
+    f"""WITH p AS (SELECT vec_id % 5 AS fold, truth, predicted, 0.8 * ln(p1) + 0.2 * ln(q1) AS z1, 0.8 * ln(p2) + 0.2 * ln(q2) AS z2, 0.8 * ln(p3) + 0.2 * ln(q3) AS z3 FROM {PRED_SQL}),
+h AS (SELECT fold, CAST(truth = predicted AS INT) AS base, CAST(truth = CASE WHEN z1 >= z2 AND z1 >= z3 THEN 1 WHEN z2 >= z3 THEN 2 ELSE 3 END AS INT) AS final FROM p),
+f AS (SELECT fold, avg(final) - avg(base) AS d FROM h GROUP BY 1), w AS (SELECT avg(final) - avg(base) AS d FROM h),
+a AS (SELECT avg(CAST(d >= -1e-6 AS INT)) AS n, avg(CAST(d > 1e-6 AS INT)) AS b FROM f)
+SELECT n AS noninferior_share, b AS better_share, w.d < -1e-6 OR n < 0.6 OR b < 0.4 AS dropped FROM a CROSS JOIN w""",
+)
 def _(t: Tables) -> DataFrame:
     """Whether mixing in the prior is dropped, by folds of the prediction's number."""
     p = predictions(t).withColumn("mixed", V.log_pool(F.col("probs"), F.col("prior"), 0.2)).withColumn("fold", F.col("vec_id") % 5)

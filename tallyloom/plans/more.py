@@ -189,7 +189,13 @@ def _(t: Tables) -> DataFrame:
     return m.groupBy("subject_id").agg(r(F.sum(F.col("f") * F.col("n")) / F.sum("n")).alias("factor"))
 
 
-@add("m24_corrected_logits", None)
+@add(
+    "m24_corrected_logits",
+    f"""WITH d AS (SELECT vec_id, p1, p2, p3, q1 - p1 - (1 - p1 - p2 - p3) / 3 AS a, q2 - p2 - (1 - p1 - p2 - p3) / 3 AS b, q3 - p3 - (1 - p1 - p2 - p3) / 3 AS c FROM {PRED_SQL}),
+f AS (SELECT *, CASE WHEN greatest(abs(a), abs(b), abs(c)) > 0.2 THEN 0.2 / greatest(abs(a), abs(b), abs(c)) ELSE 1.0 END AS f FROM d),
+e AS (SELECT vec_id, p1 * exp(a * f) AS e1, p2 * exp(b * f) AS e2, p3 * exp(c * f) AS e3 FROM f)
+SELECT vec_id, round(e1 / (e1 + e2 + e3), 9) AS p1, round(e2 / (e1 + e2 + e3), 9) AS p2, round(e3 / (e1 + e2 + e3), 9) AS p3 FROM e""",
+)
 def _(t: Tables) -> DataFrame:
     """Probabilities after a bounded zero-sum correction of their logits toward the prior."""
     delta = V.zero_sum(F.zip_with("prior", "probs", lambda a, b: a - b), 0.2)
@@ -197,7 +203,7 @@ def _(t: Tables) -> DataFrame:
     return predictions(t).select("vec_id", *[r(F.element_at(p, i)).alias(f"p{i}") for i in (1, 2, 3)])
 
 
-@add("n07_forbidden_fields", None)
+@add("n07_forbidden_fields", r"""SELECT line_no, coalesce(regexp_matches(payload, '\\?"(reviewer|diagnosis|subject_name)\\?"\s*:'), false) AS forbidden FROM workspace_lines""")
 def _(t: Tables) -> DataFrame:
     """Whether a payload names a field that must not leave the house, at any depth."""
     return t.workspace_lines.select("line_no", F.coalesce(F.col("payload").rlike(r'\\?"(reviewer|diagnosis|subject_name)\\?"\s*:'), F.lit(False)).alias("forbidden"))
@@ -269,7 +275,7 @@ def _(t: Tables) -> DataFrame:
     return t.synthetic_workspace.agg(F.count("*").alias("records"), F.count_if(F.col("case_transcript").isNotNull()).alias("with_transcript"), F.count_if(F.size("state_observations") > 0).alias("with_observations"), F.count_if(F.col("base_probabilities").isNotNull()).alias("with_probabilities"))
 
 
-@add("g24_blind_projection", None)
+@add("g24_blind_projection", "SELECT substr(sha256('blind::' || case_id), 1, 16) AS case_alias, task_type, language, duration_sec FROM manifest")
 def _(t: Tables) -> DataFrame:
     """Whitelisted columns only, with cases under aliases that do not lead back."""
     from tallyloom.functions.text import pseudonym

@@ -240,11 +240,11 @@ def _(t: Tables) -> DataFrame:
 @add(
     "e16_copies",
     f"""WITH l AS {_LONG}, {_SIDES}, g AS (SELECT split, task_scope, a, b, count(*) AS n, bool_and(abs(x - y) <= 1e-9) AS equal, bool_and(abs(x + y - 1) <= 1e-9) AS complement, CASE WHEN var_pop(x) > 1e-12 THEN covar_pop(y, x) / var_pop(x) END AS slope, avg(x) AS mx, avg(y) AS my FROM p GROUP BY ALL)
-SELECT split, task_scope, a, b, g.n, equal, complement, round(slope, 6) AS slope, round(max(abs(y - (my - slope * mx) - slope * x)), 7) AS largest_residual FROM g JOIN p USING (split, task_scope, a, b) GROUP BY ALL""",
+SELECT split, task_scope, a, b, g.n, equal, complement, round(slope, 9) AS slope, round(max(abs(y - (my - slope * mx) - slope * x)), 8) AS largest_residual FROM g JOIN p USING (split, task_scope, a, b) GROUP BY ALL""",
 )
 def _(t: Tables) -> DataFrame:
     x = S.copies(_long(t), _STRATA, "subject_id", "m", "v")
-    return x.select(*_STRATA, "a", "b", "n", "equal", "complement", F.round("slope", 6).alias("slope"), F.round("largest_residual", 7).alias("largest_residual"))
+    return x.select(*_STRATA, "a", "b", "n", "equal", "complement", F.round("slope", 9).alias("slope"), F.round("largest_residual", 8).alias("largest_residual"))
 
 
 @add("e18_effective_rank", None)
