@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tallyloom.operators import prefix
+from tallyloom.operators.sequence import average_rank
 from tallyloom.session import materialise
 
 
@@ -27,29 +28,24 @@ def pairs_long(df: DataFrame, keys: Sequence[str], unit: str, metric: str, value
     return left.join(right, [*keys, unit]).where("a < b")
 
 
+#: Units of one pair of metrics that a task ranks at once; where a pair has more, running counts spread it over tasks, with the same ranks.
+RANKED_UNITS = 2_000_000
+
+
 def spearman(df: DataFrame, keys: Sequence[str], unit: str, metric: str, value: str) -> DataFrame:
     """keys, a, b, n and rho of every pair of metrics over the units that have both; null where a side is constant.
 
-    Ranks are of the values of a pair's common units, so each pair has its own;
-    the values are counted and their running counts spread over tasks.
+    Ranks are of the values of a pair's common units, so each pair has its own. The
+    units of the largest pair are counted first (``RANKED_UNITS``).
     """
     p = materialise(pairs_long(df, keys, unit, metric, value), "spearman-pairs")
     group = [*keys, "a", "b"]
-    seen = p.groupBy(*group).agg(F.count("*").alias("n"))
-    # Both sides' ranks in one pass, told apart by a mark.
-    sides = p.groupBy(*group, F.lit("x").alias("_s"), F.col("x").alias("_v")).agg(F.count("*").alias("_c")).unionByName(p.groupBy(*group, F.lit("y").alias("_s"), F.col("y").alias("_v")).agg(F.count("*").alias("_c")))
-    ranks = prefix.running(sides, [*group, "_s"], ["_v"], {"_below": "_c"}).withColumn("_r", F.col("_below") + (F.col("_c") + 1) / 2.0)
-    ranks = materialise(ranks.select(*[F.col(k).alias(f"_k{k}") for k in group], "_s", "_v", "_r", "_c"), "spearman-ranks")
-    on = prefix.same(group, "_k")
-    both = p
-    for c in ("x", "y"):
-        own = ranks.where(F.col("_s") == c).select(*[f"_k{k}" for k in group], F.col("_v").alias("_kv"), F.col("_r").alias(f"_r{c}"))
-        both = both.join(own, on & (F.col(c) == F.col("_kv"))).select(*both.columns, f"_r{c}")
-    moments = ranks.groupBy(*[f"_k{k}" for k in group], "_s").agg(F.sum(F.col("_c") * F.col("_r") ** 2).alias("_q"))
-    cross = both.groupBy(*group).agg(F.sum(F.col("_rx") * F.col("_ry")).alias("_xy"))
-    for c in ("x", "y"):
-        cross = cross.join(moments.where(F.col("_s") == c).select(*[f"_k{k}" for k in group], F.col("_q").alias(f"_q{c}")), on).drop(*[f"_k{k}" for k in group])
-    out = cross.join(seen.select(*[F.col(k).alias(f"_k{k}") for k in group], "n"), on)
+    most = p.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    if most <= RANKED_UNITS:
+        both = p.withColumns({"_rx": average_rank(group, "x"), "_ry": average_rank(group, "y")})
+    else:
+        both = prefix.average_ranks(prefix.average_ranks(p, group, "x", "_rx"), group, "y", "_ry")
+    out = both.groupBy(*group).agg(F.count("*").alias("n"), F.sum(F.col("_rx") * F.col("_ry")).alias("_xy"), F.sum(F.col("_rx") ** 2).alias("_qx"), F.sum(F.col("_ry") ** 2).alias("_qy"))
     # Ranks always have the mean (n + 1) / 2.
     middle = F.col("n") * ((F.col("n") + 1) / 2.0) ** 2
     cov, vx, vy = F.col("_xy") - middle, F.col("_qx") - middle, F.col("_qy") - middle

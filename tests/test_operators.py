@@ -268,3 +268,18 @@ def test_overlaps_of_short_and_very_long_intervals(spark):
     rows = Q.overlaps(spark.createDataFrame(a, kinds), spark.createDataFrame(b, kinds), "key", 1.0).collect()
     want = {(x[1], y[1]) for x in a for y in b if min(x[3], y[3]) > max(x[2], y[2])}
     assert len(rows) == len(want) and {(r.a_id, r.b_id) for r in rows} == want
+
+
+def test_rank_correlations_of_small_and_spread_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    rows = [(["s", None][i % 2], i // 2, m, float(v)) for i in range(160) for m, v in zip("abc", np.round(rng.normal(size=3), 1), strict=True) if rng.random() > 0.2]
+    df = spark.createDataFrame(rows, "k string, unit int, m string, v double").where("k = 's'")
+    get = lambda: {(r.a, r.b): (r.n, round(r.rho, 9)) for r in S.spearman(df, ["k"], "unit", "m", "v").collect()}
+    one = get()
+    monkeypatch.setattr(S, "RANKED_UNITS", 10)
+    assert one == get() and len(one) == 3
+    own = {m: {u: v for k, u, x, v in rows if k == "s" and x == m} for m in "ab"}
+    common = sorted(own["a"].keys() & own["b"].keys())
+    rank = lambda v: np.array([(np.array(v) < x).sum() + ((np.array(v) == x).sum() + 1) / 2 for x in v])
+    x, y = (rank([own[m][u] for u in common]) for m in "ab")
+    assert one["a", "b"] == (len(common), pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-8))
