@@ -199,3 +199,11 @@ def rubric(x: Column, words_: tuple[str, ...], most: int = 5) -> Column:
     for w in words_:
         total = total + F.when(low.contains(w), 1).otherwise(0)
     return F.least(F.lit(most), total)
+
+
+def grams(tokens: Column, parts: int = 3) -> Column:
+    """Terms of a text: its words, its neighbouring pairs, and the ``parts`` letters at every place of each word with a blank around it."""
+    words = F.transform(tokens, lambda x: F.concat(F.lit("w:"), x))
+    pairs = F.zip_with(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda a, b: F.concat(F.lit("w:"), a, F.lit(" "), b))
+    inside = F.flatten(F.transform(tokens, lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.lit("c:"), F.substring(F.concat(F.lit(" "), x, F.lit(" ")), i, F.lit(parts))))))
+    return F.concat(words, pairs, inside)

@@ -199,3 +199,19 @@ def linked_groups(pairs: DataFrame, items: DataFrame, a: str = "a", b: str = "b"
         if new.where("_moved").isEmpty():
             return label.withColumn("size", F.count("*").over(W.partitionBy("group")))
     raise RuntimeError(f"not settled after {rounds} rounds")
+
+
+def term_vectors(texts: DataFrame, documents: DataFrame, doc_id: str, terms: str, least: int) -> DataFrame:
+    """doc_id, term, weight and length: the sublinear term weight times the smoothed inverse document frequency, over the length of the document's vector.
+
+    texts: doc_id and an array of terms, one row a document. documents: all of them,
+    texts without terms too. Terms in fewer than ``least`` documents have no place.
+    A document's counts are made before the shuffle; the lengths join back on its id.
+    """
+    tf = materialise(texts.select(doc_id, F.explode(terms).alias("term")).groupBy(doc_id, "term").agg(F.count("*").alias("n")), "terms")
+    df = tf.groupBy("term").agg(F.count("*").alias("_d")).where(F.col("_d") >= least)
+    docs = documents.agg(F.count("*").alias("_docs"))
+    raw = (1 + F.log("n")) * (F.log((1 + F.col("_docs")) / (1 + F.col("_d"))) + 1)
+    w = materialise(tf.join(df, "term").join(F.broadcast(docs)).select(doc_id, "term", raw.alias("_w")), "term-weights")
+    length = w.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("length"))
+    return w.join(length, doc_id).select(doc_id, "term", (F.col("_w") / F.col("length")).alias("weight"), "length")

@@ -141,3 +141,15 @@ def _(t: Tables) -> DataFrame:
         S.publish(t.documents.select("doc_id", (F.col("n_chars") + i).alias("n_chars")), root, f"r{i}")
         S.point_to(t.spark, root, f"r{i}")
     return t.spark.read.parquet(f"{root}/run={S.latest(t.spark, root)}")
+
+
+@add("g22_inventory", "SELECT run, 1 AS tables, n AS rows FROM (SELECT 'r1' AS run, count(*) AS n FROM region UNION ALL SELECT 'r2', count(*) FROM nation)")
+def _(t: Tables) -> DataFrame:
+    """The runs under a folder, by what lies there: their tables and rows."""
+    root = _path(t, "experiments")
+    S.publish(t.region.select("r_name"), root, "r1")
+    S.publish(t.nation.select(F.col("n_name").alias("r_name")), root, "r2")
+    found = S.inventory(t.spark, root, "*.parquet").where("bytes > 0").select(F.regexp_extract("path", r"run=([^/]+)/", 1).alias("run"), F.regexp_replace("path", "/[^/]*$", "").alias("table"))
+    whole = found.groupBy("run").agg(F.count_distinct("table").alias("tables"))
+    rows = t.spark.read.parquet(root).groupBy("run").agg(F.count("*").alias("rows"))
+    return whole.join(rows, "run")

@@ -262,3 +262,72 @@ def _(t: Tables) -> DataFrame:
     dealt = fit.left_out(e, {"dealt_targets": (branches["both"], 1.0)}, F.col("dealt"), "fold", 3)
     rows = fit.branch_reliability(real, ["inputs", "row_number"], F.col("y")).unionByName(fit.branch_reliability(dealt, ["dealt_targets"], F.col("dealt")))
     return rows.select(F.col("branch").alias("control"), F.round("auroc", 6).alias("auroc"))
+
+
+_BLEND = "(1 - a) * CASE truth WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END + a * CASE truth WHEN 1 THEN p2 WHEN 2 THEN p3 ELSE p1 END"
+
+
+@add(
+    "e27_nested_selection",
+    f"""WITH p AS (SELECT *, vec_id % 4 AS fold FROM {PRED_SQL}), g AS (SELECT unnest([0.0, 0.1, 0.25, 0.5]) AS a), o AS (SELECT unnest(range(4)) AS held),
+l AS (SELECT held, a, avg(-ln({_BLEND})) AS loss FROM p JOIN o ON p.fold <> o.held CROSS JOIN g GROUP BY ALL), b AS (SELECT held, arg_min(a, (loss, a)) AS a FROM l GROUP BY 1),
+x AS (SELECT b.held, b.a, truth, predicted, -ln({_BLEND}) AS loss, CASE WHEN (1 - a) * p1 + a * p2 >= (1 - a) * p2 + a * p3 AND (1 - a) * p1 + a * p2 >= (1 - a) * p3 + a * p1 THEN 1 WHEN (1 - a) * p2 + a * p3 >= (1 - a) * p3 + a * p1 THEN 2 ELSE 3 END AS said FROM p JOIN b ON p.fold = b.held)
+SELECT held AS fold, a AS strength, count(*) AS n, round(avg(CAST(predicted = truth AS INT)), 9) AS accuracy_before, round(avg(CAST(said = truth AS INT)), 9) AS accuracy, round(avg(loss), 9) AS loss FROM x GROUP BY ALL""",
+)
+def _(t: Tables) -> DataFrame:
+    """A blend's strength chosen on all folds but one and judged on that one: every outer fold and strength in one pass."""
+    strengths = (0.0, 0.1, 0.25, 0.5)
+    turned = F.array(*[F.element_at("probs", i) for i in (2, 3, 1)])
+    p = predictions(t).withColumns({"fold": F.col("vec_id") % 4, "turned": turned})
+    blended = lambda a: F.zip_with("probs", "turned", lambda x, y: (1 - a) * x + a * y)
+    each = F.array(*[F.struct(F.lit(a).alias("a"), V.log_loss(blended(F.lit(a)), F.col("truth")).alias("loss")) for a in strengths])
+    outer = F.explode(F.filter(F.array(*[F.lit(k).cast("long") for k in range(4)]), lambda k: k != F.col("fold")))
+    l = p.select("fold", each.alias("e"), outer.alias("held")).select("held", F.explode("e").alias("e")).groupBy("held", "e.a").agg(F.avg("e.loss").alias("loss"))
+    best = l.groupBy("held").agg(F.min_by("a", F.struct("loss", "a")).alias("strength"))
+    x = p.join(F.broadcast(best), F.col("fold") == F.col("held")).withColumn("final", blended(F.col("strength")))
+    hit = lambda c: r(F.avg((c == F.col("truth")).cast("int")))
+    return x.groupBy("fold", "strength").agg(F.count("*").alias("n"), hit(F.col("predicted")).alias("accuracy_before"), hit(V.argmax(F.col("final"))).alias("accuracy"), r(F.avg(V.log_loss(F.col("final"), F.col("truth")))).alias("loss"))
+
+
+@add(
+    "e43_gate_against_published",
+    f"""WITH m AS (SELECT avg(CAST(truth = predicted AS INT)) AS accuracy, avg(-ln(CASE truth WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END)) AS log_loss FROM {PRED_SQL}),
+b AS (SELECT * FROM (VALUES ('accuracy', 0.5, true), ('log_loss', 1.0, false)) x(measure, published, higher)), v AS (SELECT 'accuracy' AS measure, accuracy AS value FROM m UNION ALL SELECT 'log_loss', log_loss FROM m)
+SELECT measure, round(value, 9) AS value, published, round(value - published, 9) AS difference, CASE WHEN higher THEN value >= published ELSE value <= published END AS passed FROM v JOIN b USING (measure)""",
+)
+def _(t: Tables) -> DataFrame:
+    """Measures beside stated figures, and whether each reaches its own."""
+    published = {"accuracy": (0.5, True), "log_loss": (1.0, False)}
+    m = E.summary(predictions(t), [], 3)
+    rows = F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).cast("double").alias("value"), F.lit(p).alias("published"), F.lit(up).alias("up")) for k, (p, up) in published.items()])
+    x = m.select(F.explode(rows).alias("x")).select("x.*")
+    passed = F.when(F.col("up"), F.col("value") >= F.col("published")).otherwise(F.col("value") <= F.col("published"))
+    return x.select("measure", r(F.col("value")).alias("value"), "published", r(F.col("value") - F.col("published")).alias("difference"), passed.alias("passed"))
+
+
+@add("e45_task_conditioned", None)
+def _(t: Tables) -> DataFrame:
+    """Left-out AUROC of one model for all tasks, of one with a shift for each task, and of one whose weights differ by task too."""
+    e, branches = _branches(t)
+    e = e.withColumn("task", F.col("vec_id") % 3)
+    shared = branches["first"]
+    is_task = [(F.col("task") == k).cast("double") for k in (1, 2)]
+    fits = {"shared": (shared, 1.0), "shifted": ([*shared, *is_task], 1.0), "conditioned": ([*shared, *is_task, *[x * i for x in shared for i in is_task]], 1.0)}
+    return fit.branch_reliability(fit.left_out(e, fits, F.col("y"), "fold", 3), list(fits), F.col("y")).select(F.col("branch").alias("model"), F.round("auroc", 6).alias("auroc"), F.round("reliability", 6).alias("reliability"))
+
+
+@add("e46_arbitrator", None)
+def _(t: Tables) -> DataFrame:
+    """Which of two predictions to take, by a ridge of the second's gain on margins and entropies, fitted without each row's fold; it qualifies if the gain's lower bound is above 0."""
+    p = _pair(t).withColumn("fold", (F.col("vec_id") % 3).cast("int"))
+    hit = lambda c: (F.col(c) == F.col("truth")).cast("double")
+    p = p.select("fold", hit("predicted").alias("base"), hit("other").alias("second"), V.margin(F.col("probs")).alias("margin"), V.entropy(F.col("probs")).alias("doubt"), (F.col("predicted") == F.col("other")).cast("double").alias("agree")).withColumn("gain", F.col("second") - F.col("base"))
+    inputs = ["margin", "doubt", "agree"]
+    said = F.lit(None).cast("double")
+    for k in range(3):
+        b, w = fit.ridge(p.where(F.col("fold") != k), inputs, ["gain"])["gain"]
+        said = F.when(F.col("fold") == k, sum((F.lit(x) * F.col(c) for x, c in zip(w, inputs, strict=True)), F.lit(b))).otherwise(said)
+    x = p.withColumn("take", said > 0).withColumn("final", F.when(F.col("take"), F.col("second")).otherwise(F.col("base")))
+    d = F.col("final") - F.col("base")
+    lower = F.avg(d) - 1.96 * F.stddev_samp(d) / F.sqrt(F.count("*").cast("double"))
+    return x.agg(F.count("*").alias("n"), F.round(F.avg(F.col("take").cast("int")), 6).alias("taken"), F.round(F.avg("base"), 6).alias("accuracy_before"), F.round(F.avg("final"), 6).alias("accuracy"), (lower > 0).alias("qualified"))

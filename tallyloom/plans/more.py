@@ -92,12 +92,6 @@ def _(t: Tables) -> DataFrame:
     return t.metric_evidence.groupBy("branch").agg(*[F.count_if(F.col("evidence_status") == s).alias(s) for s in ("available", "missing", "unavailable")])
 
 
-@add("a29_masked_prototypes", f"SELECT metric_instance_id, label, round(median(value), 9) AS center, round((quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.349, 9) AS spread, count(*) AS support FROM {EV_SQL} WHERE reliability >= 0.75 AND label IS NOT NULL GROUP BY ALL")
-def _(t: Tables) -> DataFrame:
-    e = ev(t).where("reliability >= 0.75 AND label IS NOT NULL")
-    return e.groupBy("metric_instance_id", "label").agg(r(F.median("value")).alias("center"), r((F.percentile("value", 0.75) - F.percentile("value", 0.25)) / 1.349).alias("spread"), F.count("*").alias("support"))
-
-
 @add("a33_mode_near_default", "SELECT dataset_id, recording_index FROM (SELECT dataset_id, recording_index, count(*) AS n FROM manifest WHERE recording_index IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY n DESC, abs(recording_index - 2), recording_index) = 1")
 def _(t: Tables) -> DataFrame:
     c = t.manifest.where(F.col("recording_index").isNotNull()).groupBy("dataset_id", "recording_index").agg(F.count("*").alias("n"))
@@ -110,11 +104,6 @@ def _(t: Tables) -> DataFrame:
     return predictions(t).select(g.alias("g")).agg(F.count("*").alias("n"), r(F.avg("g")).alias("gain"), r(F.avg("g") - 1.96 * F.stddev_samp("g") / F.sqrt(F.count("*").cast("double"))).alias("lower95"))
 
 
-@add("a39_incidence", "SELECT branch, count(*) AS metrics, count(*) FILTER (evidence_role = 'primary') AS primaries, count(DISTINCT state_id) AS states FROM metric_registry GROUP BY 1")
-def _(t: Tables) -> DataFrame:
-    return t.metric_registry.groupBy("branch").agg(F.count("*").alias("metrics"), F.count_if(F.col("evidence_role") == "primary").alias("primaries"), F.count_distinct("state_id").alias("states"))
-
-
 @add("a40_reverse_lineage", "SELECT state_id, string_agg(DISTINCT metric_id, ';' ORDER BY metric_id) AS metrics FROM metric_evidence WHERE metric_id IN (SELECT metric_id FROM metric_registry) GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     known = t.metric_registry.select("metric_id")
@@ -127,11 +116,6 @@ def _(t: Tables) -> DataFrame:
     return t.metric_registry.join(seen, "metric_id", "left").groupBy("state_id").agg(F.count("_s").alias("seen"), F.count("*").alias("defined"))
 
 
-@add("a43_subgroups", "SELECT language, count(*) AS n, round(avg(CAST(label = 'AD' AS INT)), 9) AS share FROM manifest WHERE label IS NOT NULL GROUP BY 1 HAVING count(*) >= 5")
-def _(t: Tables) -> DataFrame:
-    return t.manifest.where(F.col("label").isNotNull()).groupBy("language").agg(F.count("*").alias("n"), r(F.avg((F.col("label") == "AD").cast("int"))).alias("share")).where("n >= 5")
-
-
 @add("a47_quality_prior", "SELECT branch, round(CASE WHEN sum(w) > 0 THEN sum(w * source_reliability) / sum(w) ELSE avg(source_reliability) END, 9) AS reliability FROM (SELECT branch, source_reliability, reliability * exp(2 * (source_reliability - avg(source_reliability) OVER (PARTITION BY branch))) AS w FROM metric_evidence WHERE reliability IS NOT NULL AND source_reliability IS NOT NULL) GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     m = t.metric_evidence.where("reliability IS NOT NULL AND source_reliability IS NOT NULL").select("branch", "source_reliability", "reliability")
@@ -215,12 +199,6 @@ def _(t: Tables) -> DataFrame:
     return predictions(t).groupBy("truth").agg(r(F.avg(V.brier(p, F.col("truth")))).alias("brier"), r(F.avg(V.log_loss(p, F.col("truth")))).alias("log_loss"))
 
 
-@add("e08_error_rates", f"SELECT round(avg(CAST(truth <> predicted AS INT)), 9) AS error, round(avg(CAST(truth <> predicted AND greatest(p1, p2, p3) >= 0.5 AS INT)), 9) AS confident_error FROM {PRED_SQL}")
-def _(t: Tables) -> DataFrame:
-    wrong = F.col("truth") != F.col("predicted")
-    return predictions(t).agg(r(F.avg(wrong.cast("int"))).alias("error"), r(F.avg((wrong & (F.array_max("probs") >= 0.5)).cast("int"))).alias("confident_error"))
-
-
 @add("e38_intervention", f"WITH s AS (SELECT subject_id, state_id, avg(directional_z) AS z FROM {EV_SQL} WHERE isfinite(directional_z) GROUP BY ALL), m AS (SELECT state_id, median(z) AS m FROM s GROUP BY 1), x AS (SELECT subject_id, avg(s.z) AS before, avg(CASE WHEN k = 1 THEN m.m ELSE s.z END) AS after FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY abs(z) DESC, state_id) AS k FROM s) s JOIN m USING (state_id) GROUP BY 1) SELECT subject_id, round(before, 9) AS before, round(after, 9) AS after FROM x")
 def _(t: Tables) -> DataFrame:
     """Each subject's mean state score, and the same with its most extreme state put to the cohort's median."""

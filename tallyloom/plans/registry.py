@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import core_queries, edges, fits, fusion, governance, inference, more, relational, sequences, studies, texts, vectors
+from tallyloom.plans import core_queries, edges, fits, fusion, governance, inference, measures, more, relational, sequences, studies, texts, vectors
 
-MODULES = (core_queries, relational, sequences, texts, vectors, studies, fits, fusion, governance, inference, more, edges)
+MODULES = (core_queries, relational, sequences, texts, vectors, studies, fits, fusion, governance, inference, measures, more, edges)
 
 FLAGSHIP = "p1_wide_cells"
 

@@ -393,13 +393,6 @@ def _(t: Tables) -> DataFrame:
     return e.groupBy("metric_id", "label").agg(r(F.median("value")).alias("class_median")).join(g, "metric_id")
 
 
-@add("a30_hierarchical_weights", "WITH w AS (SELECT state_id, metric_id, length(metric_id) AS w FROM metric_registry) SELECT state_id, metric_id, max(w) OVER (PARTITION BY state_id) AS base, round(w / sum(w) OVER (PARTITION BY state_id), 9) AS share FROM w")
-def _(t: Tables) -> DataFrame:
-    w = W.partitionBy("state_id")
-    n = F.length("metric_id")
-    return t.metric_registry.select("state_id", "metric_id", F.max(n).over(w).cast("long").alias("base"), r(n / F.sum(n).over(w)).alias("share"))
-
-
 @add(
     "a31_evidence_quality",
     "SELECT subject_id, round(avg(CAST(NOT missing AS INT)), 9) AS coverage, round(avg(CASE WHEN NOT missing THEN reliability END), 9) AS mean_reliability, round(avg(json_array_length(confound_tags)), 9) AS confounds FROM metric_evidence WHERE subject_id IS NOT NULL GROUP BY 1",
@@ -422,23 +415,12 @@ def _(t: Tables) -> DataFrame:
     return t.events.groupBy("event_type").agg(r(m).alias("mean"), r(s).alias("sd"), r(m - 1.96 * s / F.sqrt(F.count("*").cast("double"))).alias("lower95"))
 
 
-@add("a37_coverage", f"SELECT metric_instance_id, language, count(*) AS n, count(DISTINCT value) AS distinct_values FROM {EV_SQL} GROUP BY ALL")
-def _(t: Tables) -> DataFrame:
-    return ev(t).groupBy("metric_instance_id", "language").agg(F.count("*").alias("n"), F.count_distinct("value").alias("distinct_values"))
-
-
 @add("a38_reuse_rollup", "SELECT c, count(*) AS n, string_agg(metric_id, ';' ORDER BY metric_id) AS metrics FROM (SELECT metric_id, unnest(confounds) AS c FROM metric_registry) GROUP BY 1 HAVING count(*) > 1")
 def _(t: Tables) -> DataFrame:
     x = t.metric_registry.select("metric_id", F.explode("confounds").alias("c"))
     return x.groupBy("c").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("metric_id")), ";").alias("metrics")).where("n > 1")
 
 
-@add("a42_helped_hurt", "SELECT count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'O') AS helped, count(*) FILTER (l_returnflag <> 'R' AND l_linestatus = 'F') AS hurt, count(*) FILTER ((l_returnflag = 'R') <> (l_linestatus = 'F')) AS changed FROM lineitem")
-def _(t: Tables) -> DataFrame:
-    a, b = F.col("l_returnflag") == "R", F.col("l_linestatus") == "F"
-    return t.lineitem.agg(F.count_if(a & ~b).alias("helped"), F.count_if(~a & b).alias("hurt"), F.count_if(a != b).alias("changed"))
-
-
 @add("a44_quality_rates", "SELECT metric_instance_id, round(avg(CAST(value = 0 AS INT)), 9) AS zero, round(avg(CAST(value = 1 AS INT)), 9) AS one FROM metric_evidence WHERE isfinite(value) GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     e = t.metric_evidence.where(parse.finite(F.col("value")).isNotNull())

@@ -108,26 +108,11 @@ def _(t: Tables) -> DataFrame:
     return ev(t).where(z.isNotNull()).groupBy("subject_id").agg(*[r(F.avg(F.when(F.col("state_id") == s, z))).alias(f"state_{s}") for s in _STATES])
 
 
-@add("a32_structured_coverage", "WITH o AS (SELECT record_id, case_context.task_scopes AS c, list_transform(state_observations, lambda s: s.task_scope) AS s FROM synthetic_workspace WHERE case_context.task_scopes IS NOT NULL AND state_observations IS NOT NULL) SELECT record_id, round(0.6 * len(list_distinct(list_intersect(c, s))) / greatest(len(list_distinct(c)), 1), 9) AS coverage FROM o")
-def _(t: Tables) -> DataFrame:
-    o = t.synthetic_workspace.where(F.col("case_context.task_scopes").isNotNull() & F.col("state_observations").isNotNull())
-    seen = F.filter(F.col("state_observations.task_scope"), lambda x: x.isNotNull())
-    own = F.filter(F.array_distinct("case_context.task_scopes"), lambda x: x.isNotNull())
-    return o.select("record_id", r(0.6 * F.size(F.array_intersect(own, seen)) / F.greatest(F.size(own), F.lit(1))).alias("coverage"))
-
-
 @add("m01_robust_z", f"SELECT subject_id, metric_instance_id, task_scope, value, round((value - reference_median) / reference_scale, 9) AS z FROM {EV_SQL} WHERE reference_scale > 0")
 def _(t: Tables) -> DataFrame:
     return ev(t).where("reference_scale > 0").select("subject_id", "metric_instance_id", "task_scope", "value", r((F.col("value") - F.col("reference_median")) / F.col("reference_scale")).alias("z"))
 
 
-@add("m02_reliability_product", "SELECT branch, round(avg(CASE WHEN NOT reference_available THEN 0.0 WHEN branch = 'interaction' THEN 0.9 * least(source_reliability, 0.55) ELSE 0.9 * source_reliability END), 9) AS reliability FROM metric_evidence GROUP BY 1")
-def _(t: Tables) -> DataFrame:
-    s = F.col("source_reliability")
-    x = F.when(~F.col("reference_available"), 0.0).when(F.col("branch") == "interaction", 0.9 * F.least(s, F.lit(0.55))).otherwise(0.9 * s)
-    return t.metric_evidence.groupBy("branch").agg(r(F.avg(x)).alias("reliability"))
-
-
 # --- evaluation ---------------------------------------------------------------------
 
 
@@ -186,12 +171,6 @@ def _(t: Tables) -> DataFrame:
     return E.operating_point(_one_vs_rest(t), ["class"], "score", "positive", 0.4)
 
 
-@add("e11_referral", f"SELECT count(*) FILTER (truth > 1) AS referred, count(*) FILTER (truth > 1 AND 1 - p1 >= 0.5) AS found, round(avg((1 - p1 - CAST(truth > 1 AS INT)) ** 2), 9) AS brier FROM {PRED_SQL}")
-def _(t: Tables) -> DataFrame:
-    rest, is_rest = 1 - F.element_at("probs", 1), F.col("truth") > 1
-    return predictions(t).agg(F.count_if(is_rest).alias("referred"), F.count_if(is_rest & (rest >= 0.5)).alias("found"), r(F.avg(F.pow(rest - is_rest.cast("int"), 2))).alias("brier"))
-
-
 @add(
     "e12_bootstrap",
     """WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings), n AS (SELECT count(*) AS n FROM v),
@@ -214,12 +193,6 @@ def _(t: Tables) -> DataFrame:
     return s.select("strength", r(F.col("loss")).alias("loss"), (F.col("loss") == F.min("loss").over(W.partitionBy())).alias("chosen"))
 
 
-@add("e40_with_abstention", f"SELECT truth, count(*) AS n, round(avg(CAST(greatest(p1, p2, p3) >= 0.5 AS INT)), 9) AS coverage, round(avg(CASE WHEN greatest(p1, p2, p3) >= 0.5 THEN CAST(truth = predicted AS INT) END), 9) AS accuracy FROM {PRED_SQL} GROUP BY 1")
-def _(t: Tables) -> DataFrame:
-    sure = F.array_max("probs") >= 0.5
-    return predictions(t).groupBy("truth").agg(F.count("*").alias("n"), r(F.avg(sure.cast("int"))).alias("coverage"), r(F.avg(F.when(sure, (F.col("truth") == F.col("predicted")).cast("int")))).alias("accuracy"))
-
-
 # --- overlap and inference studies ------------------------------------------------------
 
 _LONG = f"(SELECT split, task_scope, subject_id, metric_instance_id AS m, avg(value) AS v FROM {EV_SQL} WHERE split IS NOT NULL AND task_scope IS NOT NULL GROUP BY ALL)"

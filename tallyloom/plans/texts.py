@@ -70,19 +70,6 @@ def _(t: Tables) -> DataFrame:
     return lines.where("n > 0").groupBy("doc_id").agg(r(F.avg("n")).alias("mean_words"))
 
 
-@add("t10_tier_counts", "SELECT case_id, len(regexp_extract_all(lower(transcript), '\\*par:')) AS par, len(regexp_extract_all(lower(transcript), '\\*inv:')) AS inv FROM prepared_authority_study_case WHERE transcript IS NOT NULL")
-def _(t: Tables) -> DataFrame:
-    p = t.prepared_authority_study_case.where(F.col("transcript").isNotNull())
-    return p.select("case_id", F.regexp_count(F.lower("transcript"), F.lit(r"\*par:")).cast("long").alias("par"), F.regexp_count(F.lower("transcript"), F.lit(r"\*inv:")).cast("long").alias("inv"))
-
-
-@add("t11_content_units", "WITH c AS (SELECT doc_id, lower(text) AS x FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST(contains(x, 'kite') AS INT) + CAST(contains(x, 'boat') AS INT) + CAST(contains(x, 'ladder') AS INT) AS units, CAST((length(x) - length(replace(x, 'dog', ''))) / 3 AS INT) AS mentions FROM c")
-def _(t: Tables) -> DataFrame:
-    x = F.lower("text")
-    units = sum((F.when(x.contains(w), 1).otherwise(0) for w in ("kite", "boat", "ladder")), F.lit(0))
-    return t.documents.where(F.col("text").isNotNull()).select("doc_id", units.alias("units"), T.occurrences(x, "dog").alias("mentions"))
-
-
 @add("t12_clean_chat", "SELECT DISTINCT case_id, trim(regexp_replace(regexp_replace(regexp_replace(transcript, '\\[[^\\]]*\\]', ' ', 'g'), '&[-=+~]?[^ \\t\\n\\r\\f\\v]*', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS clean FROM prepared_authority_study_case WHERE contains(transcript, '@Begin')")
 def _(t: Tables) -> DataFrame:
     p = t.prepared_authority_study_case.where(F.col("transcript").contains("@Begin"))
