@@ -141,6 +141,6 @@ def assign_roles(labels: Mapping[str, tuple[int, int]], learned: Mapping[str, fl
     return fixed | {x: role for (*_, same), role in zip(ranked, roles, strict=True) for x in same}
 
 
-#: Layout of a label: one or two words that begin with a letter.
-LABEL = r"[^\W\d_][^\W\d_.'’]*\.?(?:[ ][^\W\d_]+\.?)?"
+#: Layout of a label: one or two words that begin with a letter. Nothing that may follow is a letter, so no word gives letters back.
+LABEL = r"[^\W\d_][^\W\d_.'’]*+\.?+(?:[ ][^\W\d_]++\.?+)?"
 LABEL_RE = re.compile(LABEL)

@@ -41,9 +41,10 @@ _CHAT = re.compile(r"^\*(?P<label>[^\W_][\w.]*)\s*[:：]")
 _BULLET = re.compile(r"\x15(\d+)_(\d+)\x15")
 
 #: Everything inside brackets is an annotation, a time or a mark.
-_BRACKETS = re.compile(r"\[[^\[\]]*\]|\([^()]*\)|\{[^{}]*\}|<[^<>]*>|（[^（）]*）|【[^【】]*】|〔[^〔〕]*〕|《[^《》]*》|\x15[^\x15]*\x15?")
+_BRACKETS = re.compile(r"\[[^\[\]\0]*\]|\([^()\0]*\)|\{[^{}\0]*\}|<[^<>\0]*>|（[^（）\0]*）|【[^【】\0]*】|〔[^〔〕\0]*〕|《[^《》\0]*》|\x15[^\x15\0]*\x15?")
 _OPENING = re.compile(r"[\[({<（【〔《\x15]")
 _CODES = re.compile(r"&[-=+~*]?[^\s,.;:!?，。？！…]+|(?<!\S)\+\S*|\b(?:xxx|yyy|www|xx|yy)\b", re.IGNORECASE)
+_WORD_OR_END = re.compile(r"\0|[^\W\d_]+(?:[\u0300-\u036f'’]+[^\W\d_]+)*[\u0300-\u036f]*")
 _WORD = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f'’]+[^\W\d_]+)*[\u0300-\u036f]*")
 
 #: Hesitation sounds, whole words, in any length of their drawn-out letter. Fixed values.
@@ -208,19 +209,38 @@ def spoken_words(text: str) -> list[str]:
     Annotations, times, codes, marks of unintelligible speech and hesitation sounds
     are left out; repeated words stay. ``er`` and ``um`` are words in German.
     """
-    if _OPENING.search(text):
-        while (less := _BRACKETS.sub(" ", text)) != text:
-            text = less
-    text = _CODES.sub(" ", text)
-    if not text.isascii():
-        text = _CJK.sub(" ", text)
-    words = _WORD.findall(text)
-    low = [w.lower() for w in words]
-    if not any(map(is_hesitation, low)):
+    return spoken_many([text])[0]
+
+
+def spoken_many(texts: list[str]) -> list[list[str]]:
+    """``spoken_words`` of each utterance of a transcript, in one pass over all of them; nothing reaches from one into the next."""
+    if not texts:
+        return []
+    joined = " \0 ".join([t.replace("\0", " ") if "\0" in t else t for t in texts])
+    if _OPENING.search(joined):
+        while (less := _BRACKETS.sub(" ", joined)) != joined:
+            joined = less
+    joined = _CODES.sub(" ", joined)
+    if not joined.isascii():
+        joined = _CJK.sub(" ", joined)
+    out: list[list[str]] = []
+    found = _WORD_OR_END.findall(joined)
+    start = 0
+    for _ in range(len(texts) - 1):
+        end = found.index("\0", start)
+        out.append(_without_hesitation(found[start:end]))
+        start = end + 1
+    out.append(_without_hesitation(found[start:]))
+    return out
+
+
+def _without_hesitation(words: list[str]) -> list[str]:
+    if not any(map(is_hesitation, words)):
         return words
+    low = [w.lower() for w in words]
     german = sum(w in _GERMAN_MARKS for w in low)
     is_german = german >= 2 and german * 6 >= len(low)
-    return [w for w, k in zip(words, low, strict=True) if not is_hesitation(k) or (is_german and k in _GERMAN_WORDS)]
+    return [w for w, k in zip(words, low, strict=True) if not is_hesitation(w) or (is_german and k in _GERMAN_WORDS)]
 
 
 def letters(word: str) -> int:
@@ -230,7 +250,7 @@ def letters(word: str) -> int:
 
 @lru_cache(maxsize=100_000)
 def is_hesitation(word: str) -> bool:
-    """Whether a lower-case word is a hesitation sound."""
+    """Whether a word is a hesitation sound, in any case."""
     return _HESITATION.fullmatch(word) is not None
 
 
@@ -281,8 +301,8 @@ def joined(t: Transcript, learned: Mapping[str, float]) -> list[tuple[str, list[
     """The turns of a transcript that was read."""
     roles = speakers.assign_roles(label_counts(t), learned, t.declared)
     out: list[tuple[str, list[list[str]]]] = []
-    for u in in_order(t.utterances):
-        words = spoken_words(u.text)
+    ordered = in_order(t.utterances)
+    for u, words in zip(ordered, spoken_many([u.text for u in ordered]), strict=True):
         if not words:
             continue
         speaker = roles.get(u.label, speakers.PARTICIPANT) if u.label is not None else speakers.PARTICIPANT
@@ -298,7 +318,11 @@ _TURN_TYPES = "turn_no int, speaker string, utterances array<string>, n_letters
 
 
 def _rows(key: object, found: list[tuple[str, list[list[str]]]]) -> list[tuple]:
-    return [(key, no, speaker, [" ".join(w) for w in said], sum(letters(w) for u in said for w in u)) for no, (speaker, said) in enumerate(found, 1)]
+    out = []
+    for no, (speaker, said) in enumerate(found, 1):
+        whole = "".join(["".join(w) for w in said])
+        out.append((key, no, speaker, [" ".join(w) for w in said], letters(whole)))
+    return out
 
 
 def _read_all(narrow: DataFrame) -> DataFrame:

@@ -90,3 +90,11 @@ def test_least_cost_moves_one_label_only():
 def test_very_long_text():
     text = "\n".join(f"{'Q' if i % 2 else 'A'}: {'word ' * 50}" for i in range(4000))
     assert len(flat(text)) == 4000
+
+
+def test_utterances_cleaned_together_as_one_by_one():
+    """Open brackets, codes at an edge, marks and hesitations do not reach into the next utterance."""
+    said = ["um, yes [laughs", "so] +... it was (the end", "&-uh well) xxx fine", "", "+/ and er then", "ich gehe nicht und er sagt es", "嗯 我们 看见 船", "a\x00b", "\x15100_200", "300\x15 done", "<b {c", "d} e>", "HMM Er UM word"]
+    assert turns.spoken_many(said) == [turns.spoken_words(s) for s in said]
+    assert turns.spoken_many([]) == [] and turns.spoken_words("a\x00b") == ["a", "b"]
+    assert turns.spoken_words("HMM Er UM word") == ["word"] and "er" in turns.spoken_words("ich gehe nicht und er sagt es")
