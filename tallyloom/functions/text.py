@@ -16,6 +16,13 @@ LANGUAGE_ALIASES = {"english": "en", "eng": "en", "spanish": "es", "spa": "es",
 #: Fillers, pronouns and function words by language. Fixed values.
 FILLERS = {"en": ("uh", "um", "er", "erm", "hmm", "uhm"), "es": ("eh", "em", "ehm", "este"), "de": ("äh", "ähm", "hm", "öhm"), "fr": ("euh", "heu", "hum", "hem")}
 PRONOUNS = {"en": ("i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them"), "es": ("yo", "tú", "él", "ella", "usted", "nosotros", "ellos"), "de": ("ich", "du", "er", "sie", "es", "wir", "ihr"), "fr": ("je", "tu", "il", "elle", "nous", "vous", "ils", "elles")}
+#: Articles, prepositions, conjunctions and auxiliaries by language, which with the two above are no content words. Fixed values.
+FUNCTION_WORDS = {
+    "en": ("a", "an", "and", "are", "at", "be", "but", "by", "for", "from", "had", "has", "have", "in", "is", "of", "on", "or", "so", "that", "the", "then", "this", "to", "was", "were", "with"),
+    "es": ("a", "al", "con", "de", "del", "el", "en", "es", "la", "las", "lo", "los", "para", "pero", "por", "que", "se", "sin", "su", "un", "una", "y"),
+    "de": ("am", "auf", "aus", "bei", "das", "dem", "den", "der", "die", "ein", "eine", "für", "im", "in", "ist", "mit", "oder", "und", "von", "war", "zu", "zum"),
+    "fr": ("a", "au", "aux", "avec", "ce", "dans", "de", "des", "du", "en", "est", "et", "la", "le", "les", "ou", "par", "pour", "que", "qui", "sur", "un", "une"),
+}
 
 #: Task families by words of the task name, first match wins. Fixed values.
 TASK_FAMILIES = (("picture", "picture_description"), ("fluency", "semantic_fluency"), ("recall", "story_recall"), ("interview", "interview"), ("speech", "spontaneous_speech"))

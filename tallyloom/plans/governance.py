@@ -214,3 +214,54 @@ def _(t: Tables) -> DataFrame:
     """The observations left after those without permission are dropped inside the record."""
     kept = F.filter("state_observations", lambda s: F.coalesce(s["report_permission"], F.lit(False)))
     return t.synthetic_workspace.where(F.col("state_observations").isNotNull()).select("record_id", F.array_join(F.transform(kept, lambda s: F.coalesce(s["evidence_id"], F.lit("-"))), ";").alias("kept"))
+
+
+@add(
+    "g11_off_against_on",
+    """WITH w AS (SELECT record_id, base_probabilities AS b, corrected_probabilities AS c FROM synthetic_workspace WHERE base_probabilities IS NOT NULL AND corrected_probabilities IS NOT NULL),
+x AS (SELECT record_id, unnest(map_entries(b)) AS e, c FROM w), d AS (SELECT record_id, sum(abs(e.value - coalesce(c[e.key], 0))) AS d, arg_max(e.key, (e.value, e.key)) AS was FROM x GROUP BY 1),
+y AS (SELECT record_id, unnest(map_entries(c)) AS e FROM w), n AS (SELECT record_id, arg_max(e.key, (e.value, e.key)) AS now FROM y GROUP BY 1)
+SELECT round(avg(d), 9) AS mean_change, count(*) FILTER (d > 0) AS changed, count(*) AS n, count(*) FILTER (was <> now) AS decisions_changed FROM d LEFT JOIN n USING (record_id)""",
+)
+def _(t: Tables) -> DataFrame:
+    """How far corrected probabilities lie from the base, and how many decisions they change."""
+    w = t.synthetic_workspace.where("base_probabilities IS NOT NULL AND corrected_probabilities IS NOT NULL").where(F.size("base_probabilities") > 0)
+    change = F.aggregate(F.map_entries("base_probabilities"), F.lit(0.0), lambda a, e: a + F.abs(e["value"] - F.coalesce(F.try_element_at("corrected_probabilities", e["key"]), F.lit(0.0))))
+    # The key of the largest value, of equal ones the last by name.
+    top = lambda m: F.array_max(F.transform(F.map_entries(m), lambda e: F.struct(e["value"], e["key"])))["key"]
+    x = w.select(change.alias("d"), (top("base_probabilities") != top("corrected_probabilities")).alias("moved"))
+    return x.agg(r(F.avg("d")).alias("mean_change"), F.count_if(F.col("d") > 0).alias("changed"), F.count("*").alias("n"), F.count_if("moved").alias("decisions_changed"))
+
+
+@add(
+    "g07_segment_faithfulness",
+    """WITH g AS (SELECT record_id, case_transcript.text AS whole, unnest(s.evidence_segments) AS g FROM (SELECT record_id, case_transcript, unnest(state_observations) AS s FROM synthetic_workspace)),
+k AS (SELECT record_id, g.segment_id AS id, count(*) AS times, count(DISTINCT struct_pack(a := g.start_sec, b := g.end_sec, c := g.text)) AS forms, bool_and(coalesce(g.start_sec >= 0 AND g.end_sec > g.start_sec, false)) AS bounds,
+bool_and(coalesce(contains(whole, g.text), false)) AS said FROM g WHERE g.segment_id IS NOT NULL GROUP BY ALL)
+SELECT record_id, count(*) AS segments, count(*) FILTER (times > 1) AS cited_again, count(*) FILTER (forms > 1) AS contradictory, count(*) FILTER (NOT bounds) AS bad_bounds, count(*) FILTER (said) AS in_transcript FROM k GROUP BY 1""",
+)
+def _(t: Tables) -> DataFrame:
+    """A record's segments: cited more than once, told in different forms, out of bounds, and found in its own transcript."""
+    o = t.synthetic_workspace.select("record_id", F.col("case_transcript.text").alias("whole"), F.explode("state_observations").alias("s"))
+    g = o.select("record_id", "whole", F.explode("s.evidence_segments").alias("g")).where(F.col("g.segment_id").isNotNull())
+    bounds = F.coalesce((F.col("g.start_sec") >= 0) & (F.col("g.end_sec") > F.col("g.start_sec")), F.lit(False))
+    said = F.coalesce(F.col("whole").contains(F.col("g.text")), F.lit(False))
+    form = F.struct(F.col("g.start_sec").alias("a"), F.col("g.end_sec").alias("b"), F.col("g.text").alias("c"))
+    k = g.groupBy("record_id", F.col("g.segment_id").alias("id")).agg(F.count("*").alias("times"), F.size(F.collect_set(form)).alias("forms"), F.bool_and(bounds).alias("bounds"), F.bool_and(said).alias("said"))
+    return k.groupBy("record_id").agg(F.count("*").alias("segments"), F.count_if(F.col("times") > 1).alias("cited_again"), F.count_if(F.col("forms") > 1).alias("contradictory"), F.count_if(~F.col("bounds")).alias("bad_bounds"), F.count_if("said").alias("in_transcript"))
+
+
+@add(
+    "g18_candidate_validation",
+    """WITH o AS (SELECT record_id, list_filter(list_transform(coalesce(state_observations, []), lambda s: s.evidence_id), lambda e: e IS NOT NULL) AS cited, list_filter(list_transform(coalesce(evidence_registry, []), lambda g: g.evidence_id), lambda e: e IS NOT NULL) AS allowed, coalesce(list_bool_and(list_transform(map_values(corrected_probabilities), lambda x: x IS NOT NULL AND x >= 0 AND x <= 1)) AND abs(list_sum(map_values(corrected_probabilities)) - 1) <= 0.0015, false) AS simplex FROM synthetic_workspace),
+x AS (SELECT record_id, len(cited) AS cited, len(list_filter(cited, lambda e: NOT list_contains(allowed, e))) AS uncited, len(cited) - len(list_distinct(cited)) AS repeated, simplex FROM o)
+SELECT record_id, cited, uncited, repeated, simplex, cited > 0 AND uncited = 0 AND simplex AS accepted FROM x""",
+)
+def _(t: Tables) -> DataFrame:
+    """A candidate is accepted if it cites something, nothing beyond its registry, and its probabilities are some."""
+    from tallyloom.functions import vectors as V
+
+    there = lambda c: F.coalesce(F.filter(F.col(c), lambda x: x.isNotNull()), F.array().cast("array<string>"))
+    o = t.synthetic_workspace.select("record_id", there("state_observations.evidence_id").alias("c"), there("evidence_registry.evidence_id").alias("a"), V.is_simplex(F.map_values("corrected_probabilities"), 0.0015).alias("simplex"))
+    x = o.select("record_id", F.size("c").cast("long").alias("cited"), F.size(F.filter("c", lambda e: ~F.array_contains("a", e))).cast("long").alias("uncited"), (F.size("c") - F.size(F.array_distinct("c"))).cast("long").alias("repeated"), "simplex")
+    return x.withColumn("accepted", (F.col("cited") > 0) & (F.col("uncited") == 0) & F.col("simplex"))

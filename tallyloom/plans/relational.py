@@ -432,14 +432,6 @@ def _(t: Tables) -> DataFrame:
     return t.manifest.groupBy("dataset_id", "subject_id").agg(F.avg("duration_sec").alias("m")).groupBy("dataset_id").agg(r(F.avg("m")).alias("mean"))
 
 
-@add("a46_three_grains", "SELECT subject_id, task_type, language, round(avg(duration_sec), 9) AS duration_sec, count(*) AS n FROM manifest WHERE subject_id IS NOT NULL AND task_type IS NOT NULL AND language IS NOT NULL GROUP BY GROUPING SETS ((subject_id), (subject_id, task_type), (subject_id, language))")
-def _(t: Tables) -> DataFrame:
-    """Per subject, per subject and task, per subject and language, in one pass."""
-    m = t.manifest.where("subject_id IS NOT NULL AND task_type IS NOT NULL AND language IS NOT NULL")
-    s, k, g = F.col("subject_id"), F.col("task_type"), F.col("language")
-    return m.groupingSets([[s], [s, k], [s, g]], s, k, g).agg(r(F.avg("duration_sec")).alias("duration_sec"), F.count("*").alias("n"))
-
-
 # --- sort, limit and sets ----------------------------------------------------------
 
 

@@ -285,13 +285,6 @@ def _(t: Tables) -> DataFrame:
     return m.join(t.metric_registry.select("metric_id", F.col("report_permission").alias("allowed")), "metric_id").groupBy("allowed").agg(F.count("*").alias("n"))
 
 
-@add("g07_segment_bounds", "SELECT count(*) AS n, count(*) FILTER (g.start_sec IS NULL OR g.end_sec IS NULL OR g.start_sec < 0 OR g.end_sec <= g.start_sec) AS bad FROM (SELECT unnest(s.evidence_segments) AS g FROM (SELECT unnest(state_observations) AS s FROM synthetic_workspace)) WHERE g IS NOT NULL")
-def _(t: Tables) -> DataFrame:
-    g = t.synthetic_workspace.select(F.explode("state_observations").alias("s")).select(F.explode("s.evidence_segments").alias("g")).where(F.col("g").isNotNull())
-    a, b = F.col("g.start_sec"), F.col("g.end_sec")
-    return g.agg(F.count("*").alias("n"), F.count_if(a.isNull() | b.isNull() | (a < 0) | (b <= a)).alias("bad"))
-
-
 @add("g08_extreme_rates", "SELECT state_id, round(avg(CAST(abs(directional_z) >= 3 AS INT)), 9) AS extreme FROM metric_evidence WHERE isfinite(directional_z) GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     e = t.metric_evidence.where(parse.finite(F.col("directional_z")).isNotNull())
@@ -303,23 +296,8 @@ def _(t: Tables) -> DataFrame:
     return t.documents.where(F.col("text").isNotNull()).groupBy("doc_kind").agg(r(F.avg(F.col("text").rlike("case_[0-9]{2}_[0-9]+|SUB-[0-9]{2}").cast("int"))).alias("leaks"))
 
 
-@add("g11_off_against_on", "SELECT round(avg(d), 9) AS mean_change, count(*) FILTER (d > 0) AS changed, count(*) AS n FROM (SELECT list_sum(list_transform(map_keys(base_probabilities), lambda k: abs(base_probabilities[k] - coalesce(corrected_probabilities[k], 0)))) AS d FROM synthetic_workspace WHERE base_probabilities IS NOT NULL AND corrected_probabilities IS NOT NULL)")
-def _(t: Tables) -> DataFrame:
-    w = t.synthetic_workspace.where("base_probabilities IS NOT NULL AND corrected_probabilities IS NOT NULL")
-    d = F.aggregate(F.map_keys("base_probabilities"), F.lit(0.0), lambda a, k: a + F.abs(F.try_element_at("base_probabilities", k) - F.coalesce(F.try_element_at("corrected_probabilities", k), F.lit(0.0))))
-    x = w.select(F.when(F.size("base_probabilities") > 0, d).alias("d"))
-    return x.agg(r(F.avg("d")).alias("mean_change"), F.count_if(F.col("d") > 0).alias("changed"), F.count("*").alias("n"))
-
-
 @add("g12_check_rows", "SELECT 'missing_split' AS check_name, avg(CAST(split IS NULL AS DOUBLE)) AS value, avg(CAST(split IS NULL AS DOUBLE)) <= 0.05 AS passed FROM manifest UNION ALL SELECT 'missing_label', avg(CAST(label IS NULL AS DOUBLE)), avg(CAST(label IS NULL AS DOUBLE)) <= 0.0001 FROM manifest")
 def _(t: Tables) -> DataFrame:
     one = t.manifest.agg(F.avg(F.col("split").isNull().cast("double")).alias("a"), F.avg(F.col("label").isNull().cast("double")).alias("b"))
     rows = F.array(F.struct(F.lit("missing_split").alias("check_name"), F.col("a").alias("value"), (F.col("a") <= 0.05).alias("passed")), F.struct(F.lit("missing_label").alias("check_name"), F.col("b").alias("value"), (F.col("b") <= 0.0001).alias("passed")))
     return one.select(F.explode(rows).alias("x")).select("x.*")
-
-
-@add("g18_citation_whitelist", "SELECT record_id, len(list_filter(list_transform(list_filter(state_observations, lambda s: s.evidence_id IS NOT NULL), lambda s: s.evidence_id), lambda e: NOT list_contains(list_transform(coalesce(evidence_registry, []), lambda g: g.evidence_id), e))) AS uncited FROM synthetic_workspace WHERE state_observations IS NOT NULL")
-def _(t: Tables) -> DataFrame:
-    w = t.synthetic_workspace.where(F.col("state_observations").isNotNull())
-    allowed = F.coalesce(F.filter(F.col("evidence_registry.evidence_id"), lambda x: x.isNotNull()), F.array().cast("array<string>"))
-    return w.select("record_id", F.size(F.filter(F.col("state_observations.evidence_id"), lambda e: e.isNotNull() & ~F.array_contains(allowed, e))).cast("long").alias("uncited"))

@@ -53,9 +53,27 @@ def _in(words: tuple[str, ...]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-@add("t07_lexicon_rates", _t(f"CASE WHEN len(tokens) > 0 THEN round(100.0 * len(list_filter(tokens, lambda w: list_contains({_in(T.FILLERS['en'])}, w))) / len(tokens), 9) END AS fillers, CASE WHEN len(tokens) > 0 THEN round(100.0 * len(list_filter(tokens, lambda w: list_contains({_in(T.PRONOUNS['en'])}, w))) / len(tokens), 9) END AS pronouns"))
+def _lexicon_sql(words: dict[str, tuple[str, ...]], keep: str = "") -> str:
+    """Rate per hundred tokens that are (or, with ``keep``, are not) in the words of the document's language; English for languages without a list."""
+    own = "CASE lang " + " ".join(f"WHEN '{k}' THEN {_in(v)}" for k, v in words.items() if k != "en") + f" ELSE {_in(words['en'])} END"
+    return f"CASE WHEN len(tokens) > 0 THEN round(100.0 * len(list_filter(tokens, lambda w: {keep} list_contains({own}, w))) / len(tokens), 9) END"
+
+
+_NOT_CONTENT = {k: T.FILLERS[k] + T.PRONOUNS[k] + T.FUNCTION_WORDS[k] for k in T.PRONOUNS}
+
+
+@add("t07_lexicon_rates", _t(f"{_lexicon_sql(T.FILLERS)} AS fillers, {_lexicon_sql(T.PRONOUNS)} AS pronouns, {_lexicon_sql(_NOT_CONTENT, 'NOT')} AS content_words"))
 def _(t: Tables) -> DataFrame:
-    return tokens(t).select("doc_id", r(T.lexicon_rate(F.col("tokens"), T.FILLERS["en"])).alias("fillers"), r(T.lexicon_rate(F.col("tokens"), T.PRONOUNS["en"])).alias("pronouns"))
+    """Fillers, pronouns and content words per hundred words, by the lists of the document's language."""
+
+    def rate(words: dict[str, tuple[str, ...]]):
+        out = T.lexicon_rate(F.col("tokens"), words["en"])
+        for k, v in words.items():
+            if k != "en":
+                out = F.when(F.col("lang") == k, T.lexicon_rate(F.col("tokens"), v)).otherwise(out)
+        return out
+
+    return tokens(t).select("doc_id", r(rate(T.FILLERS)).alias("fillers"), r(rate(T.PRONOUNS)).alias("pronouns"), r(100.0 - rate(_NOT_CONTENT)).alias("content_words"))
 
 
 @add("t08_repairs", "SELECT case_id, CAST((length(transcript) - length(replace(transcript, '[/]', ''))) / 3 AS INT) AS repeats, CAST((length(transcript) - length(replace(transcript, '[//]', ''))) / 4 AS INT) AS repairs FROM prepared_authority_study_case")

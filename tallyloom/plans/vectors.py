@@ -101,12 +101,6 @@ def _(t: Tables) -> DataFrame:
     return predictions(t).select("vec_id", *_three(V.log_pool(F.col("probs"), F.col("prior"), 0.3)))
 
 
-@add("m12_reference_and_rest", f"SELECT vec_id, round(p1, 9) AS reference, round(1 - p1, 9) AS rest, round(CASE WHEN 1 - p1 > 0 THEN p3 / (1 - p1) ELSE 0.5 END, 9) AS severe_share FROM {PRED_SQL}")
-def _(t: Tables) -> DataFrame:
-    p1, p3 = F.element_at("probs", 1), F.element_at("probs", 3)
-    return predictions(t).select("vec_id", r(p1).alias("reference"), r(1 - p1).alias("rest"), r(F.when(1 - p1 > 0, p3 / (1 - p1)).otherwise(0.5)).alias("severe_share"))
-
-
 @add("m16_entropy", f"SELECT vec_id, round(-(p1 * ln(p1) + p2 * ln(p2) + p3 * ln(p3)) / ln(3.0), 9) AS entropy FROM {PRED_SQL}")
 def _(t: Tables) -> DataFrame:
     return predictions(t).select("vec_id", r(V.entropy(F.col("probs"))).alias("entropy"))
