@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import fusion as U
-from tallyloom.functions import vectors as V
 from tallyloom.plans.catalog import Catalog, Tables, r
 from tallyloom.plans.vectors import PRED_SQL, predictions
 

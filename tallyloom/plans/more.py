@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import parse
 from tallyloom.functions import vectors as V
-from tallyloom.operators import evaluate as E
-from tallyloom.operators import research as S
 from tallyloom.operators import robust as R
 from tallyloom.operators import sequence as Q
 from tallyloom.plans.catalog import Catalog, Tables, r
