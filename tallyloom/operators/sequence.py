@@ -72,7 +72,8 @@ def overlaps(a: DataFrame, b: DataFrame, key: str, grain: float) -> DataFrame:
     touch, in the coarser grid of the two: so the join is no cross join, each pair
     comes once, and an interval however long fills ``MOST_CELLS`` cells of its own
     grid. A short interval looks into the coarser grids too, one or two cells each;
-    only levels that hold intervals of the other side are looked into.
+    only levels that hold intervals of the other side are looked into. Neither side is
+    broadcast: the planner takes them for as small as they are before they are entered.
     """
     x, y = _entered(a, key, "a", grain), _entered(b, key, "b", grain)
     width = F.lit(float(grain)) * F.pow(F.lit(float(COARSER)), F.col("_n"))
@@ -82,10 +83,29 @@ def overlaps(a: DataFrame, b: DataFrame, key: str, grain: float) -> DataFrame:
         return levels.withColumn("_c", F.explode(F.sequence(F.floor(F.col(f"_{side}s") / width).cast("long"), F.floor(F.col(f"_{side}e") / width).cast("long"))))
 
     lo, hi = F.greatest("_as", "_bs"), F.least("_ae", "_be")
-    met = cells(x, "a").join(cells(y, "b"), [key, "_n", "_c"])
+    met = cells(x, "a").hint("merge").join(cells(y, "b"), [key, "_n", "_c"])
     return met.where((F.col("_n") == F.greatest("_an", "_bn")) & (hi > lo) & (F.col("_c") == F.floor(lo / width))).select(key, "a_id", "b_id", lo.alias("start"), hi.alias("end"))
 
 
+def window_cover(spans: DataFrame, windows: DataFrame, key: str, size: float) -> DataFrame:
+    """Seconds of each window of ``size`` seconds that intervals of its key cover: key, b_id (the window, from 0), seconds.
+
+    spans: key, start, end; a null start lies before every window, a null end behind.
+    windows: key, n; the key has windows 0 to n - 1, once for each of its rows, and none if n is null or not above 0.
+    Keys meet before anything is multiplied, and an interval then becomes the windows
+    it covers and no others: so no row is made for a window without seconds, and the
+    sums need no shuffle after the join. Neither side is broadcast: both grow with the
+    recordings, and the planner takes intervals for as small as the texts they come from.
+    """
+    counted = windows.groupBy(key, "n").agg(F.count("*").alias("_m"))
+    first = F.greatest(F.lit(0).cast("long"), F.floor(F.col("start") / size).cast("long"))
+    behind = F.least(F.col("n").cast("long"), F.ceil(F.col("end") / size).cast("long"))
+    met = spans.hint("merge").join(counted, key).withColumn("_f", first).withColumn("_t", behind).where("_f < _t")
+    k = met.withColumn("b_id", F.explode(F.sequence(F.col("_f"), F.col("_t") - 1)))
+    lo, hi = F.greatest("start", size * F.col("b_id")), F.least("end", size * (F.col("b_id") + 1))
+    return k.where(hi > lo).groupBy(key, "b_id").agg(F.sum((hi - lo) * F.col("_m")).alias("seconds"))
+
+
 def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value: str) -> DataFrame:
     """Each left row with the right row of its keys nearest in ``at``; the later of two equally near.
 

@@ -143,10 +143,10 @@ SELECT a.case_id, k AS b_id, round(sum(least(e, 2.0 * (k + 1)) - greatest(s, 2.0
 def _(t: Tables) -> DataFrame:
     """Seconds of each two-second window that lie in an analysis interval."""
     p = t.manifest.where("analysis_intervals IS NOT NULL AND duration_sec IS NOT NULL").select("case_id", "analysis_intervals", "duration_sec").distinct()
-    a = p.select("case_id", F.posexplode(F.from_json("analysis_intervals", "array<array<double>>")).alias("id", "v")).select("case_id", "id", F.element_at("v", 1).alias("start"), F.element_at("v", 2).alias("end"))
-    k = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("duration_sec") / 2).cast("long") - 1))
-    w = p.select("case_id", k.alias("id")).select("case_id", "id", (2.0 * F.col("id")).alias("start"), (2.0 * (F.col("id") + 1)).alias("end"))
-    return Q.overlaps(a, w, "case_id", 2.0).groupBy("case_id", "b_id").agg(r(F.sum(F.col("end") - F.col("start"))).alias("seconds"))
+    v = p.select("case_id", F.explode(F.from_json("analysis_intervals", "array<array<double>>")).alias("v"))
+    a = v.select("case_id", F.get("v", F.lit(0)).alias("start"), F.get("v", F.lit(1)).alias("end"))
+    n = p.select("case_id", F.ceil(F.col("duration_sec") / 2).cast("long").alias("n"))
+    return Q.window_cover(a, n, "case_id", 2.0).select("case_id", "b_id", r(F.col("seconds")).alias("seconds"))
 
 
 @add(

@@ -16,6 +16,7 @@ from tallyloom.operators import research as S
 from tallyloom.operators import robust as R
 from tallyloom.operators import sequence as Q
 from tallyloom.operators.skew import hot_split_join
+from tallyloom.plans import sequences as SEQ
 
 
 def one(spark, column, value, kind):
@@ -283,3 +284,26 @@ def test_rank_correlations_of_small_and_spread_pairs(spark, monkeypatch):
     rank = lambda v: np.array([(np.array(v) < x).sum() + ((np.array(v) == x).sum() + 1) / 2 for x in v])
     x, y = (rank([own[m][u] for u in common]) for m in "ab")
     assert one["a", "b"] == (len(common), pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-8))
+
+
+def test_seconds_of_windows_against_sql_and_without_broadcast(spark, tmp_path):
+    """Repeats, revisions of a recording, open and reversed intervals, no duration; and a recording whose windows would fill no array."""
+    import duckdb
+
+    rows = [("a", "[[0.5, 4.5], [1, 3]]", 9.0), ("a", "[[0.5, 4.5], [1, 3]]", 9.0), ("a", "[[3, 7.25]]", 5.0), ("a", "[]", 3.0), ("b", "[[0, 2]]", 0.0), ("b", "[[0, 2]]", -3.0), ("c", "[[1.0]]", 5.0), ("d", "[[null, 3.0], null, []]", 3.5)]
+    rows += [("e", None, 5.0), ("e", "[[0, 1]]", None), (None, "[[0, 1]]", 4.0), ("g", "[[-3, 1], [7, 20]]", 8.5), ("h", "[[3, 1], [2, 2]]", 5.0), ("i", "[[-1e300, 1e300], [1e300, 2e300]]", 5.0)]
+    kinds = "case_id string, analysis_intervals string, duration_sec double"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/manifest.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW manifest AS SELECT * FROM read_parquet('{tmp_path}/manifest.parquet/*.parquet')")
+    df = SEQ.QUERIES["j16_interval_overlap"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == sorted(db.execute(SEQ.ORACLES["j16_interval_overlap"]).fetchall())
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    spark.createDataFrame([("long", "[[1, 3]]", 6e10)], kinds).write.parquet(f"{tmp_path}/long/manifest.parquet")
+    assert sorted(map(tuple, SEQ.QUERIES["j16_interval_overlap"](spark, f"{tmp_path}/long").collect())) == [("long", 0, 1.0), ("long", 1, 1.0)]
+
+
+def test_no_side_of_overlaps_is_broadcast(spark):
+    few = spark.range(1).selectExpr("'k' AS key", "id", "0.0D AS start", "3.0D AS end")
+    pairs = Q.overlaps(few, few, "key", 2.0)
+    assert pairs.count() == 1 and "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
