@@ -228,7 +228,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_levels(spark, d).where(F.col("band") == reading.BANDS[2]).select("doc_id").distinct()
 
 
-QUERIES = {"p2_checks": p2_checks, "p5_checks": p5_checks, "p7_fixed": p7_fixed, "p8_checks": p8_checks, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_levels": p9_levels, "p3_found": p3_found, "p3_turns": p3_turns, "p3_cases": p3_cases, "p3_documents": p3_documents, "p3_segments": p3_segments, "p4_found": p4_found, "p4_turns": p4_turns, "p2_found": p2_found, "p2_percentiles": p2_percentiles, "p5_found": p5_found, "p5_splits": p5_splits, "p5_split_shares": p5_split_shares}
+# Where an operator has no pN_found, its first query is the one that stands for it: over whole tables, as p7_ids.
+QUERIES = {"p2_checks": p2_checks, "p5_checks": p5_checks, "p7_ids": p7_ids, "p7_fixed": p7_fixed, "p8_checks": p8_checks, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_levels": p9_levels, "p3_found": p3_found, "p3_turns": p3_turns, "p3_cases": p3_cases, "p3_documents": p3_documents, "p3_segments": p3_segments, "p4_found": p4_found, "p4_turns": p4_turns, "p2_found": p2_found, "p2_percentiles": p2_percentiles, "p5_found": p5_found, "p5_splits": p5_splits, "p5_split_shares": p5_split_shares}
 
 ORACLES = {
     "p2_checks": r"""

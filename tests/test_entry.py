@@ -18,6 +18,11 @@ def test_entry_runs(spark):
     assert df.count() > 0 and df.columns == ["subject_id", "task_scope", "metric_id", "value"]
 
 
+def test_the_query_that_stands_for_encoding_reads_a_table(spark):
+    name = next(k for k in entry.queries() if k.startswith("p7_"))
+    assert entry.queries()[name](spark, entry.SMOKE).inputFiles(), name
+
+
 def test_core_does_not_import_llm():
     for p in (ROOT / "tallyloom").rglob("*.py"):
         if "llm" in p.relative_to(ROOT / "tallyloom").parts:
